@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import cut, pick
@@ -55,6 +55,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return single.unionByName(both)
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with all their columns; of rows that repeat an id and a text one stays, rows without an id all do."""
+    gone = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    again = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id")), "exact-repeats")
+    if not again.limit(1).count():
+        return left
+    same_id = F.col("doc_id").eqNullSafe(F.col("_id"))
+    number = F.row_number().over(Window.partitionBy("doc_id", normalised(F.col("text"))).orderBy("text"))
+    once = left.join(again, same_id, "left_semi").withColumn("_number", number).filter("_number = 1").drop("_number")
+    return left.join(again, same_id, "left_anti").unionByName(once)
+
+
 ORACLE = r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
 select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,

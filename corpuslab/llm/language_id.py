@@ -80,7 +80,7 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             some = (gram >= g) & (gram < g + width) if len(there) > step else slice(None)
             counts = np.bincount(owner[some] * width + gram[some] - g, minlength=len(streams) * width).reshape(len(streams), width).astype(np.float32)
             for v in range(0, width, 8192):
-                np.add.at(out, owners, counts[:, v : v + 8192] @ gram_vectors(vectors_of[g + v : g + v + 8192]))
+                np.add.at(out, owners, counts[:, v : v + 8192] @ gram_vectors(vectors_of[g + v : g + min(v + 8192, width)]))
         owners.clear()
         streams.clear()
         held = 0
