@@ -1,0 +1,420 @@
+"""Every operator against a brute-force version, on a fixture with the odd cases."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from corpuslab.llm import byte_bpe, decontaminate, exact_dedup, hmm_lm, html_extract, language_id, minhash, sharding, suffix_dedup, token_counts
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, key int, n double, comp string, t string, rep int"
+
+
+def _texts() -> list[tuple[int | None, str | None, str | None]]:
+    rng = random.Random(4)
+    en = "the and of that with this from have were their which would about other into than".split()
+    de = "der und die nicht eine auch werden über zwischen wieder können straße für mit von".split()
+    word = lambda pool: rng.choice(pool) + rng.choice(["", "", "ing", "keit"]) + rng.choice("abcdefghij")
+    prose = lambda pool, n: " ".join(rng.choice(pool) if rng.random() < 0.5 else word(pool) for _ in range(n))
+    out: list[tuple[int | None, str | None, str | None]] = []
+    base = [prose(en, 120) for _ in range(12)] + [prose(de, 120) for _ in range(12)]
+    for i, t in enumerate(base):
+        out.append((i, t, "en" if i < 12 else "de"))
+    for i in range(12):  # copies, near copies, shared passages
+        w = base[i].split(" ")
+        out.append((100 + i, base[i], "en"))
+        w[5] = "changed"
+        out.append((200 + i, " ".join(w), "en"))
+        out.append((300 + i, prose(en, 30) + " " + base[0][40:400] + " " + prose(de, 30), None))
+    chain = base[1].split(" ")
+    for i in range(14):  # neighbours are near copies, the ends are not
+        chain = [*chain]
+        for j in range(4):
+            chain[(i * 8 + j * 2) % len(chain)] = f"new{i}{j}"
+        out.append((400 + i, " ".join(chain), "en"))
+    out += [(500, None, None), (501, "", "en"), (502, " \t\n ", "de"), (503, "x", "en"), (504, "X", "en"), (505, "12 !! 34", None), (506, "a  b\tc", "en"), (507, "a b c", "en"), (508, "Ünïcode ΣΑΣ 日本語 😀 İ", "en"), (509, None, None), (None, base[3], "en"), (None, None, None)]
+    out += [(510, prose(en, 4000), "en"), (511, "ab" * 3000, "en"), (512, "<|endoftext|> don't <|startoftext|>x", "en"), (513, "é" * 60 + " é́ ﬁ ½", "de"), (-7, base[4], "en"), (514, "z" * 49, None), (515, "z" * 50, None), (516, "z" * 51, None)]
+    out += [(0, base[0], "en"), (503, "x", "en")]  # repeated rows
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return _texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, g, "s", None, "clash", 1, 0.5, "clash", "clash", 3) for i, t, g in rows], SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def multiset(df, *cols):
+    return Counter(tuple(r[c] for c in cols) for r in df.select(*cols).collect())
+
+
+def sha(x: bytes) -> str:
+    return hashlib.sha256(x).hexdigest()
+
+
+def test_token_counts(docs, none, rows):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    want = Counter((i, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t, _ in rows)
+    assert multiset(token_counts.token_counts(docs, path), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    assert token_counts.token_counts(none, path).count() == 0
+    bpe = token_counts.WordBpe(path)
+    for text in ("we'll go to 12 étés, thertion!!!", " 'lla it's", "a😀b", "don't <|endoftext|> x"):
+        assert bpe.char_prefix_counts(text) == [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    got = token_counts.token_counts(docs.filter("doc_id = 3"), path, limit=50, with_prefixes=True).first()
+    words = bpe.words(rows[3][1])
+    assert got.prefix_tokens == [len(lib.encode(" ".join(words[:k]), add_special_tokens=False).ids) for k in range(1, len(words) + 1)]
+    assert got.words_in_limit == sum(n <= 50 for n in got.prefix_tokens)
+
+
+def brute_hits(text, items, n):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, hit, found = cut(text), set(), set()
+    for item, t in items:
+        x = cut(t)
+        k = min(n, len(x))
+        for i in range(len(x) - k + 1 if x else 0):
+            for j in range(len(w) - k + 1):
+                if w[j : j + k] == x[i : i + k]:
+                    hit |= set(range(j, j + k))
+                    found.add(item)
+    return len(w), len(hit), found
+
+
+@pytest.mark.parametrize("block", [2_000_000, 40])
+def test_decontamination(spark, docs, none, rows, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    w = rows[2][1].split(" ")
+    items = [("b", " ".join(w[5:30])), ("a", " ".join(w[10:20]).upper()), ("c", "x"), ("d", None), ("e", ""), ("f", "nowhere to be seen in any of these texts at all"), ("g", "straße"), (None, "the and")]
+    tests = spark.createDataFrame(items, "item_id string, text string")
+    want = Counter()
+    seen = set()
+    for i, t, _ in rows:
+        if block == 40 and i in seen:
+            continue  # several blocks join rows that repeat an id
+        seen.add(i)
+        n, hit, found = brute_hits(t, [x for x in items if x[0]], 10)
+        want[(i, n, hit, len(found), sha(",".join(sorted(found)).encode()), hit > 0)] += 1
+    got = multiset(decontaminate.digest(decontaminate.benchmark_hits(docs if block > 40 else docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), tests)), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == (want if block > 40 else Counter({k: v for k, v in want.items() if k[0] is not None}))
+    assert decontaminate.benchmark_hits(none, tests).count() == 0
+    assert decontaminate.benchmark_hits(docs, tests.limit(0)).filter("size(items) > 0").count() == 0
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(docs, tests).collect()}
+    assert kept == {k[0] for k in want if not k[5]} | {None}
+
+
+def test_remove_spans():
+    assert decontaminate.remove_spans("One, two THREE four!", [(1, 3)]) == "One, four!".replace("One, four", "One,  four")
+
+
+def brute_minimax(sizes, shards):
+    low, high = max([1, *sizes]), max(1, sum(sizes))
+
+    def fits(c):
+        n, at = 1, 0
+        for s in sizes:
+            n, at = (n + 1, s) if at + s > c else (n, at + s)
+        return n <= shards
+
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if fits(mid) else (mid + 1, high)
+    return low
+
+
+def test_minimax(spark):
+    rng = random.Random(2)
+    for n, shards in ((400, 7), (60, 24), (5, 24), (3000, 24)):
+        groups = sorted((rng.getrandbits(60), rng.randint(1, 900) ** 2) for _ in range(n))
+        cuts, capacity = sharding.minimax_cuts(spark.createDataFrame(groups, "key long, weight long"), shards)
+        assert capacity == brute_minimax([w for _, w in groups], shards)
+        load = Counter()
+        for key, w in groups:
+            load[sum(key >= c for c in cuts)] += w
+        assert max(load.values()) == capacity and max(load) < shards
+
+
+def test_sharding(docs, none, rows):
+    got = sharding.shard_documents(docs, shards=6).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    by = defaultdict(list)
+    where = defaultdict(set)
+    text = {zlib.crc32((t or "").encode()): t or "" for _, t, _ in rows}
+    for r in got:
+        by[r.shard].append(r)
+        where[text[r.text_crc32]].add(r.shard)
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values()) and all(len(v) == 1 for v in where.values())
+    assert set(by) <= set(range(6)) and {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+    assert sharding.shard_documents(none).count() == 0
+
+
+def brute_repeats(rows):
+    grams = defaultdict(lambda: 1 << 62)
+    raw = [(i, (t or "").encode()) for i, t, _ in rows]
+    for i, b in raw:
+        if i is not None:
+            for k in range(len(b) - 49):
+                grams[b[k : k + 50]] = min(grams[b[k : k + 50]], i)
+    for i, b in raw:
+        gone = np.zeros(len(b) + 2, bool)
+        for k in range(len(b) - 49 if i is not None else 0):
+            if grams[b[k : k + 50]] < i:
+                gone[k + 1 : k + 51] = True
+        kept = bytes(x for x, g in zip(b, gone[1:], strict=False) if not g)
+        yield i, len(b), len(b) - len(kept), int((gone[1:] & ~gone[:-1]).sum()), sha(kept)
+
+
+@pytest.mark.parametrize("piece", [2 << 20, 210])
+def test_suffix_dedup(docs, none, rows, monkeypatch, piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    # chunks are made by Python workers, so the piece is also tried here directly
+    text = np.frombuffer((rows[0][1] * 3).encode(), np.uint8)
+    whole = suffix_dedup.names_of(text, 50)
+    assert all((suffix_dedup.names_of(p, 50) == whole[s : s + len(p) - 49]).all() for s, p in suffix_dedup._pieces(text, 50))
+    if piece == 210:
+        return
+    assert multiset(suffix_dedup.repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute_repeats(rows))
+    assert suffix_dedup.repeated_bytes(none).count() == 0
+    r = suffix_dedup.repeated_bytes(docs.filter("doc_id in (0, 300)"), with_kept=True).filter("doc_id = 300").first()
+    raw = rows[[x[0] for x in rows].index(300)][1].encode()
+    assert r.kept == b"".join(raw[a:b] for a, b in zip([0, *[s.e for s in r.spans]], [*[s.s for s in r.spans], len(raw)], strict=True))
+
+
+def test_difference_cover():
+    for d in range(suffix_dedup.PERIOD):
+        assert any((c + d) % suffix_dedup.PERIOD in suffix_dedup.COVER for c in suffix_dedup.COVER)
+
+
+PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header>Site {0}</header><nav><a href="/a>b">Menu</a></nav><div class="ad">Buy</div><div id="cookie-notice">Cookies</div><article><h1>Head {0}</h1><p>One &amp; <b>two</b>&nbsp;three {0}<br>four<p>Unclosed <i>five</i>{0}<script>var x="</p>";</script></p><!-- gone --><ul><li>six</li></ul><form><input>Send</form></article><section class="comments"><p>Reader says</p></section><aside>Side</aside><footer>&copy; x</footer></body></html>'
+PLAIN = "<html><body><div class='menu'>Menu</div><div class='main-text'><p>Body text number {0} is long enough to win.</p><p>Always the same line.</p></div><div class='box'>Small</div></body></html>"
+
+
+def test_html(spark):
+    pages = [(i, f"https://u@Host.example/{i}?q", PAGE.format(i)) for i in range(8)] + [(20 + i, "http://plain.example/x", PLAIN.format(i)) for i in range(8)]
+    pages += [(40, None, None), (41, "", ""), (42, "x", "just text &lt;b&gt;  here"), (None, "http://a.b", "<p>no id</p>"), (43, "http://one.example", PLAIN.format(7)), (44, "http://bad", "<div <p>a < b</div>")]
+    df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, html string, host string, k int")
+    got = {r.page_id: r for r in html_extract.extract_text(df).collect()}
+    for i in range(8):
+        # short blocks that stand on every page of a host, such as `four` and `six`, are its template
+        assert got[i].text == f"Head {i} One & two three {i} Unclosed five{i}"
+        assert got[20 + i].text == f"Body text number {i} is long enough to win."
+    assert got[40].text == got[41].text == "" and got[40].n_chars == 0
+    assert got[42].text == "just text <b> here" and got[None].text == "no id"
+    assert got[43].text == "Body text number 7 is long enough to win. Always the same line."
+    assert len(got) == len(pages) and all(r.n_chars == len(r.text) for r in got.values())
+    assert html_extract.extract_text(df.limit(0)).count() == 0
+
+
+def test_language(docs, none, rows):
+    got = language_id.identify(docs).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    assert Counter((r.doc_id, r.held_out) for r in got) == Counter((i, held(i)) for i, _, _ in rows)
+    by = {r.doc_id: r for r in got}
+    assert all(0 <= r.score <= 1 for r in got)
+    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (500, 501, 502, 505, 509))
+    assert all(by[i].lang_pred == g for i, t, g in rows if i is not None and i < 300 and g and t and len(t) > 300)
+    assert language_id.identify(none).count() == 0
+    kept = {r.doc_id for r in language_id.drop_unidentified(docs).collect()}
+    assert kept == {r.doc_id for r in got if r.lang_pred != "und" and r.doc_id is not None}
+
+
+def test_language_pieces(monkeypatch):
+    text = "the quick brown fox über die straße " * 50
+    whole, _ = language_id.bundles([text, None, "!!", "日本語のテキスト"])
+    assert whole[1].any() == whole[2].any() == False  # noqa: E712
+    monkeypatch.setattr(language_id, "CELLS", 40)
+    some, known = language_id.bundles([text, None, "!!", "日本語のテキスト"])
+    assert np.allclose(whole, some) and known.tolist() == [True, False, False, True]
+
+
+def test_language_held_out(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = language_id.identify(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
+
+
+def brute_components(rows, size, percent=80):
+    sets = {}
+    for i, t, _ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        n = min(size, len(w))
+        sets[i] = frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if w else frozenset()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = [i for i in sets if i is not None and sets[i]]
+    for a in ids:
+        for b in ids:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return Counter((i, len(sets[i]), find(i) if i is not None else None, i == find(i) if i is not None else True) for i, _, _ in rows)
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates(docs, none, rows, size):
+    got = multiset(minhash.near_duplicates(docs.filter("doc_id is not null"), size), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute_components([r for r in rows if r[0] is not None], size)
+    nulls = minhash.near_duplicates(docs, size).filter("doc_id is null").collect()
+    assert len(nulls) == 2 and all(r.component_id is None and r.kept for r in nulls)
+    assert minhash.near_duplicates(none, size).count() == 0
+
+
+def test_pigeonhole():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        a = rng.integers(0, 1 << 16, minhash.SYMBOLS).astype("<u2")
+        b = a.copy()
+        b[rng.choice(minhash.SYMBOLS, minhash.DISTANCE, replace=False)] ^= 1
+        x, y = minhash.chunk_keys(a[None]), minhash.chunk_keys(b[None])
+        assert np.isin(x, y).any()
+
+
+def test_components(spark):
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + rng.randint(1, 50)) for _ in range(30)] + [(a, b) for a, b in ((rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)) if a != b]
+    got = {r.v: r.comp for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {}
+    for a, b in edges:
+        root.setdefault(a, a)
+        root.setdefault(b, b)
+    for _ in range(500):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == root
+
+
+def test_exact(docs, none, rows):
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[norm(t)].append(i)
+    low = {k: min((i for i in v if i is not None), default=None) for k, v in groups.items()}
+    want = Counter((i, low[norm(t)], len(groups[norm(t)]), i == low[norm(t)], sha(norm(t).encode())) for i, t, _ in rows)
+    assert multiset(exact_dedup.exact_dedup(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+    assert exact_dedup.exact_dedup(none).count() == 0
+    kept = Counter(r.doc_id for r in exact_dedup.drop_copies(docs).collect())
+    assert kept == Counter({i for i in low.values() if i is not None}) + Counter({None: 2})
+
+
+def test_exact_hot_and_collisions(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "GROUP_ROWS", 10)
+    df = spark.range(300).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('t', id % 7)) as text")
+    got = multiset(exact_dedup.exact_dedup(df), "doc_id", "keep_id", "group_size", "kept")
+    groups = defaultdict(list)
+    for i in range(300):
+        groups["hot" if i % 3 == 0 else f"t{i % 7}"].append(i)
+    assert got == Counter((i, v[0], len(v), i == v[0]) for v in groups.values() for i in v)
+    # a hash that collides: everything lands in one group, and bytes tell the texts apart
+    real = exact_dedup.F.md5
+    try:
+        exact_dedup.F.md5 = lambda c: F.lit("00" * 16)
+        assert multiset(exact_dedup.exact_dedup(df), "doc_id", "keep_id", "group_size", "kept") == got
+    finally:
+        exact_dedup.F.md5 = real
+
+
+def test_byte_bpe(docs, none, rows):
+    import base64
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for i, t, _ in rows:
+        ids = lib.encode_ordinary(t or "")
+        want[(i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((t or "").encode()))] += 1
+    assert multiset(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    r = byte_bpe.encode(docs.filter("doc_id = 508"), path, public_tokenizers.PATTERN, with_ids=True).first()
+    text = rows[[x[0] for x in rows].index(508)][1]
+    assert r.ids == lib.encode_ordinary(text) and r.decoded == text.encode()
+    assert byte_bpe.encode(none, path, public_tokenizers.PATTERN).count() == 0
+    bpe = byte_bpe.ByteBpe(path, public_tokenizers.PATTERN)
+    assert bpe.decode(lib.encode_ordinary(text)) == text.encode()
+    long = "a" * 700 + " " + "=" * 900 + "the" * 200
+    assert np.frombuffer(bpe.encode_batch([long])[0][0], "<u4").tolist() == lib.encode_ordinary(long)
+
+
+def brute_forward(hmm, obs):
+    a = hmm.start * hmm.emit[:, obs[0]]
+    total = math.log(a.sum())
+    a /= a.sum()
+    for o in obs[1:]:
+        a = (a @ hmm.move) * hmm.emit[:, o]
+        total += math.log(a.sum())
+        a /= a.sum()
+    return total
+
+
+def test_hmm_recursion():
+    rng = np.random.default_rng(3)
+    size = np.array([1, 5, 128, 129, 700, 256, 2])
+    obs = rng.integers(0, hmm_lm.CLASSES, size.sum()).astype(np.int32)
+    hmm = hmm_lm.Hmm.rough(np.full(hmm_lm.CLASSES, 1 / hmm_lm.CLASSES))
+    got, counts = hmm.run(obs, size, True)
+    at = np.cumsum(size) - size
+    assert np.allclose(got, [brute_forward(hmm, obs[a : a + n]) for a, n in zip(at, size, strict=True)])
+    assert np.isclose(counts[0].sum(), len(size)) and np.isclose(counts[1].sum(), (size - 1).sum()) and np.isclose(counts[2].sum(), size.sum())
+    # the expected moves of a short sequence, path by path
+    o, want, total = obs[1:6], np.zeros((hmm_lm.STATES,) * 2), 0
+    import itertools
+
+    for path in itertools.product(range(hmm_lm.STATES), repeat=5):
+        p = hmm.start[path[0]] * hmm.emit[path[0], o[0]]
+        for x, y, z in zip(path, path[1:], o[1:], strict=False):
+            p *= hmm.move[x, y] * hmm.emit[y, z]
+        total += p
+        for x, y in zip(path, path[1:], strict=False):
+            want[x, y] += p
+    assert np.allclose(hmm.run(o, np.array([5]), True)[1][1], want / total)
+    # a pass of Baum-Welch does not lower the likelihood
+    better = hmm_lm.Hmm.of(counts)
+    assert better.run(obs, size, False)[0].sum() > got.sum()
+
+
+def test_lm(docs, none, rows):
+    got = hmm_lm.score_texts(docs).collect()
+    words = lambda t: [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    counts = Counter(w for i, t, _ in rows if not held(i) for w in [*words(t), None])
+    total, kinds = sum(counts.values()), len(counts)
+    want = Counter()
+    for i, t, _ in rows:
+        tokens = [*words(t), None]
+        base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in tokens)
+        want[(i, held(i), len(tokens), sum(counts[w] > 0 for w in tokens), total, round(base, 6))] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    assert hmm_lm.score_texts(none).count() == 0
+
+
+def test_lm_beats_unigrams(spark, sf):
+    got = hmm_lm.score_texts(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
