@@ -23,7 +23,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import arrow_rows, bounded, cut, drop, free_shuffles, pick, salted_join, slices
@@ -32,8 +33,10 @@ from corpuslab.llm.common import arrow_rows, bounded, cut, drop, free_shuffles,
 COVER, PERIOD = (0, 1, 4, 14, 16), 21
 LENGTH = 50
 #: Bytes of text hashed at once; suffixes a packed row group holds before it is sent; suffixes of a range of names.
-PIECE, SENT, RANGE = 2 << 20, 3_000_000, 3_000_000
+PIECE, SENT, RANGE = 1 << 20, 1_500_000, 1_200_000
 LEAST_RANGES, ROUNDS = 64, 2
+#: Text bytes of a bucket of documents, which a task has at once.
+BUCKET_BYTES = 8 << 20
 #: Bytes of a name that are sent in the first and the last sort, besides its range.
 SHORT, LONG = 4, 7
 
@@ -145,8 +148,7 @@ def _numbers(x: bytes, width: int = 4) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(f"<i{width}").ravel()
 
 
-def _unpack(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, place and name of each suffix of a range."""
+def _decoded(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     docs, places = [], []
     for d, c, g in zip(t["docs"], t["counts"], t["gaps"], strict=True):
         counts, gaps = _numbers(c.as_py()).astype(np.int64), _numbers(g.as_py()).astype(np.int64)
@@ -154,53 +156,88 @@ def _unpack(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         first = np.cumsum(counts) - counts
         places.append((run - np.repeat(run[first] - gaps[first], counts)).astype(np.uint32))
         docs.append(np.repeat(np.cumsum(_numbers(d.as_py(), 8)), counts))
+    return np.concatenate(docs), np.concatenate(places)
+
+
+def _unpack(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, place and name of each suffix of a range."""
     flat = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(-1, width) for x in t["names"]])
     names = np.zeros((len(flat), 8), np.uint8)
     names[:, :width] = flat
-    return np.concatenate(docs), np.concatenate(places), names.view(np.uint64).ravel()
-
-
-_FOUND = pa.schema([("doc_id", pa.int64()), ("places", pa.binary())])
-
-
-def _by_document(docs: np.ndarray, places: np.ndarray) -> pa.Table:
+    return *_decoded(t), names.view(np.uint64).ravel()
+
+
+_FOUND = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("gaps", pa.binary())])
+_FOUND_DDL = "bucket int, docs binary, counts binary, gaps binary"
+_PRIME, _FACTOR = 1_000_003, 7919
+
+
+def _bucket_column(doc: Column, buckets: int) -> Column:
+    return F.pmod(F.pmod(doc.bitwiseXOR(F.shiftrightunsigned(doc, 17)), F.lit(_PRIME)) * _FACTOR, F.lit(buckets)).cast("int")
+
+
+def _buckets(docs: np.ndarray, buckets: int) -> np.ndarray:
+    """The same for numpy: which bucket of documents a document is in."""
+    return (docs ^ (docs.view(np.uint64) >> np.uint64(17)).view(np.int64)) % _PRIME * _FACTOR % buckets
+
+
+def _by_bucket(docs: np.ndarray, places: np.ndarray, buckets: int) -> pa.Table:
+    """What a range found, as a row for each bucket of documents."""
+    bucket = _buckets(docs, buckets)
+    order = np.lexsort((places, docs, bucket))
+    docs, places, bucket = docs[order], places[order].astype(np.int64), bucket[order]
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(docs) else np.zeros(0, np.int64)
+    out = {f.name: [] for f in _FOUND}
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(docs)], strict=False):
+        d, p = docs[a:b], places[a:b]
+        first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        gaps = np.diff(p, prepend=0)
+        gaps[first] = p[first]
+        out["bucket"].append(int(bucket[a]))
+        out["docs"].append(_planes(np.diff(d[first], prepend=0), 8))
+        out["counts"].append(_planes(np.diff(np.append(first, len(d))), 4))
+        out["gaps"].append(_planes(gaps, 4))
+    return pa.table(out, schema=_FOUND)
+
+
+def _found(t: pa.Table) -> tuple[dict[int, np.ndarray], set[int]]:
+    """The sorted places in each document of a bucket, from what all ranges found; and documents that are copies."""
+    if not t.num_rows:  # the empty side of a cogroup has no columns
+        return {}, set()
+    copies = {x for c in t["copies"].to_pylist() if c for x in c}
+    t = t.filter(pa.compute.is_valid(t["docs"]))
+    if not t.num_rows:
+        return {}, copies
+    docs, places = _decoded(t)
     order = np.lexsort((places, docs))
-    docs, places = docs[order], places[order]
-    first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-    ends = np.append(first[1:], len(docs)) if len(docs) else first
-    gaps = [np.diff(places[a:b], prepend=np.uint32(0)) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-    return pa.table({"doc_id": pa.array(docs[first], pa.int64()), "places": pa.array([_planes(g, 4) for g in gaps], pa.binary())}, schema=_FOUND)
-
-
-def _places(packed: list[bytes]) -> np.ndarray:
-    """Sorted places from what several ranges found in a document."""
-    return np.sort(np.concatenate([np.cumsum(_numbers(x).astype(np.int64)) for x in packed])) if packed else np.zeros(0, np.int64)
+    docs, places = docs[order], places[order].astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+    return dict(zip(docs[starts].tolist(), np.split(places, starts[1:]), strict=True)), copies
 
 
 def _classes(docs: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For suffixes sorted by name: the order, and the smallest and largest document of each one's equal names."""
-    order = np.lexsort((docs, names))
-    n = names[order]
+    """The order by name, and for each place in it the smallest and the largest document that has the name."""
+    order = np.argsort(names)
+    n, docs = names[order], docs[order]
     first = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
     size = np.diff(np.append(first, len(n)))
-    sorted_docs = docs[order]
-    return order, np.repeat(sorted_docs[first], size), np.repeat(sorted_docs[first + size - 1], size)
+    return order, np.repeat(np.minimum.reduceat(docs, first), size), np.repeat(np.maximum.reduceat(docs, first), size)
 
 
-def _tied(t: pa.Table) -> pa.Table:
+def _tied(t: pa.Table, buckets: int) -> pa.Table:
     """Sampled suffixes whose name stands in several documents."""
     docs, places, names = _unpack(t, SHORT)
     order, low, high = _classes(docs, names)
     at = order[low != high]
-    return _by_document(docs[at], places[at])
+    return _by_bucket(docs[at], places[at], buckets)
 
 
-def _hit(t: pa.Table) -> pa.Table:
+def _hit(t: pa.Table, buckets: int) -> pa.Table:
     """Suffixes whose prefix equals that of a suffix of a smaller document."""
     docs, places, names = _unpack(t, LONG)
     order, low, _ = _classes(docs, names)
     at = order[low < docs[order]]
-    return _by_document(docs[at], places[at])
+    return _by_bucket(docs[at], places[at], buckets)
 
 
 def sampled(batches, ranges: int):
@@ -218,31 +255,33 @@ def sampled(batches, ranges: int):
     yield from pack.flush()
 
 
-def remaining(batches, ranges: int, turn: int = 0, rounds: int = 1):
-    """Packed rows of the suffixes that sampled ties leave, from (doc_id, text, tied); those whose range is of this turn."""
-    pack = Packer(ranges, LONG)
-    for b in slices(batches, "text"):
-        for doc, text, packed in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            last = len(raw) - LENGTH
-            if last < 0:
-                continue
-            tied = _places(packed)
-            tied = tied[tied <= len(raw) - (LENGTH - PERIOD + 1)]
-            # ties among the sampled places of each window of PERIOD places
-            ties = np.zeros(len(raw) + 1, np.int32)
-            ties[tied + 1] = 1
-            np.cumsum(ties, out=ties)
-            starts = np.flatnonzero(ties[PERIOD : PERIOD + last + 1] > ties[: last + 1])
-            for s, piece in _pieces(raw, LENGTH):
-                at = starts[np.searchsorted(starts, s) : np.searchsorted(starts, s + len(piece) - LENGTH + 1)]
-                if len(at):
-                    names = names_of(piece, LENGTH)[at - s]
-                    if rounds > 1:
-                        now = _range(names, ranges) % rounds == turn
-                        at, names = at[now], names[now]
-                    yield from pack.add(doc, at, names)
-    yield from pack.flush()
+def remaining(docs: pa.Table, found: pa.Table, ranges: int, turn: int = 0, rounds: int = 1) -> pa.Table:
+    """Packed rows of the suffixes that sampled ties leave in a bucket of documents; those whose range is of this turn."""
+    tied, copies = _found(found)
+    pack, out = Packer(ranges, LONG), []
+    for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"], strict=True) if docs.num_rows else ():
+        if doc not in tied or doc in copies:
+            continue
+        raw = np.frombuffer(text.as_py().encode(), np.uint8)
+        last = len(raw) - LENGTH
+        if last < 0:
+            continue
+        places = tied[doc]
+        # ties among the sampled places of each window of PERIOD places
+        ties = np.zeros(len(raw) + 1, np.int32)
+        ties[places[places <= len(raw) - (LENGTH - PERIOD + 1)] + 1] = 1
+        np.cumsum(ties, out=ties)
+        starts = np.flatnonzero(ties[PERIOD : PERIOD + last + 1] > ties[: last + 1])
+        for s, piece in _pieces(raw, LENGTH):
+            at = starts[np.searchsorted(starts, s) : np.searchsorted(starts, s + len(piece) - LENGTH + 1)]
+            if len(at):
+                names = names_of(piece, LENGTH)[at - s]
+                if rounds > 1:
+                    now = _range(names, ranges) % rounds == turn
+                    at, names = at[now], names[now]
+                out += pack.add(doc, at, names)
+    out += pack.flush()
+    return pa.Table.from_batches(out, Packer.SCHEMA)
 
 
 def removed_spans(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -269,54 +308,65 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded(spark)
     base = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = base.filter(f"doc_id is not null and octet_length(text) >= {LENGTH}")
-    ranges = max(LEAST_RANGES, int((known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * len(COVER) / PERIOD / RANGE) + 1)
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(LEAST_RANGES, int(size * len(COVER) / PERIOD / RANGE) + 1)
 
     marked = known.select("doc_id", F.unhex(F.md5("text")).alias("h"))
     groups = cut(marked.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-copies")
     copies = cut(salted_join(marked, groups, groups, "h", "doc_id").filter("doc_id > first").select("doc_id").distinct(), "suffix-copies")
 
+    buckets = max(LEAST_RANGES, -(-size // BUCKET_BYTES))
+    in_bucket = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(buckets)).cast("int")).otherwise(_bucket_column(F.col("doc_id"), buckets)).alias("bucket")
+    dealt = base.select("doc_id", "text", in_bucket)
+    copied = copies.groupBy(_bucket_column(F.col("doc_id"), buckets).alias("bucket")).agg(F.collect_list("doc_id").alias("copies"))
+
+    def beside(found: DataFrame) -> DataFrame:
+        """What was found and the copies, by bucket."""
+        return found.unionByName(copied, allowMissingColumns=True).groupBy("bucket")
+
     packed = known.mapInArrow(lambda it: sampled(it, ranges), Packer.DDL)
-    tied = cut(packed.groupBy("range").applyInArrow(_tied, "doc_id long, places binary"), "suffix-tied")
+    tied = cut(packed.groupBy("range").applyInArrow(lambda t: _tied(t, buckets), _FOUND_DDL), "suffix-tied")
     del packed
     free_shuffles(spark)
     hit = None
+
+    def leaving(turn: int):
+        return lambda a, b: remaining(a, b, ranges, turn, ROUNDS)
+
     for turn in range(ROUNDS):
-        tied_by_doc = tied.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list("places").alias("tied"))
-        rest = known.join(tied_by_doc, "doc_id").select("doc_id", "text", "tied").mapInArrow(lambda it, turn=turn: remaining(it, ranges, turn, ROUNDS), Packer.DDL)
-        part = cut(rest.groupBy("range").applyInArrow(_hit, "doc_id long, places binary"), "suffix-hit")
+        rest = dealt.groupBy("bucket").cogroup(beside(tied)).applyInArrow(leaving(turn), Packer.DDL)
+        part = cut(rest.groupBy("range").applyInArrow(lambda t: _hit(t, buckets), _FOUND_DDL), "suffix-hit")
         hit = part if hit is None else hit.unionByName(part)
-        del rest, tied_by_doc
+        del rest
         free_shuffles(spark)
     drop(tied)
 
-    hit_by_doc = hit.groupBy("doc_id").agg(F.collect_list("places").alias("hit"))
-    facts = base.join(hit_by_doc, "doc_id", "left").join(copies.select("doc_id", F.lit(True).alias("copy")), "doc_id", "left")
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     if with_kept:
         fields += [("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("kept", pa.binary())]
 
-    def removed(batches):
-        for b in slices(batches, "text"):
-            out = {name: [] for name, _ in fields}
-            for doc, text, places, copy in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                raw = text.encode()
-                if copy and len(raw) >= LENGTH:
-                    spans = [(0, len(raw))]
-                else:
-                    at = _places(places or [])
-                    spans = removed_spans(at[at <= len(raw) - LENGTH])
-                kept, last = [], 0
-                for s, e in spans:
-                    kept.append(raw[last:s])
-                    last = e
-                left = b"".join([*kept, raw[last:]])
-                row = (doc, len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), [{"s": s, "e": e} for s, e in spans], left)
-                for name, value in zip(out, row, strict=False):
-                    out[name].append(value)
-            yield arrow_rows(pa.schema(fields), **out)
+    def removed(docs: pa.Table, found: pa.Table) -> pa.Table:
+        hits, copies = _found(found)
+        out = {name: [] for name, _ in fields}
+        for doc, text in zip(docs["doc_id"].to_pylist(), docs["text"], strict=True) if docs.num_rows else ():
+            raw = text.as_py().encode()
+            if doc in copies and len(raw) >= LENGTH:
+                spans = [(0, len(raw))]
+            else:
+                at = hits.get(doc, np.zeros(0, np.int64))
+                spans = removed_spans(at[at <= len(raw) - LENGTH])
+            kept, last = [], 0
+            for s, e in spans:
+                kept.append(raw[last:s])
+                last = e
+            left = b"".join([*kept, raw[last:]])
+            row = (doc, len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), [{"s": s, "e": e} for s, e in spans], left)
+            for name, value in zip(out, row, strict=False):
+                out[name].append(value)
+        return pa.table(out, schema=pa.schema(fields))
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<s:long,e:long>>, kept binary" * with_kept
-    return facts.select("doc_id", "text", "hit", "copy").mapInArrow(removed, ddl)
+    return dealt.groupBy("bucket").cogroup(beside(hit)).applyInArrow(removed, ddl)
 
 
 def _oracle() -> str:
