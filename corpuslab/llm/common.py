@@ -45,11 +45,16 @@ def drop(table: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished stages, which it does once the driver collects garbage."""
+    """Let Spark's cleaner remove the shuffle files of finished stages, which it does once the driver collects garbage.
+
+    A first collection frees the plans, a second one what they held."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
