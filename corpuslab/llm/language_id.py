@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import arrow_rows, bounded, pick, slices
+from corpuslab.llm.common import arrow_rows, bounded, cut, pick, slices
 
 #: Dimensions of the hypervectors, letters of an n-gram, folds of the hold-out, languages that may be learned.
 DIM, GRAM, FOLDS, MOST_LANGUAGES = 1024, 3, 5, 10_000
@@ -173,5 +173,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
     """Documents in which a language was found, with all their columns (rows without an id go)."""
-    und = identify(docs).filter("lang_pred != 'und'").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(und, F.col("doc_id") == F.col("_id"), "left_semi")
+    gone = cut(identify(docs).filter("lang_pred = 'und'").select(F.col("doc_id").alias("_id")).distinct(), "und")
+    return docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
