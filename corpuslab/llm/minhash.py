@@ -6,11 +6,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import Memo, arrow_rows, bounded, cut, drop, free_shuffles, pick, salted_join, slices
+from corpuslab.llm.common import arrow_rows, bounded, cut, drop, free_shuffles, pick, salted_join, slices
 
 #: A signature has CHUNKS * WIDTH symbols of 16 bits. Signatures that differ in DISTANCE symbols at most have, by the
 #: pigeonhole principle, a chunk with DISTANCE // CHUNKS = 1 differing symbol at most: they share a chunk with that
@@ -18,15 +17,24 @@ from corpuslab.llm.common import Memo, arrow_rows, bounded, cut, drop, free_shuf
 #: deviations beyond.
 CHUNKS, WIDTH, DISTANCE = 13, 5, 25
 SYMBOLS = CHUNKS * WIDTH
-#: Rounds that compare a bucket's rows with one random row of it, before the rest of a bucket is compared in tiles of so many rows.
-STAR_ROUNDS, TILE = 3, 1024
-WORD_CACHE = 400_000
+#: Rows of a bucket that are compared in one tile with as many others; symbols (8 bits) of the longer sketch that decides
+#: which of them are worth an exact look, and the share that must agree, four and a half deviations below 0.8.
+TILE, SKETCH, LEAST_AGREE = 2048, 512, 0.72
+#: Buckets of more rows than SMALL compare their rows by the BOTTOM smallest hashes of their sets (all, of most): in
+#: NEAR_ROUNDS rounds a row offers its NEAREST rows of other components, then all that are left are compared.
+SMALL, BOTTOM, NEAR_ROUNDS, NEAREST = 64, 1024, 2, 3
 
 _rng = np.random.default_rng(11)
 _A = _rng.integers(1, 1 << 63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SYMBOLS, np.uint64)
+_C = _rng.integers(1, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
+_D = _rng.integers(0, 1 << 63, SKETCH, np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_WORDS = Memo(WORD_CACHE)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTES = _rng.integers(0, 1 << 63, 256, np.uint64)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_POWERS: tuple[np.ndarray, np.ndarray] = (np.ones(0, np.uint64), np.ones(0, np.uint64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -35,39 +43,66 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        size = max(n, 1 << 20)
+        with np.errstate(over="ignore"):
+            _POWERS = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, p, np.uint64)]), dtype=np.uint64) for p in (_BASE, _INVERSE))
+    return _POWERS
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of raw start, and a hash (64 bits) of each: differences of one running polynomial sum."""
+    b = np.frombuffer(raw + b" ", np.uint8)
+    space = _SPACE[b]
+    start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    last = np.flatnonzero(~space[:-1] & space[1:])
+    power, inverse = _power(len(b))
+    with np.errstate(over="ignore"):
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[b] * power[: len(b)], dtype=np.uint64)])
+        return start, _mix((run[last + 1] - run[start]) * inverse[start] + (last - start).astype(np.uint64))
+
+
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     """The sorted distinct hashes (64 bits) of each text's shingles.
 
     Words are runs of characters other than space and U+0009 to U+000D, with A-Z in lower case. A text of
     fewer words than a shingle has its whole sequence as one; a text without words has none.
     """
-    words = [t.encode().lower().split() if t else [] for t in texts]
-    for w in _WORDS.missing({x for d in words for x in d}):
-        _WORDS.new[w] = xxhash.xxh3_64_intdigest(w)
-    get = _WORDS.new.__getitem__
-    out = []
+    raw = [t.encode().lower() if t else b"" for t in texts]
+    start, words = word_hashes(b" ".join(raw))
+    border = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in raw)])).tolist()
     with np.errstate(over="ignore"):
-        for d in words:
-            h = np.fromiter(map(get, d), np.uint64, len(d))
-            n = min(size, len(h))
-            if not n:
-                out.append(h)
-                continue
-            s = np.full(len(h) - n + 1, n, np.uint64)
+
+        def shingles(h: np.ndarray, n: int) -> np.ndarray:
+            out = np.full(max(0, len(h) - n + 1), n, np.uint64)
             for j in range(n):
-                s = _mix(s * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - n + 1 + j])
-            out.append(np.unique(s))
-    _WORDS.turn()
-    return out
+                out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - n + 1 + j])
+            return out
 
+        whole = shingles(words, size) if len(words) >= size else words[:0]
+        return [np.unique(whole[a : b - size + 1]) if b - a >= size else shingles(words[a:b], b - a) if b > a else words[:0] for a, b in zip(border, border[1:], strict=False)]
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Low 16 bits of a mixed minimum for each of the permutations."""
-    low = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+
+def _minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A mixed minimum for each of the permutations."""
+    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(0, len(shingles), 4096):
-            low = np.minimum(low, (shingles[i : i + 4096, None] * _A + _B).min(0))
-        return (_mix(low) & np.uint64(0xFFFF)).astype("<u2")
+        for i in range(0, len(shingles), 2048):
+            low = np.minimum(low, (shingles[i : i + 2048, None] * a + b).min(0))
+        return _mix(low)
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """SYMBOLS symbols of 16 bits: what the index is made of."""
+    return (_minima(shingles, _A, _B) & np.uint64(0xFFFF)).astype("<u2")
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH symbols of 8 bits."""
+    return (_minima(shingles, _C, _D) & np.uint64(0xFF)).astype(np.uint8)
 
 
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
@@ -131,22 +166,80 @@ def _confirm(batches, percent: int):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _tiles(groups):
-    """Pairs of different components in a tile of a bucket, within the signature distance and the ratio of sizes."""
-    key, t = groups
-    rows, ids, n = t.num_rows, np.asarray(t["rep"]), np.asarray(t["n"])
-    comp, side = np.asarray(t["comp"]), np.asarray(t["side"])
-    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(-1, SYMBOLS)
-    found_a, found_b = [], []
-    percent = int(t["percent"][0].as_py()) if rows else 0
-    for i in range(rows):
-        # a tile off the diagonal compares its two sides, one on it each pair once
-        other = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ((side == 1) if side[i] == 0 else (np.arange(rows) > i) & (side == 2) if side[i] == 2 else False))
+def _foreign(t: pa.Table, sig: np.ndarray, percent: int):
+    """(i, others) of a tile: rows of other components within the signature distance and the ratio of sizes, each pair once.
+
+    A pair has a row outside the tile's largest component, so only those rows are walked."""
+    n, comp, side = np.asarray(t["n"]), np.asarray(t["comp"]), np.asarray(t["side"])
+    names, sizes = np.unique(comp, return_counts=True)
+    minor = comp != names[sizes.argmax()]
+    place = np.arange(len(n))
+    for i in np.flatnonzero(minor).tolist():
+        # a tile off the diagonal compares its two sides (0 and 1), one on it (2) its rows with each other
+        with_i = (side == 1 - side[i]) if side[i] < 2 else (place != i)
+        other = np.flatnonzero(with_i & (comp != comp[i]) & (~minor | (place > i)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
         if len(other):
             other = other[(sig[other] != sig[i]).sum(1) <= DISTANCE]
-            found_a += [min(ids[i], ids[j]) for j in other]
-            found_b += [max(ids[i], ids[j]) for j in other]
-    return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+            if len(other):
+                yield i, other
+
+
+def _symbols(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(-1, SYMBOLS)
+
+
+def _offered(t: pa.Table, sig: np.ndarray, percent: int):
+    """_foreign(), where two rows that share several keys are looked at under the first of them only."""
+    keys, key = chunk_keys(sig), t["key"][0].as_py()
+    for i, other in _foreign(t, sig, percent):
+        first = np.argmax(keys[other] == keys[i], axis=1)
+        if len(other := other[keys[i][first] == key]):
+            yield i, other
+
+
+def _active(t: pa.Table, percent: int) -> pa.Table:
+    """Rows of a tile that have a row of another component to be looked at here: as many as the tile has at most."""
+    seen = np.zeros(t.num_rows, bool)
+    for i, other in _offered(t, _symbols(t), percent):
+        seen[i] = True
+        seen[other] = True
+    return t.select(["key", "rep", "n"]).filter(pa.array(seen))
+
+
+def _pairs(ids: np.ndarray, found: list[tuple[int, np.ndarray]]) -> pa.Table:
+    a = np.concatenate([np.full(len(o), ids[i]) for i, o in found]) if found else np.zeros(0, np.int64)
+    b = np.concatenate([ids[o] for _, o in found]) if found else np.zeros(0, np.int64)
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _by_sketch(t: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a small bucket whose sketches agree enough."""
+    sig, sketches = _symbols(t), np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+    found = [(i, o[(sketches[o] == sketches[i]).sum(1) >= LEAST_AGREE * SKETCH]) for i, o in _offered(t, sig, percent)]
+    return _pairs(np.asarray(t["rep"]), found)
+
+
+def _bottom_similarity(p: np.ndarray, q: np.ndarray) -> float:
+    """Similarity of two sets from their BOTTOM smallest hashes: exact if both are whole, else an estimate."""
+    shared = np.intersect1d(p, q, assume_unique=True)
+    if max(len(p), len(q)) < BOTTOM:
+        return len(shared) / (len(p) + len(q) - len(shared))
+    low = np.union1d(p, q)[:BOTTOM]
+    return np.searchsorted(shared, low[-1], "right") / len(low)
+
+
+def _by_bottom(t: pa.Table, percent: int, nearest: int | None) -> pa.Table:
+    """Pairs of a large bucket that are similar by their smallest hashes (with a margin where that is an estimate); of each
+    row the nearest few, or all."""
+    sig, sets, found = _symbols(t), [np.frombuffer(x.as_buffer(), np.uint64) for x in t["bottom"]], []
+    for i, other in _offered(t, sig, percent):
+        like = np.array([_bottom_similarity(sets[i], sets[j]) for j in other])
+        least = np.array([percent / 100 - (1e-9 if max(len(sets[i]), len(sets[j])) < BOTTOM else 0.06) for j in other])
+        other, like = other[like >= least], like[like >= least]
+        if nearest is not None and len(other) > nearest:
+            other = other[np.argsort(-like, kind="stable")[:nearest]]
+        found.append((i, other))
+    return _pairs(np.asarray(t["rep"]), found)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,9 +271,9 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, id_col: s
     Documents are linked if their sets of `size`-word shingles have 100 * intersection >= percent * union;
     component_id is the smallest id that links reach. Documents with the same set are one vertex, so copies
     are never expanded. All pairs of signatures within DISTANCE are candidates (see CHUNKS), and each is
-    confirmed on the whole sets. A bucket of the index first compares its rows with random rows of its own,
-    which joins groups of copies without making their pairs; rows that stay in different components are then
-    all compared, in tiles of bounded size.
+    confirmed on the whole sets. A bucket of the index first compares its rows with the one that shares most
+    with others, which joins groups of copies without making their pairs; rows that stay in different
+    components are compared in tiles of bounded size, nearest ones first, in the end all that are left.
 
     Texts without words (null, empty, white space) are linked with nothing and are kept. Rows without an id
     are linked with nothing, their component is null and they are kept. Rows that repeat an id share its
@@ -197,52 +290,68 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, id_col: s
     buckets = cut(salted_join(keyed, sizes, sizes, "key", "rep", "rows").drop("rows"), "near-buckets")
     free_shuffles(spark)
 
-    similar_size = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
     sigs = reps.select("rep", "sig")
-    edges = labels = tried = shingles = None
-    for t in range(STAR_ROUNDS + 1):
-        rows = buckets
-        if labels is not None:
-            rows = rows.join(labels.select(F.col("v").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-            open_keys = cut(rows.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count(F.lit(1)).alias("rows")).filter("c != d").select("key", "rows"), "near-open")
-            rows = salted_join(rows, open_keys, open_keys, "key", "rep", "rows").drop("rows")
-            sizes_now = open_keys
-        else:
-            rows, sizes_now = rows.withColumn("comp", F.col("rep")), sizes
-        if t < STAR_ROUNDS:
-            lead = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(t)).alias("o"), F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("comp").alias("c2"))).alias("s")).select("key", "s.r2", "s.n2", "s.c2")
-            pairs = salted_join(rows, lead, sizes_now, "key", "rep", "rows").filter(f"comp != c2 and {similar_size}").select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b"))
-        else:
-            # tile (i, j) of a bucket gets the rows of its parts i and j: tasks hold 2 * TILE rows whatever the bucket
-            parts = sizes_now.select("key", F.ceil(F.col("rows") / TILE).cast("int").alias("parts"))
-            dealt = salted_join(rows.join(sigs, "rep"), parts, sizes_now, "key", "rep", "rows").withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int"))
-            tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"), "rep", "n", "comp", "sig", F.lit(percent).alias("percent"))
-            pairs = tiles.groupBy("key", "i", "j").applyInArrow(lambda k, v: _tiles((k, v)), "a long, b long")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if t < STAR_ROUNDS:
-            near = pairs.join(sigs.withColumnsRenamed({"rep": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"rep": "b", "sig": "sb"}), "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long")
-        else:
-            near = pairs
-        near = cut(near, "near-pairs")
-        if shingles is None:
-            # sets of all texts that any pair of signatures may need: those in a bucket with others
-            wanted = cut(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-wanted")
-            shingles = cut(_sets_of(base, wanted, size), "near-sets")
-            have = wanted
-        else:
-            more = cut(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(have, "rep", "left_anti"), "near-wanted")
-            if more.limit(1).count():
-                new = cut(_sets_of(base, more, size), "near-sets")
-                shingles, have = shingles.unionByName(new), have.unionByName(more)
-        both = near.join(shingles.withColumnsRenamed({"rep": "a", "s": "x"}), "a").join(shingles.withColumnsRenamed({"rep": "b", "s": "y"}), "b").select("a", "b", "x", "y")
-        good = cut(both.mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "near-edges")
-        edges = good if edges is None else edges.unionByName(good)
-        tried = near if tried is None else tried.unionByName(near)
+    sets = _Sets(base, size)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.of(pairs).withColumnsRenamed({"rep": "a", "s": "x"}), "a").join(sets.table.withColumnsRenamed({"rep": "b", "s": "y"}), "b").select("a", "b", "x", "y")
+        return cut(both.mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "near-edges")
+
+    # 1. each bucket's rows against that of them which shares most with others: the centre of a group of copies
+    weight = salted_join(buckets.select("key", "rep"), sizes, sizes, "key", "rep", "rows").groupBy("rep").agg(F.sum("rows").alias("weight"))
+    lead = buckets.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("o"), F.col("n").alias("n2"))).alias("s")).select("key", (-F.col("s.o")).alias("r2"), "s.n2")
+    star = salted_join(buckets, lead, sizes, "key", "rep", "rows").filter(f"rep != r2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)")
+    star = star.select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b")).distinct()
+    both = star.join(sigs.withColumnsRenamed({"rep": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"rep": "b", "sig": "sb"}), "b").select("a", "b", "sa", "sb")
+    tried = cut(both.mapInArrow(_near, "a long, b long"), "near-pairs")
+    edges = confirmed(tried)
+    labels = components(edges)
+    free_shuffles(spark)
+
+    # 2. buckets that still hold several components: tiles of their rows
+    def tiles(rows: DataFrame, sizes: DataFrame, *cols: str) -> DataFrame:
+        """Rows by (key, i, j): part i of a bucket meets part j of it, so a task holds 2 * TILE rows whatever the bucket."""
+        parts = sizes.select("key", F.ceil(F.col("rows") / TILE).cast("int").alias("parts"))
+        dealt = salted_join(rows, parts, sizes, "key", "rep", "rows").withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int"))
+        met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
+        return met.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), side.alias("side"), "rep", "n", "comp", *cols).groupBy("key", "i", "j")
+
+    def still_open(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows with their component, of buckets with several, and the sizes of these."""
+        rows = rows.join(labels.select(F.col("v").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        keys = cut(rows.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count(F.lit(1)).alias("rows")).filter("c != d").select("key", "rows"), "near-open")
+        return salted_join(rows, keys, keys, "key", "rep", "rows").drop("rows"), keys
+
+    rows, keys = still_open(buckets, labels)
+    near = tiles(rows.join(sigs, "rep"), keys, "sig").applyInArrow(lambda t: _active(t, percent), "key long, rep long, n long").distinct()
+    active = cut(near, "near-active")
+    counted = cut(active.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "near-counted")
+    made = cut(sets.of(active.select("rep")).join(active.select("rep").distinct(), "rep", "left_semi").mapInArrow(_sketched, "rep long, sketch binary, bottom binary"), "near-sketches")
+    wide = sigs.join(made, "rep")
+    free_shuffles(spark)
+
+    def take(offers: DataFrame) -> None:
+        nonlocal tried, edges, labels
+        pairs = cut(offers.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        tried, edges = tried.unionByName(pairs), edges.unionByName(confirmed(pairs))
         labels = components(edges)
         free_shuffles(spark)
 
+    small = active.join(counted.filter(F.col("rows") <= SMALL).select("key"), "key", "left_semi")
+    rows, keys = still_open(small, labels)
+    take(tiles(rows.join(wide.drop("bottom"), "rep"), keys, "sig", "sketch").applyInArrow(lambda t: _by_sketch(t, percent), "a long, b long"))
+    large_keys = counted.filter(F.col("rows") > SMALL)
+    if large_keys.limit(1).count():
+        large = cut(salted_join(active, large_keys, large_keys, "key", "rep", "rows").drop("rows"), "near-large")
+
+        def offering(nearest: int | None):
+            return lambda t: _by_bottom(t, percent, nearest)
+
+        for t in range(NEAR_ROUNDS + 1):
+            rows, keys = still_open(large, labels)
+            take(tiles(rows.join(wide.drop("sketch"), "rep"), keys, "sig", "bottom").applyInArrow(offering(NEAREST if t < NEAR_ROUNDS else None), "a long, b long"))
+
     vertex = reps.join(labels.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("h", F.coalesce("comp", "rep").alias("comp"))
     rows = signed.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("h")).alias("h"))
     found = salted_join(rows.filter("h is not null"), vertex, reps.select("h", F.col("copies").alias("n2")), "h", "doc_id", "n2")
@@ -250,19 +359,55 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, id_col: s
     return found.select("doc_id", "n", "comp").unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("comp")).alias("kept"))
 
 
-def _sets_of(base: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(rep, s): the shingle sets of the documents whose ids are wanted, one for each id."""
-    schema = pa.schema([("rep", pa.int64()), ("s", pa.binary())])
+class _Sets:
+    """Shingle sets of documents, made when they are first asked for."""
+
+    def __init__(self, base: DataFrame, size: int):
+        self.base, self.size = base, size
+        self.have = self.table = None
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(rep, s) with at least those of the ids in any column of `ids`."""
+        wanted = ids.select(F.explode(F.array(*ids.columns)).alias("rep")).distinct()
+        new = cut(wanted if self.have is None else wanted.join(self.have, "rep", "left_anti"), "near-wanted")
+        if self.table is None or new.limit(1).count():
+            size, schema = self.size, pa.schema([("rep", pa.int64()), ("s", pa.binary())])
 
-    def run(batches):
-        for b in slices(batches, "text"):
-            yield arrow_rows(schema, rep=b.column(0), s=[s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), size)])
+            def run(batches):
+                for b in slices(batches, "text"):
+                    yield arrow_rows(schema, rep=b.column(0), s=[x.tobytes() for x in shingle_sets(b.column(1).to_pylist(), size)])
 
-    texts = base.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, s binary").dropDuplicates(["rep"])
+            texts = self.base.join(new.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+            made = cut(texts.mapInArrow(run, "rep long, s binary").dropDuplicates(["rep"]), "near-sets")
+            self.table = made if self.table is None else self.table.unionByName(made)
+            self.have = new if self.have is None else self.have.unionByName(new)
+        return self.table
+
+
+def _sketched(batches):
+    schema = pa.schema([("rep", pa.int64()), ("sketch", pa.binary()), ("bottom", pa.binary())])
+    for b in batches:
+        for i in range(0, b.num_rows, 500):
+            part = b.slice(i, 500)
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
+            yield arrow_rows(schema, rep=part.column(0), sketch=[sketch(x).tobytes() for x in sets], bottom=[x[:BOTTOM].tobytes() for x in sets])
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near copies, that with the smallest id, with all its columns."""
-    gone = near_duplicates(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    gone = cut(near_duplicates(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_id")).distinct(), "near-gone")
     return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+
+
+ORACLE = r"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+placed as (select doc_id, w, unnest(range(1, greatest(len(w), 2))) as i from words where len(w) > 0),
+sets as (select distinct doc_id, case when len(w) = 1 then w[1] else w[i] || ' ' || w[i + 1] end as s from placed),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by all),
+near as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+links as (select a, b from near union all select b, a from near),
+reached(v, m) as (select doc_id, doc_id from documents union select links.b, reached.m from reached join links on links.a = reached.v)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, doc_id = component_id as kept
+from (select v as doc_id, min(m) as component_id from reached group by v) left join sizes using (doc_id)
+"""

@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.ORACLE, "op4_suffix_dedup": suffix_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_decontaminate": decontaminate.ORACLE, "op4_suffix_dedup": suffix_dedup.ORACLE, "op7_near_dedup": minhash.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}

@@ -275,8 +275,10 @@ def brute_components(rows, size, percent=80):
     return Counter((i, len(sets[i]), find(i) if i is not None else None, i == find(i) if i is not None else True) for i, _, _ in rows)
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near_duplicates(docs, none, rows, size):
+@pytest.mark.parametrize("size, small, tile", [(2, 64, 1024), (5, 2, 4)])
+def test_near_duplicates(docs, none, rows, monkeypatch, size, small, tile):
+    monkeypatch.setattr(minhash, "SMALL", small)  # with few rows, buckets count as large and are cut into tiles
+    monkeypatch.setattr(minhash, "TILE", tile)
     got = multiset(minhash.near_duplicates(docs.filter("doc_id is not null"), size), "doc_id", "n_shingles", "component_id", "kept")
     assert got == brute_components([r for r in rows if r[0] is not None], size)
     nulls = minhash.near_duplicates(docs, size).filter("doc_id is null").collect()
