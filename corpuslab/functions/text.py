@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 #: Unicode white space and word characters as Java (and RE2) classes: `\s` and `\w` there are ASCII only.
@@ -16,12 +17,12 @@ WORD = "[\\p{L}\\p{N}_]+"
 ZERO_WIDTH = "​‌‍﻿"
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def ascii_fold(s: pd.Series) -> pd.Series:
     """NFKD without what isn't ASCII."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())

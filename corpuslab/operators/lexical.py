@@ -19,12 +19,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def _counts(tokens: Column) -> Column:
-    """Occurrences of each distinct token of a row, from the runs of the sorted tokens: no quadratic scan of the row.
+def _run_starts(s: Column) -> Column:
+    """Where runs of equal items start in a sorted array column (a column, not an expression: lambdas evaluate it for each item)."""
+    return F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.element_at(s, F.greatest(i, F.lit(1)))), i)), lambda i: i.isNotNull())
 
-    array_sort keeps equal tokens together; run boundaries are where a token differs from the one before."""
-    s = F.array_sort(tokens)
-    starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.element_at(s, F.greatest(i, F.lit(1)))), i)), lambda i: i.isNotNull())
+
+def _run_lengths(s: Column, starts: Column) -> Column:
     ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(s)))
     return F.zip_with(starts, ends, lambda a, b: (b - a).cast("long"))
 
@@ -44,7 +44,9 @@ def row_metrics(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     Tokens are made once, in a projection of their own, and dropped at the end."""
     t, n, v = F.col("_tokens"), F.col("_n"), F.col("_v")
     rows = df.withColumn("_tokens", X.tokens(F.col(text))).withColumn("_n", F.size(t).cast("long")).withColumn("_v", F.size(F.array_distinct(t)).cast("long"))
-    rows = rows.withColumn("_c", _counts(t)).withColumn("_content", F.size(F.filter(t, lambda x: x.rlike(CONTENT))).cast("long"))
+    # occurrences of each type are the runs of the sorted tokens, each step in a projection of its own
+    rows = rows.withColumn("_s", F.array_sort(t)).withColumn("_starts", _run_starts(F.col("_s"))).withColumn("_c", _run_lengths(F.col("_s"), F.col("_starts")))
+    rows = rows.withColumn("_content", F.size(F.filter(t, lambda x: x.rlike(CONTENT))).cast("long"))
     squares = F.aggregate("_c", F.lit(0).cast("long"), lambda a, c: a + c * c)
     content_words = F.filter(t, lambda x: x.rlike(CONTENT))
     rows = rows.withColumn("_sq", squares).withColumn("_content_v", F.size(F.array_distinct(content_words)).cast("long"))
@@ -61,7 +63,7 @@ def row_metrics(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
         "function_to_content": f2c, "content_to_function": F.when(f2c != 0, F.lit(1.0) / f2c), "function_proportion": ratio(function, n),
     }
     rows = rows.withColumns({f"{prefix}{name}": expr for name, expr in out.items()})
-    return rows.drop("_tokens", "_n", "_v", "_c", "_content", "_sq", "_content_v")
+    return rows.drop("_tokens", "_n", "_v", "_s", "_starts", "_c", "_content", "_sq", "_content_v")
 
 
 ROW_METRICS = "tokens types ttr yules_k yules_i shannon simpson inverse_simpson unique_forms repeated_token_rate repeated_3gram_rate repeated_4gram_rate consecutive_repetition_rate content_repetition_rate lexical_density function_to_content content_to_function function_proportion".split()
@@ -203,13 +205,14 @@ def mtld(tokens: list[str]) -> float | None:
 def mtld_by_group(df: DataFrame, text: str, order: str, by: str) -> DataFrame:
     """by, n, mtld. A sequential fold by definition: each group and direction is one ordered stream through a task, whose
     state is the open segment; texts stream, they are not gathered."""
-    rows = df.select(F.col(by).cast("string").alias("g"), F.col(order).cast("long").alias("o"), text).withColumn("t", X.tokens(F.col(text))).drop(text)
-    both = rows.withColumn("back", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("o", F.when(F.col("back"), -F.col("o")).otherwise(F.col("o"))).withColumn("t", F.when(F.col("back"), F.reverse("t")).otherwise(F.col("t")))
+    rows = df.select(F.col(by).cast("string").alias("g"), F.col(order).cast("long").alias("o"), X.tokens(F.col(text)).alias("toks"))
+    back = F.explode(F.array(F.lit(False), F.lit(True))).alias("back")
+    both = rows.select("g", "o", "toks", back).select("g", "back", F.when(F.col("back"), -F.col("o")).otherwise(F.col("o")).alias("o"), F.when(F.col("back"), F.reverse("toks")).otherwise(F.col("toks")).alias("toks"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state, out = None, MtldPass(), []
         for b in batches:
-            for g, back, toks in zip(b["g"], b["back"], b["t"], strict=True):
+            for g, back, toks in zip(b["g"], b["back"], b["toks"], strict=True):
                 if (g, back) != now:
                     if now is not None:
                         out.append((now[0], state.total, state.score()))

@@ -52,20 +52,23 @@ def stop_word_language() -> Callable[[str], tuple[str, float]]:
 def scorer_plugin(load: Callable[[], Callable[..., list[float]]], columns: int) -> Callable[..., Column]:
     """texts... -> double, in batches; a scorer that returns another number of scores is an error."""
 
+    def checked(score, cols) -> pd.Series:
+        out = score(*[c.fillna("").tolist() for c in cols])
+        if len(out) != len(cols[0]):
+            raise ValueError("the scorer returned another number of scores")
+        return pd.Series(out, dtype="float64")
+
     @pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         score = load()
         for cols in batches:
-            out = score(*[c.fillna("").tolist() for c in cols])
-            if len(out) != len(cols[0]):
-                raise ValueError("the scorer returned another number of scores")
-            yield pd.Series(out, dtype="float64")
+            yield checked(score, cols)
 
     @pandas_udf("double")
     def one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = load()
         for c in batches:
-            yield pd.Series(score(c.fillna("").tolist()), dtype="float64")
+            yield checked(score, (c,))
 
     return one if columns == 1 else run
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslab.operators.order import ordered_splits
 from corpuslab.schema import CorpusError, require_columns
@@ -147,7 +148,7 @@ def refill(kept: DataFrame, reserve: DataFrame, sizes: dict[str, int], order: st
         earlier.append(name)
     if not added:
         return kept.withColumn("refilled", F.lit(False))
-    rows = reserve.sparkSession.createDataFrame([(*r, s) for r, s in added], reserve.schema.add("split", "string"))
+    rows = reserve.sparkSession.createDataFrame([(*r, s) for r, s in added], T.StructType([*reserve.schema.fields, T.StructField("split", T.StringType())]))
     return kept.withColumn("refilled", F.lit(False)).unionByName(rows.withColumn("refilled", F.lit(True)), allowMissingColumns=True)
 
 

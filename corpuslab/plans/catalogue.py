@@ -1,15 +1,738 @@
-"""The query catalogue: every query of the engine by name, with the SQL it is held against."""
+"""The query catalogue: every query of the engine by name, with the SQL it is held against.
+
+A query takes (spark, sf_dir) and returns a DataFrame over the whole tables. Doubles are rounded to six digits, since
+sums depend on the order of partitions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuslab.functions import text as X
+from corpuslab.operators import audit as A
+from corpuslab.operators import contrast as B
+from corpuslab.operators import lexical as L
+from corpuslab.operators import linguistic as M
+from corpuslab.operators import plugins as P
+from corpuslab.operators import quality as Q
+from corpuslab.operators import report as R
+from corpuslab.operators import reward as W
+from corpuslab.operators import select as S
+from corpuslab.operators import shape as C
+from corpuslab.operators import stats as T
+from corpuslab.operators.order import ordered_splits, with_position
+from corpuslab.plans import views as V
+from corpuslab.streaming.resume import pending
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def r6(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(F.col(f"`{c}`"), 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+documents = lambda s, d: V.table(s, d, "documents")
+
+# Text.
+
+DIRTY = "case when doc_id % 3 = 0 then replace(replace(text, ' the ', chr(160) || 'the' || chr(8203) || '  '), 'e', 'e' || chr(65279)) when doc_id % 3 = 1 then '  ' || replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)) || chr(9) else text end"
+
+
+@query(f"select doc_id, md5({V.sql_norm('t')}) as text_md5, cast(length({V.sql_norm('t')}) as integer) as n_chars from (select doc_id, {DIRTY} as t from documents)")
+def normalize_documents(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 3 == 0, F.replace(F.replace("text", F.lit(" the "), F.lit(" the​  ")), F.lit("e"), F.lit("e﻿"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  "), F.replace(F.replace("text", F.lit("é"), F.lit("é")), F.lit("ü"), F.lit("ü")), F.lit("\t"))).otherwise(F.col("text"))
+    clean = documents(spark, sf_dir).select("doc_id", X.normalize_text(t).alias("t"))
+    return clean.select("doc_id", F.md5("t").alias("text_md5"), F.char_length("t").alias("n_chars"))
+
+
+@query(f"select doc_id, len({V.sql_tokens('text')}) as n_tokens, {V.sql_ws('text')} as n_space_tokens, length(text) as n_chars, regexp_matches(text, '\\p{{L}}') as has_letter, printf('doc_%06d', doc_id + 1) as row_id from documents")
+def tokenize_counts(spark, sf_dir):
+    t = F.col("text")
+    return documents(spark, sf_dir).select("doc_id", F.size(X.tokens(t)).cast("long").alias("n_tokens"), X.n_space_tokens(t).alias("n_space_tokens"), F.char_length(t).cast("long").alias("n_chars"), X.has_letter(t).alias("has_letter"), X.row_id("doc", F.col("doc_id")).alias("row_id"))
+
+
+# Audits. The SQL follows the same order of rules.
+
+
+def _text_rules(side: str) -> str:
+    return f"when {side} = '' then '{side}_empty' when length({side}) > 2000 then '{side}_too_long' when not regexp_matches({side}, '\\p{{L}}') then '{side}_no_alphabetic'"
+
+
+_LENGTH = """when s < 3 then 'source_too_few_tokens' when t < 3 then 'target_too_few_tokens' when s > 250 then 'source_too_many_tokens' when t > 250 then 'target_too_many_tokens'
+when t / s::double not between 0.25 and 4.0 then 'token_ratio_out_of_range' when length(target) / greatest(length(source), 1)::double not between 0.25 and 4.0 then 'char_ratio_out_of_range'"""
+
+
+def audit_sql(pairs: str, domain: str = "", lid: str = "") -> str:
+    return f"""norm as (select original_index, domain, source_lang, target_lang, {V.sql_norm("source")} as source, {V.sql_norm("target")} as target from {pairs}),
+lens as (select *, greatest({V.sql_ws("source")}, 1) as s, greatest({V.sql_ws("target")}, 1) as t from norm),
+ruled as (select *, case {domain} {_text_rules("source")} {_text_rules("target")} {lid} {_LENGTH} end as r from lens),
+audited as (select *, coalesce(r, case when r is null and row_number() over (partition by source, target, r is null order by original_index) > 1 then 'duplicate_pair' end) as reason from ruled)"""
+
+
+_AUDIT = f"with {V.PAIRS_DUP}, {audit_sql('pairs')}"
+
+
+@query(f"{_AUDIT} select original_index, printf('docs_%06d', original_index + 1) as id, case when reason is null then 'valid' else 'invalid' end as status, reason from audited")
+def preprocess_audit(spark, sf_dir):
+    return A.audit(V.pairs_doc_dup(spark, sf_dir), prefix="docs").select("original_index", "id", "status", "reason")
+
+
+@query(f"{_AUDIT} select reason, count(*) as n from audited where reason is not null group by reason")
+def preprocess_invalid_rows(spark, sf_dir):
+    return A.reason_histogram(A.audit(V.pairs_doc_dup(spark, sf_dir)).filter("status = 'invalid'"))
+
+
+STOP = 150
+
+
+@query(f"{_AUDIT}, n as (select *, sum(case when reason is null then 1 else 0 end) over (order by original_index) - case when reason is null then 1 else 0 end as before from audited), seen as (select * from n where before < {STOP}) select count(*) as rows_scanned, count(*) filter (reason is null) as rows_valid, count(*) filter (reason is not null) as rows_invalid, count(*) filter (reason is null) >= {STOP} as complete from seen")
+def preprocess_summary(spark, sf_dir):
+    """The scan stops behind the 150th valid row: rows beyond it are in no count."""
+    return A.summary(A.audit(V.pairs_doc_dup(spark, sf_dir), stop_after=STOP), STOP)
+
+
+@query(f"with {V.PAIRS_DUP}, {audit_sql('pairs', domain=chr(10) + 'when domain not in (' + repr('src1') + ', ' + repr('src2') + ', ' + repr('src7') + ') then ' + repr('domain_filtered'))} select coalesce(reason, 'valid') as reason, count(*) as n from audited group by 1")
+def domain_filter_audit(spark, sf_dir):
+    return A.reason_histogram(A.audit(V.pairs_doc_dup(spark, sf_dir), A.Rules(domains=("src1", "src2", "src7"))))
+
+
+@query(f"with {V.PAIRS_DUP}, {audit_sql('pairs', lid=chr(10) + 'when source_lang <> ' + repr('en') + ' then ' + repr('source_language_mismatch') + ' when target_lang <> ' + repr('en') + ' then ' + repr('target_language_mismatch'))} select coalesce(reason, 'valid') as reason, count(*) as n from audited group by 1")
+def language_audit(spark, sf_dir):
+    """The tables' language column stands in for an identifier."""
+    by = tuple((lambda c, lang=lang: F.struct(F.col(lang).alias("lang"), F.lit(0.9).alias("score"))) for lang in ("source_lang", "target_lang"))
+    return A.reason_histogram(A.audit(V.pairs_doc_dup(spark, sf_dir), languages=("en", "en"), identify=by))
+
+
+# Splits.
+
+SLICES = {"train": 400, "test": 20, "lfp_background": 300, "evaluation_reserve": 16}
+
+
+@query(f"with {V.PAIRS_DOC}, r as (select original_index, row_number() over (order by original_index) - 1 as p from pairs_doc) select original_index, case when p < 400 then 'train' when p < 420 then 'test' when p < 720 then 'lfp_background' when p < 736 then 'evaluation_reserve' end as split from r")
+def ordered_slices(spark, sf_dir):
+    return ordered_splits(V.pairs_doc(spark, sf_dir), "original_index", SLICES).select("original_index", "split")
+
+
+_FOUR = "case when p < 300 then 'sft_train' when p < 340 then 'sft_dev' when p < 420 then 'grpo_train' when p < 440 then 'grpo_dev' end"
+
+
+@query(f"with {V.PAIRS_DOC}, r as (select original_index, row_number() over (order by original_index) - 1 as p from pairs_doc), t as (select original_index, {_FOUR} as split from r) select split, count(*) as n, min(original_index) as first_index, max(original_index) as last_index from t where split is not null group by split union all select 'test', count(*), min(original_index), max(original_index) from pairs_doc where domain = 'src3'")
+def training_slices(spark, sf_dir):
+    p = V.pairs_doc(spark, sf_dir).withColumn("id", F.col("original_index").cast("string"))
+    out = S.training_slices(p, p.filter("domain = 'src3'"), "original_index", S.SliceSizes(300, 40, 80, 20), strict=False)
+    return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("original_index").alias("first_index"), F.max("original_index").alias("last_index"))
+
+
+def _cascade_sql() -> str:
+    """The cascade with a step for each split."""
+    out, kept = [V.SPLITS], None
+    for i, name in enumerate(S.PRIORITY):
+        flags = ", ".join(f"{f} in (select {f} from {kept}) as dup_{f}" if kept else f"false as dup_{f}" for f in ("id", "source", "target"))
+        pair = f"(source, target) in (select (source, target) from {kept}) as dup_source_target_pair" if kept else "false as dup_source_target_pair"
+        out.append(f"f{i} as (select *, {flags}, {pair} from splits where split = '{name}')")
+        mine = f"select id, source, target from f{i} where not (dup_id or dup_source or dup_target or dup_source_target_pair)"
+        out.append(f"k{i} as ({mine}" + (f" union all select * from {kept})" if kept else ")"))
+        kept = f"k{i}"
+    return "with " + ", ".join(out) + ", flagged as (" + " union all ".join(f"select *, not (dup_id or dup_source or dup_target or dup_source_target_pair) as kept from f{i}" for i in range(len(S.PRIORITY))) + ")"
+
+
+@query(f"{_cascade_sql()} select id, split, dup_source, dup_target, dup_source_target_pair, kept from flagged")
+def cascade_dedup(spark, sf_dir):
+    return S.cascade_dedup(V.splits(spark, sf_dir)).select("id", "split", "dup_source", "dup_target", "dup_source_target_pair", "kept")
+
+
+@query(f"{_cascade_sql()} select split, count(*) as input_rows, count(*) filter (kept) as retained_rows, count(*) filter (not kept) as dropped_rows, count(*) filter (dup_id) as drop_id, count(*) filter (dup_source) as drop_source, count(*) filter (dup_target) as drop_target, count(*) filter (dup_source_target_pair) as drop_source_target_pair from flagged group by split")
+def cascade_dedup_report(spark, sf_dir):
+    return S.cascade_report(S.cascade_dedup(V.splits(spark, sf_dir)))
+
+
+@query(f"with {V.SPLITS}, k as (select distinct split, 'id' as field, id as value from splits union all select distinct split, 'source', source from splits union all select distinct split, 'target', target from splits union all select distinct split, 'source_target_pair', source || chr(1) || target from splits) select a.split as split_a, b.split as split_b, a.field, count(*) as n from k a join k b on a.field = b.field and a.value = b.value and a.split < b.split group by all")
+def split_overlap_matrix(spark, sf_dir):
+    return S.overlap_matrix(V.splits(spark, sf_dir))
+
+
+@query(f"select lang, count(*) as n, min(x) as min, round(avg(x), 6) as mean, round(quantile_cont(x, 0.5), 6) as median, round(quantile_cont(x, 0.95), 6) as p95, round(quantile_cont(x, 0.99), 6) as p99, max(x) as max from (select lang, cast({V.sql_ws('text')} as double) as x from documents) group by lang")
+def split_length_stats(spark, sf_dir):
+    return r6(L.length_summary(documents(spark, sf_dir), X.n_space_tokens(F.col("text")), "lang"))
+
+
+@query()
+def reserve_refill(spark, sf_dir):
+    """The cascade's gaps filled from a reserve of 60 rows, as far as each split lost rows."""
+    kept = S.cascade_dedup(V.splits(spark, sf_dir)).filter("kept").select("id", "source", "target", "split", "original_index")
+    have = {r["split"]: r["n"] for r in kept.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    reserve = spark.range(60).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("reserve source "), F.col("id").cast("string")).alias("source"), F.concat(F.lit("reserve target "), F.col("id").cast("string")).alias("target"), (F.col("id") + V.SHIFT).alias("original_index"))
+    return S.refill(kept, reserve, {k: have.get(k, 0) + 5 for k in S.PRIORITY}).filter("refilled").select("id", "split", "original_index")
+
+
+def _keyed_pairs(spark, sf_dir):
+    """Pairs with short keys, so that sources and targets repeat."""
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("original_index"), F.col("doc_id").cast("string").alias("id"), F.left("text", F.lit(6)).alias("source"), F.right("text", F.lit(5)).alias("target"), "n_chars")
+
+
+@query()
+def greedy_disjoint_pairs(spark, sf_dir):
+    return S.greedy_disjoint(_keyed_pairs(spark, sf_dir)).select("original_index", "source", "target")
+
+
+@query()
+def quality_greedy_pairs(spark, sf_dir):
+    return r6(S.quality_pairs(_keyed_pairs(spark, sf_dir), (F.col("n_chars") % 100) / 100.0, 0.7).select("original_index", F.col("quality").cast("double").alias("quality")))
+
+
+_KEYED = "p as (select doc_id as original_index, left(text, 6) as source, right(text, 5) as target from documents)"
+
+
+@query(f"with {_KEYED}, e as (select * from p where original_index % 10 = 0) select original_index, case when source in (select source from e) then 'source_overlap' when target in (select target from e) then 'target_overlap' end as overlap from p where original_index % 10 <> 0")
+def overlap_reasons(spark, sf_dir):
+    p = _keyed_pairs(spark, sf_dir)
+    return S.overlap_reason(p.filter("original_index % 10 != 0"), p.filter("original_index % 10 = 0")).select("original_index", "overlap")
+
+
+@query("select lang, min(doc_id) as first_at from documents group by lang")
+def first_seen_values(spark, sf_dir):
+    return S.first_seen(documents(spark, sf_dir), "lang", "doc_id")
+
+
+# Lexical diversity.
+
+_TOK = f"t as (select doc_id, lang, {V.sql_tokens('text')} as tok from documents)"
+_ROW = f"""with {_TOK}, e as (select doc_id, unnest(tok) as w from t), c as (select doc_id, w, count(*) as c from e group by all),
+a as (select doc_id, sum(c) as n, count(*) as v, sum(c * c) as sq, -sum(c * ln(c::double)) as clogc, sum(c) filter (regexp_matches(w, '^\\p{{L}}{{4,}}$')) as content, count(*) filter (regexp_matches(w, '^\\p{{L}}{{4,}}$')) as content_v from c group by doc_id),
+adj as (select doc_id, len(list_filter(range(2, len(tok) + 1), lambda i: tok[i] = tok[i - 1])) as adjacent from t)
+select doc_id, cast(n as bigint) as tokens, v as types, round(v / n::double, 6) as ttr, round(10000.0 * (sq - n) / (n::double * n), 6) as yules_k, round(10000.0 / nullif(10000.0 * (sq - n) / (n::double * n), 0), 6) as yules_i,
+round(ln(n::double) + clogc / n, 6) + 0.0 as shannon, round(sq / (n::double * n), 6) as simpson, round(n::double * n / sq, 6) as inverse_simpson, v as unique_forms, round(1 - v / n::double, 6) as repeated_token_rate,
+case when n >= 2 then round(adjacent / (n - 1)::double, 6) end as consecutive_repetition_rate, round(1 - content_v / content::double, 6) as content_repetition_rate, round(coalesce(content, 0) / n::double, 6) as lexical_density,
+round((n - coalesce(content, 0)) / content::double, 6) as function_to_content, round(1.0 / nullif((n - content) / content::double, 0), 6) as content_to_function, round((n - coalesce(content, 0)) / n::double, 6) as function_proportion
+from a join adj using (doc_id)"""
+
+
+@query(_ROW)
+def row_lexical_metrics(spark, sf_dir):
+    rows = L.row_metrics(documents(spark, sf_dir).select("doc_id", "text"), "text").filter("tokens > 0")
+    return r6(rows.select("doc_id", *[m for m in L.ROW_METRICS if not m.startswith("repeated_3") and not m.startswith("repeated_4")])).withColumn("shannon", F.col("shannon") + 0.0)
+
+
+def _gram(n: int) -> str:
+    g = f"list_transform(range(1, len(tok) - {n - 2}), lambda i: array_to_string(tok[i : i + {n - 1}], chr(1)))"
+    return f"case when len(tok) >= {n} then round(1 - len(list_distinct({g})) / len({g})::double, 6) end as repeated_{n}gram_rate"
+
+
+@query(f"with {_TOK} select doc_id, {_gram(3)}, {_gram(4)} from t")
+def row_ngram_repetition(spark, sf_dir):
+    t = documents(spark, sf_dir).select("doc_id", X.tokens(F.col("text")).alias("tok"))
+    return r6(t.select("doc_id", L.repeated_ngram_rate(F.col("tok"), 3).alias("repeated_3gram_rate"), L.repeated_ngram_rate(F.col("tok"), 4).alias("repeated_4gram_rate")))
+
+
+_DIVERSITY = "round(v / n::double, 6) as ttr, round(10000.0 * (sq - n) / (n::double * n), 6) as yules_k, round(10000.0 / nullif(10000.0 * (sq - n) / (n::double * n), 0), 6) as yules_i, round(ln(n::double) - clogc / n, 6) as shannon, round(sq / (n::double * n), 6) as simpson, round(n::double * n / sq, 6) as inverse_simpson"
+
+
+@query(f"with {_TOK}, e as (select lang, unnest(tok) as w from t), c as (select lang, w, count(*) as c from e group by all), a as (select lang, cast(sum(c) as bigint) as n, count(*) as v, cast(sum(c * c) as bigint) as sq, sum(c * ln(c::double)) as clogc from c group by lang) select lang, n, v, {_DIVERSITY} from a")
+def corpus_lexical_by_lang(spark, sf_dir):
+    return r6(L.corpus_metrics(documents(spark, sf_dir), "text", "lang"))
+
+
+_BG = f"bg as (select w as token, count(*) as count from (select unnest({V.sql_tokens('text')}) as w from benchmark) group by w), ranks as (select token, count, row_number() over (order by count desc, token) as rank from bg)"
+
+
+@query(f"with {_BG} select token, count, rank from ranks")
+def lfp_rank_table(spark, sf_dir):
+    return L.all_ranks(V.table(spark, sf_dir, "benchmark"), "text").select("token", "count", F.col("rank").cast("long").alias("rank"))
+
+
+_SHARES = "round(count(*) filter (rank <= 1000) / count(*)::double, 6) as lfp_b1, round(count(*) filter (rank > 1000 and rank <= 2000) / count(*)::double, 6) as lfp_b2, round(count(*) filter (rank is null or rank > 2000) / count(*)::double, 6) as lfp_b3"
+
+
+@query(f"with {_BG}, {_TOK}, e as (select doc_id, unnest(tok) as token from t) select doc_id, {_SHARES} from e left join ranks using (token) group by doc_id")
+def lfp_by_document(spark, sf_dir):
+    ranks = L.frequency_ranks(V.table(spark, sf_dir, "benchmark"), "text")
+    return r6(L.frequency_profile(documents(spark, sf_dir), "text", ranks, "doc_id"))
+
+
+@query(f"with {_BG}, {_TOK}, e as (select lang, unnest(tok) as token from t) select lang, {_SHARES} from e left join ranks using (token) group by lang")
+def lfp_corpus(spark, sf_dir):
+    ranks = L.frequency_ranks(V.table(spark, sf_dir, "benchmark"), "text")
+    return r6(L.frequency_profile(documents(spark, sf_dir), "text", ranks, "lang"))
+
+
+def _mattr_sql(key: str, rows: str) -> str:
+    return f"with {_TOK}, {rows}, p as (select *, coalesce(lag(q) over (partition by {key}, w order by q), -1) as prev, count(*) over (partition by {key}) as n from e) select {key}, case when max(n) >= 50 then round(sum(greatest(0, least(q, n - 50) - greatest(q - 49, prev + 1, 0) + 1)) / (50 * (max(n) - 49))::double, 6) end as mattr from p group by {key}"
+
+
+@query(_mattr_sql("lang", "x as (select doc_id, lang, unnest(tok) as w, unnest(range(0, len(tok))) as p from t), e as (select lang, w, row_number() over (partition by lang order by doc_id, p) - 1 as q from x)"))
+def mattr50_by_lang(spark, sf_dir):
+    return r6(L.mattr_by_group(documents(spark, sf_dir).select("doc_id", "lang", "text"), "text", "doc_id", "lang"))
+
+
+@query(_mattr_sql("doc_id", "e as (select doc_id, unnest(tok) as w, unnest(range(0, len(tok))) as q from t)"))
+def mattr50_by_document(spark, sf_dir):
+    return r6(L.mattr_by_row(documents(spark, sf_dir), "text", "doc_id"))
+
+
+@query()
+def mtld_by_lang(spark, sf_dir):
+    return r6(L.mtld_by_group(documents(spark, sf_dir), "text", "doc_id", "lang"))
+
+
+@query(f"""with {V.PAIRS_DOC}, p as (select left(source, 3) as k, right(target, 2) as x, left(target, 2) as y from pairs_doc), r as (select * from p where k in (select k from p group by k having count(*) > 1)),
+c as (select k, x, sum(c) as c from (select k, x, 1 as c from r union all select k, y, 0 from r) group by k, x), g as (select k, max(c) as top, sum(c) as total, sum(c * c) as sq, count(*) as n from c group by k)
+select count(*) as groups_analyzed, round(avg(top / total::double), 6) as ptf, round(avg(case when n <= 1 then 0.0 else 1 - total / sqrt(n::double * sq) end), 6) as cdu from g""")
+def repeated_source_concentration(spark, sf_dir):
+    p = V.pairs_doc(spark, sf_dir).select(F.left("source", F.lit(3)).alias("k"), F.right("target", F.lit(2)).alias("x"), F.left("target", F.lit(2)).alias("y"))
+    return r6(L.choice_concentration(p, "k", "x", "y"))
+
+
+# Annotations.
+
+_IN = lambda tags: "(" + ", ".join(f"'{t}'" for t in tags) + ")"
+
+
+@query(f"with {V.ANNOTATIONS}, a as (select lang, count(*) as n, count(*) filter (upos in {_IN(M.CONTENT_UPOS)}) as content, count(*) filter (upos in {_IN(M.FUNCTION_UPOS)}) as function from ann group by lang) select lang, n, content, function, round(content / n::double, 6) as lexical_density, round(function / nullif(content, 0)::double, 6) as function_to_content, round(content / nullif(function, 0)::double, 6) as content_to_function, round(function / n::double, 6) as function_proportion from a")
+def lexical_density(spark, sf_dir):
+    return r6(M.density(V.annotations(spark, sf_dir), "lang"))
+
+
+@query(f"with {V.ANNOTATIONS} select lang, round(count(distinct upos || ':' || deprel) / count(*)::double, 6) as syn_ttr from ann group by lang")
+def upos_deprel_ttr(spark, sf_dir):
+    return r6(M.upos_deprel_ttr(V.annotations(spark, sf_dir), "lang"))
+
+
+@query(f"with {V.ANNOTATIONS}, l as (select lang, 'form' as layer, text as value from ann union all select lang, 'lemma', lemma from ann union all select lang, 'feats', feats from ann), c as (select lang, layer, value, count(*) as c from l group by all), a as (select lang, layer, cast(sum(c) as bigint) as n, count(*) as v, cast(sum(c * c) as bigint) as sq, sum(c * ln(c::double)) as clogc from c group by lang, layer) select lang, layer, v as types, round(ln(n::double) - clogc / n, 6) as shannon, round(sq / (n::double * n), 6) as simpson, round(n::double * n / sq, 6) as inverse_simpson from a")
+def annotation_diversity(spark, sf_dir):
+    return r6(M.annotation_diversity(V.annotations(spark, sf_dir), "lang"))
+
+
+@query(f"with {V.ANNOTATIONS}, c as (select lang, lower(lemma) as l, lower(text) as f, count(*) as c from ann where upos not in {_IN(M.NOT_WORDS)} group by all), a as (select lang, l, sum(c) as n, count(*) as v, sum(c * c) as sq, sum(c * ln(c::double)) as clogc from c group by lang, l) select lang, count(*) filter (v >= 2) as multi_form_lemmas, count(*) filter (v < 2) as single_form_lemmas, round(avg(ln(n::double) - clogc / n) filter (v >= 2), 6) as shannon, round(avg(sq / (n::double * n)) filter (v >= 2), 6) as simpson, round(avg(n::double * n / sq) filter (v >= 2), 6) as inverse_simpson from a group by lang")
+def lemma_wordform_diversity(spark, sf_dir):
+    return r6(M.lemma_form_diversity(V.annotations(spark, sf_dir), "lang"))
+
+
+#: A dictionary made of the corpus: lemmas of four letters with those that share two letters as options.
+_DICT = "dict as (select distinct a.lemma, b.lemma as option from (select distinct lemma from ann where row_id < 40 and length(lemma) = 4) a join (select distinct lemma from ann where row_id < 40 and length(lemma) = 4) b on left(a.lemma, 3) = left(b.lemma, 3))"
+_SFA = f"""with {V.ANNOTATIONS}, {_DICT}, src as (select distinct row_id, lemma from ann where upos in {_IN(M.SYNONYM_UPOS)}), tgt as (select row_id - 1 as row_id, lemma as option, count(*) as c from ann group by all),
+counts as (select lemma, option, cast(sum(coalesce(c, 0)) as bigint) as count from src join dict using (lemma) left join tgt using (row_id, option) group by lemma, option)"""
+
+
+def _sfa(spark, sf_dir):
+    ann = V.annotations(spark, sf_dir)
+    words = ann.filter("row_id < 40 and char_length(lemma) = 4").select("lemma").distinct()
+    by = F.left("lemma", F.lit(3)).alias("b")
+    dictionary = words.select("lemma", by).join(words.select(F.col("lemma").alias("option"), by), "b").select("lemma", "option")
+    return M.option_counts(ann, ann.withColumn("row_id", F.col("row_id") - 1), dictionary)
+
+
+@query(f"{_SFA} select lemma, option, count from counts")
+def sfa_option_counts(spark, sf_dir):
+    return _sfa(spark, sf_dir)
+
+
+@query(f"{_SFA}, l as (select lemma, count(*) as options, sum(count) as total, max(count) as top, sum(count * count) as sq from counts group by lemma having count(*) >= 2 and sum(count) > 0), m as (select count(*) as lemmas, round(avg(top / total::double), 6) as ptf, round(avg(1 - total / sqrt(options::double * sq)), 6) as cdu, sum(total) as uses from l) select lemmas, ptf, cdu, round((select count(distinct option) from counts where count > 0 and lemma in (select lemma from l)) / uses::double, 6) as syn_ttr from m")
+def sfa_summary(spark, sf_dir):
+    return r6(M.synonym_summary(_sfa(spark, sf_dir)))
+
+
+_STRUCT = "a as (select doc_id, case when doc_id % 7 = 0 then 'failed' when doc_id % 11 = 0 then 'excluded_sentence_count_mismatch' else 'ok' end as status, case when doc_id % 7 = 0 then 'error ' || (doc_id % 3) end as error, case when doc_id % 7 <> 0 and doc_id % 11 <> 0 then n_chars % 50 end::double as ted, case when doc_id % 7 <> 0 and doc_id % 11 <> 0 then n_chars % 13 end::double as word_cross, n_chars as weight, lang from documents)"
+
+
+def _structures(spark, sf_dir):
+    ok = (F.col("doc_id") % 7 != 0) & (F.col("doc_id") % 11 != 0)
+    return documents(spark, sf_dir).select(
+        "doc_id", "lang", F.when(F.col("doc_id") % 7 == 0, "failed").when(F.col("doc_id") % 11 == 0, "excluded_sentence_count_mismatch").otherwise("ok").alias("status"), F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("error "), (F.col("doc_id") % 3).cast("string"))).alias("error"),
+        F.when(ok, F.col("n_chars") % 50).cast("double").alias("ted"), F.when(ok, F.col("n_chars") % 13).cast("double").alias("word_cross"), F.col("n_chars").alias("weight"),
+    )
+
+
+@query(f"with {_STRUCT}, e as (select error, count(*) as n from a where error is not null group by error order by n desc, error limit 1) select round(avg(ted), 6) as ted, round(avg(word_cross), 6) as word_cross, count(*) as rows_total, count(*) filter (status = 'ok') as rows_scored, count(*) filter (status = 'failed') as rows_failed, count(*) filter (status = 'excluded_sentence_count_mismatch') as rows_excluded, count(*) filter (status <> 'excluded_sentence_count_mismatch') as rows_eligible, (select error from e) as top_error, (select n from e) as top_error_rows from a")
+def astred_summary(spark, sf_dir):
+    return r6(M.structure_summary(_structures(spark, sf_dir), "ted", "word_cross"))
+
+
+@query(f"with {_STRUCT} select lang, round(sum(ted * weight) filter (ted is not null) / sum(weight) filter (ted is not null), 6) as weighted_ted from a group by lang")
+def weighted_sentence_mean(spark, sf_dir):
+    return r6(_structures(spark, sf_dir).groupBy("lang").agg(M.weighted_mean(F.col("ted"), F.col("weight")).alias("weighted_ted")))
+
+
+# Rewards.
+
+_PEN = "case when g = 0 or r = 0 then -2.0 else greatest(-abs(ln(g / r::double)), -2.0) end"
+_REW = f"{V.PAIRS_DOC}, w as (select original_index, source, target, {V.sql_ws('source')} as g, {V.sql_ws('target')} as r, (original_index % 101) / 100.0::double as c1, (original_index % 97) / 96.0::double as c2, (original_index % 89) / 88.0::double as c3 from pairs_doc)"
+
+
+@query(f"with {_REW} select original_index, round({_PEN}, 6) + 0.0 as penalty from w")
+def length_penalty(spark, sf_dir):
+    return r6(V.pairs_doc(spark, sf_dir).select("original_index", (W.length_penalty(F.col("source"), F.col("target")) + 0.0).alias("penalty")))
+
+
+def _components(spark, sf_dir):
+    i = F.col("original_index")
+    p = V.pairs_doc(spark, sf_dir).select("original_index", "source", "target", ((i % 101) / 100.0).alias("chrfpp"), ((i % 97) / 96.0).alias("cometkiwi"), ((i % 89) / 88.0).alias("self_bleu"))
+    return p.withColumn("length", W.length_penalty(F.col("source"), F.col("target")))
+
+
+def _reward_sql(name: str) -> str:
+    cols = {"chrfpp": "c1", "cometkiwi": "c2", "self_bleu": "c3", "length": f"({_PEN})"}
+    from dataclasses import asdict
+
+    return " + ".join(f"{w} * {cols[k]}" for k, w in asdict(W.ABLATIONS[name]).items() if w and k in cols)
+
+
+@query(f"with {_REW} select original_index, round(case when trim(source) = '' or (regexp_matches(target, '\\p{{L}}') and not regexp_matches(source, '\\p{{L}}')) then -1.0 else {_reward_sql('a2')} end, 6) as reward from w")
+def reward_total(spark, sf_dir):
+    rows = _components(spark, sf_dir)
+    cols = {k: F.col(k) for k in ("chrfpp", "cometkiwi", "self_bleu", "length")}
+    cols |= {k: F.lit(None).cast("double") for k in ("bleu", "comet", "reference_likeness")}
+    return r6(rows.select("original_index", W.total(W.ABLATIONS["a2"], cols, F.col("source"), F.col("target")).alias("reward")))
+
+
+@query(f"with {_REW}, x as (" + " union all ".join(f"select '{a}' as ablation, case when regexp_matches(target, '\\p{{L}}') and not regexp_matches(source, '\\p{{L}}') then -1.0 else {_reward_sql(a)} end as reward from w" for a in W.ABLATIONS) + ") select ablation, count(*) as n, round(avg(reward), 6) as mean_reward from x group by ablation")
+def reward_ablation_matrix(spark, sf_dir):
+    rows = _components(spark, sf_dir).withColumn("none", F.lit(None).cast("double"))
+    names = {k: k for k in ("chrfpp", "cometkiwi", "self_bleu", "length")} | {k: "none" for k in ("bleu", "comet", "reference_likeness")}
+    out = W.ablations(rows, names, "source", "target")
+    return r6(out.groupBy("ablation").agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("mean_reward")))
+
+
+@query()
+def self_bleu_groups(spark, sf_dir):
+    c = V.table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", F.format_string("%d-%d", "conv_id", "turn").alias("key"), "text")
+    return r6(W.self_bleu_diversity(c, "conv_id", "text", "key"))
+
+
+# Contrastive scores and classifiers.
+
+
+@query(f"with {V.SCORES} select doc_id, round(ht - mt, 6) as htmt_score, case when ht - mt >= 0 then 'ht_like' else 'mt_like' end as htmt_label from scores")
+def htmt_annotate(spark, sf_dir):
+    return r6(B.annotate(V.scores(spark, sf_dir), "ht", "mt").select("doc_id", F.col("htmt_score").cast("double").alias("htmt_score"), "htmt_label"))
+
+
+_CAL = "c as (select avg(s) filter (label = 1) as h, avg(s) filter (label = 0) as m from (select label, ht - mt as s from scores))"
+
+
+@query(f"with {V.SCORES}, {_CAL} select round(h, 6) as human_mean, round(m, 6) as machine_mean, round((h + m) / 2, 6) as center, case when h > m then round(4.0 / (h - m), 6) end as scale from c")
+def htmt_calibrate(spark, sf_dir):
+    return r6(B.calibration(B.annotate(V.scores(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in ("ht", "mt")}), "ht", "mt")))
+
+
+@query(f"with {V.SCORES}, {_CAL} select doc_id, round(1 / (1 + exp(-(ht - mt - (h + m) / 2) * 4.0 / (h - m))), 6) as p from scores, c")
+def htmt_normalise(spark, sf_dir):
+    rows = B.annotate(V.scores(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in ("ht", "mt")}), "ht", "mt")
+    cal = F.broadcast(B.calibration(rows))  # one row
+    return r6(rows.crossJoin(cal).select("doc_id", B.normalised(F.col("htmt_score"), F.col("center"), F.col("scale")).alias("p")))
+
+
+_CELLS = "m as (select count(*) filter (label = 1 and score >= 0.5) as tp, count(*) filter (label <> 1 and score >= 0.5) as fp, count(*) filter (label = 1 and score < 0.5) as fn, count(*) filter (label <> 1 and score < 0.5) as tn from scores)"
+
+
+@query(f"with {V.SCORES}, {_CELLS} select tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn)::double, 6) as accuracy, round(coalesce(tp / nullif(tp + fp, 0)::double, 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0)::double, 0), 6) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 0), 6) as f1 from m")
+def binary_metrics(spark, sf_dir):
+    return r6(B.binary_metrics(V.scores(spark, sf_dir), "score"))
+
+
+@query(f"with {V.SCORES} select l.l::integer as label, p.p::integer as predicted, (select count(*) from scores where label = l.l and (score >= 0.5)::integer = p.p) as n from (values (0), (1)) l(l), (values (0), (1)) p(p)")
+def confusion_matrix(spark, sf_dir):
+    return B.confusion(V.scores(spark, sf_dir), "score")
+
+
+@query(f"with {V.SCORES}, r as (select label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0::double as k from scores) select round((sum(k) filter (label = 1) - count(*) filter (label = 1) * (count(*) filter (label = 1) + 1) / 2.0) / (count(*) filter (label = 1) * count(*) filter (label = 0))::double, 6) as roc_auc from r")
+def roc_auc(spark, sf_dir):
+    return r6(B.roc_auc(V.scores(spark, sf_dir), "score"))
+
+
+@query(f"with {V.SCORES} select count(*) as rows, count(*) filter (score >= 0.7) as kept, round(min(score) filter (score >= 0.7), 6) as score_min, round(avg(score) filter (score >= 0.7), 6) as score_mean, round(max(score) filter (score >= 0.7), 6) as score_max from scores")
+def quality_threshold(spark, sf_dir):
+    s = V.scores(spark, sf_dir).withColumn("score", F.col("score").cast("double"))
+    ok = F.col("score") >= 0.7
+    pick = lambda f: f(F.when(ok, F.col("score")))
+    return r6(s.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(ok, 1)).alias("kept"), pick(F.min).alias("score_min"), pick(F.avg).alias("score_mean"), pick(F.max).alias("score_max")))
+
+
+# Statistics.
+
+ITERATIONS = 100
+
+
+def _paired(spark, sf_dir):
+    a, b = V.runs(spark, sf_dir)
+    pairs = T.align(a, b, "ttr")
+    return pairs.join(a.select("sentence_id", "original_index"), "sentence_id").select("original_index", "x", "y")
+
+
+@query(f"with {V.RUNS} select original_index, round(x, 6) as x, round(y, 6) as y from paired")
+def paired_alignment(spark, sf_dir):
+    return r6(_paired(spark, sf_dir))
+
+
+_RAND = "('0x' || substr(md5('42|' || {}), 1, 8))::bigint"
+
+
+@query(f"with {V.RUNS}, n as (select count(*) as n from paired), d as (select i.i as iter, {_RAND.format('i.i || ' + repr('|') + ' || k.k')} % n as slot from range({ITERATIONS}) i(i), n, lateral (select unnest(range(n)) as k) k), m as (select iter, sum(y - x) / count(*) as md from d join paired using (slot) group by iter) select round(quantile_cont(md, 0.025), 6) as ci_low, round(quantile_cont(md, 0.975), 6) as ci_high from m")
+def paired_bootstrap_ci(spark, sf_dir):
+    return r6(T.bootstrap_interval(_paired(spark, sf_dir), "original_index", ITERATIONS))
+
+
+@query(f"with {V.RUNS}, o as (select avg(y - x) as observed, count(*) as n from paired), f as (select i.i as iter, sum(case when {_RAND.format('i.i || ' + repr('|') + ' || slot')} % 2 = 0 then y - x else x - y end) as s from range({ITERATIONS}) i(i), paired group by 1) select round(max(observed), 6) as observed, round((count(*) filter (abs(s / n) >= abs(observed) - 1e-12) + 1) / {ITERATIONS + 1}.0::double, 6) as p_value from f, o")
+def paired_randomization(spark, sf_dir):
+    return r6(T.randomization(_paired(spark, sf_dir), "original_index", ITERATIONS))
+
+
+_P = "t as (select n_nationkey as test, ((n_nationkey * 7919) % 1000 + 1) / 20000.0::double as p_value from nation)"
+
+
+@query(f"with {_P}, r as (select *, row_number() over (order by p_value, test) as i, count(*) over () as m from t) select test, round(p_value, 6) as p_value, round(least(1.0, max((m - i + 1) * p_value) over (order by p_value, test rows unbounded preceding)), 6) as p_holm from r")
+def holm(spark, sf_dir):
+    n = F.col("n_nationkey")
+    tests = V.table(spark, sf_dir, "nation").select(n.alias("test"), (((n * 7919) % 1000 + 1) / F.lit(20000.0)).alias("p_value"))
+    return r6(T.holm(tests, "p_value", "test"))
+
+
+@query()
+def paired_comparison(spark, sf_dir):
+    a, b = V.runs(spark, sf_dir)
+    return r6(T.compare_all(a, {"same": a, "reference": b}, ["ttr"], iterations=50))
+
+
+@query()
+def corpus_bootstrap_mattr(spark, sf_dir):
+    p = V.pairs_doc(spark, sf_dir).filter("original_index % 10 = 0").select("original_index", X.tokens(F.col("source")).alias("l"), X.tokens(F.col("target")).alias("r"))
+    return r6(T.corpus_bootstrap(p, "original_index", "l", "r", T.mattr, 20))
+
+
+# Reports.
+
+
+@query(f"with {_TOK}, e as (select lang, unnest(tok) as w from t), c as (select lang, w, count(*) as c from e group by all), a as (select lang, sum(c) as n, count(*) as v, sum(c * c) as sq from c group by lang) select lang, 'lexical_diversity' as section, metric, round(value, 6) as value from (select lang, v / n::double as ttr, 10000.0 * (sq - n) / (n::double * n) as yules_k, sq / (n::double * n) as simpson from a) unpivot (value for metric in (ttr, yules_k, simpson))")
+def summary_unpivot(spark, sf_dir):
+    return r6(R.unpivot(L.corpus_metrics(documents(spark, sf_dir), "text", "lang"), F.lit("lexical_diversity"), ["ttr", "yules_k", "simpson"], "lang"))
+
+
+_SRC = "src as (select lang, source, count(*) as rows_n, avg(n_chars) as chars from documents group by lang, source)"
+
+
+@query(f"with {_SRC}, p as (select source as metric, max(chars) filter (lang = 'en') as en, max(chars) filter (lang = 'de') as de, max(chars) filter (lang = 'fr') as fr, cast(null as double) as planned from src group by source), r as (select source as metric, arg_min(chars, lang) as reference_score from src group by source) select 'Adequacy' as metric_group, upper(left(metric, 1)) || substr(metric, 2) as metric, 'higher is better' as direction, round(reference_score, 6) as reference_score, round(en, 6) as en, round(de, 6) as de, round(fr, 6) as fr, planned from r left join p using (metric)")
+def comparison_matrix(spark, sf_dir):
+    by = documents(spark, sf_dir).groupBy("lang", "source").agg(F.avg("n_chars").alias("value"))
+    seq = F.ascii("lang") * 1000 + F.ascii(F.substring("lang", 2, 1))
+    long = by.select(F.col("lang").alias("model_condition"), F.lit("adequacy").alias("section"), F.col("source").alias("metric"), "value", seq.alias("seq"))
+    return r6(R.comparison_matrix(long.unionByName(long.withColumn("section", F.lit("reference_adequacy"))), ["en", "de", "fr"], ["planned"]))
+
+
+@query("select lang, count(*) filter (n_chars % 3 <> 0) as valid, count(*) filter (n_chars % 3 = 0) as invalid from documents group by lang")
+def boundary_contract(spark, sf_dir):
+    d = documents(spark, sf_dir).select("lang", (F.col("n_chars") % 3 != 0).alias("sentence_boundary_contract_valid"), F.lit(5).alias("sentence_boundary_count"))
+    out = None
+    for lang in ("en", "de", "fr", "es"):
+        x = R.boundary_summary(d.filter(F.col("lang") == lang)).select(F.lit(lang).alias("lang"), "valid", "invalid")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+# Records.
+
+_CONV = f"{V.PAIRS_CONV}, c as (select *, case when conv_id % 3 = 0 then 'dev' else 'train' end as split, 'c' || original_index as id from pairs_conv), n as (select *, row_number() over (partition by split order by original_index) - 1 as pos from c)"
+_strip = lambda c: rf"regexp_replace({c}, '^[{V.WS}]+|[{V.WS}]+$', '', 'g')"
+_CHUNKS = f"chunks as (select split, pos // 5 as c, string_agg({_strip('source')}, chr(10) || chr(10) order by pos) as source, string_agg({_strip('target')}, chr(10) || chr(10) order by pos) as target, string_agg(id, ' ' order by pos) as source_ids, string_agg(cast(original_index as varchar), ' ' order by pos) as original_indices from n group by split, pos // 5 having count(*) = 5)"
+
+
+def _conv(spark, sf_dir):
+    p = V.pairs_conv(spark, sf_dir)
+    return p.withColumn("split", F.when(F.col("conv_id") % 3 == 0, "dev").otherwise("train")).withColumn("id", F.concat(F.lit("c"), F.col("original_index").cast("string")))
+
+
+_CHUNK_ID = "printf('%s_chunk_%06d', split, c + 1)"
+
+
+@query(f"with {_CONV}, {_CHUNKS} select {_CHUNK_ID} as id, md5(source) as source_md5, md5(target) as target_md5, source_ids, original_indices, split from chunks")
+def chunk5(spark, sf_dir):
+    c = C.chunks(_conv(spark, sf_dir))
+    return c.select("id", F.md5("source").alias("source_md5"), F.md5("target").alias("target_md5"), F.array_join("source_ids", " ").alias("source_ids"), F.array_join(F.col("original_indices").cast("array<string>"), " ").alias("original_indices"), "split")
+
+
+@query(f"with {_CONV}, {_CHUNKS} select {_CHUNK_ID} as id, (['model_a', 'model_b', 'model_c'])[c % 3 + 1] as model_key from chunks")
+def round_robin_assign(spark, sf_dir):
+    return C.chunks(_conv(spark, sf_dir)).select("id", C.round_robin(F.col("position"), ["model_a", "model_b", "model_c"]).alias("model_key"))
+
+
+@query(f"with {_CONV}, {_CHUNKS} select {_CHUNK_ID} || '_ref' as id, {_CHUNK_ID} as source_id, md5(target) as text_md5, 1 as label, 'reference' as origin, split, cast(null as varchar) as mt_model_key from chunks union all select {_CHUNK_ID} || '_mt', {_CHUNK_ID}, md5(source || '!'), 0, 'mt', split, (['model_a', 'model_b'])[c % 2 + 1] from chunks")
+def combine_outputs(spark, sf_dir):
+    prepared = S.checkpoint(C.chunks(_conv(spark, sf_dir)))
+    predictions = prepared.select(F.col("id").alias("sentence_id"), F.concat("source", F.lit("!")).alias("prediction"), C.round_robin(F.col("position"), ["model_a", "model_b"]).alias("model_key"))
+    return C.combine_outputs(prepared, predictions, "en").select("id", "source_id", F.md5("text").alias("text_md5"), "label", "origin", "split", "mt_model_key")
+
+
+@query(f"with {_CONV} select id || '_ref' as id, id as source_id, 1 as label, split from n where original_index % 4 <> 0 union all select id || '_mt', id, 0, split from n where original_index % 4 <> 0")
+def balanced_interleave(spark, sf_dir):
+    c = _conv(spark, sf_dir)
+    refs = C.reference_examples(c, "en")
+    mt = c.filter("original_index % 4 != 0").select(F.concat("id", F.lit("_mt")).alias("id"), F.col("id").alias("source_id"), F.col("source").alias("text"), F.lit(0).alias("label"), F.lit("mt").alias("origin"), F.lit("en").alias("language"), "split")
+    return S.check_styles(C.interleave(refs, mt)).select("id", "source_id", "label", "split")
+
+
+TEMPLATE = "Translate from {source_language} into {target_language}:\n{source}"
+_PROMPT = "'Translate from English into German:' || chr(10) || source"
+
+
+@query(f"with {_CONV} select id, len(m) as turns, md5(m[2]) as user_md5, md5(m[3]) as answer_md5 from (select id, ['Be exact.', {_PROMPT}, target] as m from n)")
+def chat_records(spark, sf_dir):
+    c = C.chat_records(_conv(spark, sf_dir), TEMPLATE, F.lit("en"), F.lit("de"), "Be exact.")
+    return c.select("id", F.size("messages").cast("long").alias("turns"), F.md5(F.col("messages")[1].content).alias("user_md5"), F.md5(X.completion_text(F.col("messages"))).alias("answer_md5"))
+
+
+@query(f"with {_CONV} select id as sentence_id, md5({_PROMPT}) as prompt_md5, md5(source) as source_md5, md5(target) as reference_md5 from n")
+def prompt_render(spark, sf_dir):
+    r = C.rl_records(_conv(spark, sf_dir), TEMPLATE, F.lit("en"), F.lit("de"))
+    return r.select("sentence_id", F.md5("prompt").alias("prompt_md5"), F.md5("source").alias("source_md5"), F.md5("reference").alias("reference_md5"))
+
+
+_PARA = "p as (select doc_id, replace(left(text, 400), chr(10), chr(10) || '  ' || chr(10)) as t from documents)"
+_UNITS = rf"list_filter(list_transform(regexp_split_to_array(t, '\n[{V.WS}]*\n'), lambda x: {_strip('x')}), lambda x: x <> '')"
+
+
+def _paragraphs(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.replace(F.left("text", F.lit(400)), F.lit("\n"), F.lit("\n  \n")).alias("t"))
+
+
+@query(rf"with {_PARA}, u as (select doc_id, {_UNITS} as u from p) select doc_id, case when len(u) = 2 then md5('<s1>' || u[1] || '</s1>' || chr(10) || '<s2>' || u[2] || '</s2>') end as tagged_md5, len(u) as n_units from u")
+def boundary_tag(spark, sf_dir):
+    return _paragraphs(spark, sf_dir).select("doc_id", F.md5(X.tag_units(F.col("t"), 2)).alias("tagged_md5"), F.size(X.units(F.col("t"))).cast("long").alias("n_units"))
+
+
+_TAGGED = "'<s1>' || left(text, 50) || ' </Sentence_1 >' || right(text, 20) || '</s1>'"
+
+
+@query("select doc_id, md5(" + _strip(f"regexp_replace({_TAGGED}, '(?i){X.TAG}', '', 'g')") + ") as stripped_md5 from documents")
+def boundary_strip(spark, sf_dir):
+    raw = F.concat(F.lit("<s1>"), F.left("text", F.lit(50)), F.lit(" </Sentence_1 >"), F.right("text", F.lit(20)), F.lit("</s1>"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(X.strip_tags(raw)).alias("stripped_md5"))
+
+
+@query()
+def tag_extract_audit(spark, sf_dir):
+    t = F.left("text", F.lit(40))
+    raw = F.concat(F.lit("<s1>"), t, F.lit("</s1> <sentence_2"), F.when(F.col("doc_id") % 2 == 0, F.lit(">")).otherwise(F.lit("")), F.lit(" more </s2>"), F.when(F.col("doc_id") % 5 == 0, F.lit("<s4>x</s4>")).otherwise(F.lit("")))
+    got = documents(spark, sf_dir).select("doc_id", X.extract_units(2)(raw).alias("u"))
+    return got.groupBy(F.col("u.valid").alias("valid"), F.col("u.error").alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_ANS = "a as (select doc_id, case doc_id % 7 when 0 then text when 1 then '<translation> </translation>' when 2 then '<translation>a <translation>b</translation>' when 3 then ' <Translation>Here is a ' || left(text, 30) || '</translation>' when 4 then '<translation>' || left(text, 30) || chr(10) || 'Alternatively, x</translation>' when 5 then '<translation>' || text || ' ' || text || ' ' || text || '</translation>' else '<translation> ' || left(text, 30) || ' </translation> tail' end as ans, left(text, 30) as fb, text from documents)"
+_BODY = rf"{_strip('regexp_extract(ans, ' + chr(39) + '(?is)^[' + V.WS + ']*<translation>(.*?)</translation>' + chr(39) + ', 1)')}"
+
+
+@query(rf"with {_ANS}, b as (select *, {_BODY} as body, regexp_matches(ans, '(?is)^[{V.WS}]*<translation>(.*?)</translation>') as there from a) select doc_id, case when not there then 'missing_translation_tags' when body = '' then 'empty_translation' when regexp_matches(body, '(?i)</?translation>') then 'nested_translation_tags' when contains(lower(body), 'here is a') then 'commentary_marker' when contains(lower(body), chr(10) || 'alternatively') then 'alternatives' when {V.sql_ws('body')} > greatest(24, 2 * {V.sql_ws('fb')} + 12) then 'too_long' end as reason from b")
+def validated_translation(spark, sf_dir):
+    m, head = F.col("doc_id") % 7, F.left("text", F.lit(30))
+    tag = lambda *c: F.concat(F.lit("<translation>"), *c, F.lit("</translation>"))
+    ans = F.when(m == 0, F.col("text")).when(m == 1, tag(F.lit(" "))).when(m == 2, F.lit("<translation>a <translation>b</translation>")).when(m == 3, F.concat(F.lit(" <Translation>Here is a "), head, F.lit("</translation>"))).when(m == 4, tag(head, F.lit("\nAlternatively, x"))).when(m == 5, tag(F.col("text"), F.lit(" "), F.col("text"), F.lit(" "), F.col("text"))).otherwise(F.concat(F.lit("<translation> "), head, F.lit(" </translation> tail")))
+    return documents(spark, sf_dir).select("doc_id", A.validated_answer(ans, head).reason.alias("reason"))
+
+
+@query()
+def answer_outcomes(spark, sf_dir):
+    return A.answer_summary(validated_translation(spark, sf_dir).withColumn("accepted", F.col("reason").isNull()))
+
+
+@query(f"with {V.PAIRS_DOC} select original_index, case when original_index % 6 = 0 then 'format_markup' when original_index % 6 = 1 then 'commentary_marker' when original_index % 6 = 2 then 'matches_reference' when original_index % 6 = 3 then 'empty' end as reason from pairs_doc")
+def negative_audit(spark, sf_dir):
+    m = F.col("original_index") % 6
+    ans = F.when(m == 0, F.concat(F.lit("<TRANSLATION>"), "source")).when(m == 1, F.concat(F.lit("x\n Note: "), "source")).when(m == 2, F.concat(F.lit(" "), "target", F.lit("\n"))).when(m == 3, F.lit(" \t")).otherwise(F.concat("source", F.lit("!")))
+    return V.pairs_doc(spark, sf_dir).select("original_index", A.negative_reason(ans, F.col("target")).alias("reason"))
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def resume_pending(spark, sf_dir):
+    return pending(documents(spark, sf_dir).select("doc_id"), V.table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query()
+def pack_sequences(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", "source", X.n_space_tokens(F.col("text")).alias("n"))
+    return C.pack(d, "doc_id", "n", 512, "source")
+
+
+@query(f"with {_TOK}, o as (select doc_id, tok[1:40] as a, tok[1:30] || ['x'] || tok[32:60] as b from t), z as (select doc_id, a, b, list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false) as f from o) select doc_id, cast(case when f > 0 then f - 1 else least(len(a), len(b)) end as bigint) as prefix, len(b) as n from z")
+def prompt_masks(spark, sf_dir):
+    t = documents(spark, sf_dir).select("doc_id", X.tokens(F.col("text")).alias("tok"))
+    o = t.select("doc_id", F.slice("tok", 1, 40).alias("a"), F.concat(F.slice("tok", 1, 30), F.array(F.lit("x")), F.slice("tok", 32, 29)).alias("b"))
+    return o.select("doc_id", C.common_prefix(F.col("a"), F.col("b")).cast("long").alias("prefix"), F.size("b").cast("long").alias("n"))
+
+
+# Translation quality.
+
+
+@query()
+def sentence_scores(spark, sf_dir):
+    p = V.pairs_doc(spark, sf_dir).select("original_index", "source", "target")
+    return r6(Q.row_scores(p, "source", "target", "bleu", "chrf").select("original_index", "sentence_bleu", "sentence_chrf"))
+
+
+@query()
+def corpus_bleu(spark, sf_dir):
+    return r6(Q.corpus_scores(V.pairs_doc(spark, sf_dir), "source", "target", "bleu", "domain"))
+
+
+@query()
+def corpus_chrf(spark, sf_dir):
+    return r6(Q.corpus_scores(V.pairs_doc(spark, sf_dir), "source", "target", "chrf", "domain"))
+
+
+@query()
+def corpus_ter(spark, sf_dir):
+    """Over conversation turns: greedy shifts take the cube of a sentence's length, so TER is for sentences."""
+    return r6(Q.corpus_scores(V.pairs_conv(spark, sf_dir), "source", "target", "ter"))
+
+
+# Plug points with their stand-ins.
+
+
+@query()
+def prompt_chain(spark, sf_dir):
+    stages = [("research", "Study this: {source}"), ("draft", "Notes: {research}\n{source}"), ("refinement", "Better: {draft}\n{source}"), ("proofreading", "Final into {target_language}: {refinement}\n{source}")]
+    p = V.pairs_conv(spark, sf_dir).select("original_index", F.regexp_replace("source", "\\n", " ").alias("source"))
+    return P.prompt_chain(p, stages, P.echo_generator).select("original_index", "prediction", "accepted", "reason")
+
+
+@query()
+def contrastive_scores(spark, sf_dir):
+    """Bigram models of texts labelled 1 and 0, and their difference on every labelled text."""
+    s = V.scores(spark, sf_dir).select("doc_id", "label").join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    ht, mt = (P.mean_logprob(s, "doc_id", "text", P.bigram_model(B.labelled_texts(s, y), "text")).withColumnRenamed("logprob", n) for y, n in ((1, "ht"), (0, "mt")))
+    return r6(B.annotate(ht.join(mt, "doc_id"), "ht", "mt"))
+
+
+@query()
+def language_standin(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", "lang", P.language_plugin(P.stop_word_language)(F.col("text")).alias("l"))
+    return d.groupBy("lang", F.col("l.lang").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def quality_scorer_standin(spark, sf_dir):
+    p = V.pairs_doc(spark, sf_dir)
+    return r6(p.select("original_index", P.scorer_plugin(P.hash_scorer, 2)(F.col("source"), F.col("target")).alias("quality")))
+
+
+@query(f"with {V.PAIRS_DOC}, r as (select original_index, row_number() over (order by original_index) - 1 as p from pairs_doc) select original_index, p as position from r")
+def global_positions(spark, sf_dir):
+    return with_position(V.pairs_doc(spark, sf_dir).select("original_index"), "original_index")

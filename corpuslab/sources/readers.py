@@ -124,10 +124,14 @@ def bilingual_dictionary(spark: SparkSession, path: str, invert: bool = False) -
 
     def forms(tag: str):
         found = F.regexp_extract_all("e", F.lit(f"(?s)<{tag}\\b[^>/]*>(.*?)</{tag}>"), F.lit(1))
-        plain = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, "<(?:b|j|a)\\s*/>", " "), "<s\\b[^>]*/>|<[^>]+>", ""))
-        for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-            plain = F.transform(plain, lambda x, a=a, b=b: F.replace(x, F.lit(a), F.lit(b)))
-        return F.filter(F.transform(plain, X.lexical_item), lambda x: x.isNotNull())
+
+        def plain(x):
+            x = F.regexp_replace(F.regexp_replace(x, "<(?:b|j|a)\\s*/>", " "), "<[^>]+>", "")
+            for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+                x = F.replace(x, F.lit(a), F.lit(b))
+            return X.lexical_item(x)
+
+        return F.filter(F.transform(found, plain), lambda x: x.isNotNull())
 
     left, right = ("r", "l") if invert else ("l", "r")
     return entries.select(F.explode(forms(left)).alias("lemma"), forms(right).alias("o")).select("lemma", F.explode("o").alias("option")).distinct()

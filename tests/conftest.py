@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from corpuslab.session import session
 
-    s = session("tests", master="local[4]", shuffle_partitions=4, memory="3g")
+    s = session("tests", master=os.environ.get("TEST_MASTER", "local[4]"), shuffle_partitions=4, memory="3g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
