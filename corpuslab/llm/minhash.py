@@ -334,8 +334,10 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, id_col: s
     def take(offers: DataFrame) -> None:
         nonlocal tried, edges, labels
         pairs = cut(offers.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        tried, edges = tried.unionByName(pairs), edges.unionByName(confirmed(pairs))
-        labels = components(edges)
+        tried, new = tried.unionByName(pairs), confirmed(pairs)
+        if new.limit(1).count():
+            edges = edges.unionByName(new)
+            labels = components(edges)
         free_shuffles(spark)
 
     small = active.join(counted.filter(F.col("rows") <= SMALL).select("key"), "key", "left_semi")
