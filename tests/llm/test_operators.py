@@ -225,6 +225,12 @@ def test_html(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_html_marks():
+    page = "<body><div class='page has-sidebar'><article><header><h1>T</h1></header><p>Text</p></article><div class='sidebar'>no</div><section id='reader-comments'><article class='comment'>no</article></section></div></body>"
+    assert html_extract.page_text(html_extract.segments(page), set()) == "T Text"
+    assert html_extract.page_text(html_extract.segments("<p>a<br>b <b>c</b>d</p>&#xe9;<nav>no<p>no</nav>"), set()) == "a b cd \u00e9"
+
+
 def test_language(docs, none, rows):
     got = language_id.identify(docs).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
