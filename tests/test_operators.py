@@ -368,3 +368,20 @@ def test_whole_runs(spark):
     assert negatives.count() == 20 and {r.mt_model_key for r in negatives.collect()} == {"m"}
     scored = spark.createDataFrame([(s, y, y * 2.0 - 1 + rng.random()) for s in ("dev", "test") for y in (0, 1) for _ in range(20)], "split string, label int, htmt_score double")
     assert all(r.accuracy == 1.0 and r.roc_auc == 1.0 for r in W2.evaluate_contrastive(scored).collect())
+
+
+def test_config(spark, tmp_path):
+    from corpuslab import config as G
+
+    registry = {"defaults": {"gen": {"t": 0, "n": 5}, "x": 1}, "models": {"m": {"gen": {"n": 7}}}, "ablations": {"a": {"weights": {"bleu": 0.5, "comet": 0.5}}, "b": {"weights": {"bleu": 0.6}}, "c": {"weights": {"zzz": 1}}}}
+    (tmp_path / "r.json").write_text(json.dumps(registry))
+    got = G.parse(G.read_text(spark, str(tmp_path / "r.json")))
+    assert G.entry(got, "models", "m") == {"gen": {"t": 0, "n": 7}, "x": 1, "key": "m"}
+    assert G.reward_weights(got, "a").comet == 0.5
+    for bad in ("b", "c", "d"):
+        with pytest.raises(CorpusError):
+            G.reward_weights(got, bad)
+    assert "error" in G.sidecar(spark, str(tmp_path / "none.json")) and G.sidecar(spark, str(tmp_path / "r.json"))["models"]
+    assert G.parse("a:\n  b: 1\n") == {"a": {"b": 1}}
+    p = spark.createDataFrame([(2, "b"), (1, "a"), (3, "a"), (4, None)], "o long, model_key string")
+    assert G.provenance(p, "o")["model_key"] == ["a", "b"] and G.provenance(p, "o")["rows"] == 4
