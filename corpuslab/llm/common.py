@@ -131,3 +131,24 @@ def salted_join(rows: DataFrame, facts: DataFrame, counts: DataFrame, key: str,
     left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64(row_id), F.col("k")).cast("int"))).drop("k")
     right = facts.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+_TURN: dict = {"name": None, "drop": None}
+
+
+def turn(name: str, drop=None) -> None:
+    """Called by an operator as it starts a task in a Python worker: what another operator kept in the worker goes.
+
+    Workers outlive stages, and caches of one stage must not add to those of the next."""
+    if _TURN["name"] not in (None, name):
+        import ctypes
+        import gc
+
+        if _TURN["drop"]:
+            _TURN["drop"]()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc: freed memory goes back in its own time
+            pass
+    _TURN.update(name=name, drop=drop)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import arrow_rows, bounded, cut, drop, pick, slices
+from corpuslab.llm.common import arrow_rows, bounded, cut, pick, slices, turn
 
 #: Item words in one broadcast; larger sets are searched in blocks of items, one pass each.
 BLOCK_WORDS = 2_000_000
@@ -116,6 +116,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
         sent = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in block])
 
         def scan(batches, sent=sent):
+            turn("decontamination")
             grams = NgramSet(sent.value, n)
             schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("items", pa.list_(pa.string()))])
             for b in slices(batches, "text"):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import arrow_rows, bounded, cut, pick, slices
+from corpuslab.llm.common import arrow_rows, bounded, cut, pick, slices, turn
 
 #: Dimensions of the hypervectors, letters of an n-gram, folds of the hold-out, languages that may be learned.
 DIM, GRAM, FOLDS, MOST_LANGUAGES = 1024, 3, 5, 10_000
@@ -28,6 +28,10 @@ def _alpha() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+def _forget() -> None:
+    letter.cache_clear()
+
+
 def gram_vectors(codes: np.ndarray) -> np.ndarray:
     """Bound vectors of n-grams (a row of character codes each): the product of each letter's vector, permuted by its place."""
     used, at = np.unique(codes, return_inverse=True)
@@ -93,7 +97,7 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
                 owners.append(d)
                 streams.append(s)
                 held += len(s)
-                if held >= 2 * PIECE or len(streams) >= 3000:
+                if held >= PIECE or len(streams) >= 3000:
                     flush()
     flush()
     return out, known
@@ -120,6 +124,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     schema = pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))])
 
     def sums(batches):
+        turn("language ID", _forget)
         by: dict[str, np.ndarray] = {}
         for b in slices(batches, "text", PIECE * 4):
             vectors, known = bundles(b.column(0).to_pylist())
@@ -148,6 +153,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str = "
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
+        turn("language ID", _forget)
         names = list(sent.value)
         protos = _unit(np.array([sent.value[x] for x in names], np.float32).reshape(-1, DIM))
         mean = protos.mean(0) if len(names) > 1 else np.zeros(DIM, np.float32)

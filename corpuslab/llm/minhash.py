@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import arrow_rows, bounded, cut, drop, free_shuffles, pick, salted_join, slices
+from corpuslab.llm.common import arrow_rows, bounded, cut, drop, free_shuffles, pick, salted_join, slices, turn
 
 #: A signature has CHUNKS * WIDTH symbols of 16 bits. Signatures that differ in DISTANCE symbols at most have, by the
 #: pigeonhole principle, a chunk with DISTANCE // CHUNKS = 1 differing symbol at most: they share a chunk with that
@@ -24,6 +24,9 @@ TILE, SKETCH, LEAST_AGREE = 2048, 512, 0.72
 #: NEAR_ROUNDS rounds a row offers its NEAREST rows of other components, then all that are left are compared.
 SMALL, BOTTOM, NEAR_ROUNDS, NEAREST = 64, 1024, 2, 3
 
+#: Text bytes whose words are hashed at once.
+SLICE = 1 << 20
+
 _rng = np.random.default_rng(11)
 _A = _rng.integers(1, 1 << 63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SYMBOLS, np.uint64)
@@ -53,6 +56,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS
 
 
+def _forget() -> None:
+    global _POWERS
+    _POWERS = (np.ones(0, np.uint64), np.ones(0, np.uint64))
+
+
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of raw start, and a hash (64 bits) of each: differences of one running polynomial sum."""
     b = np.frombuffer(raw + b" ", np.uint8)
@@ -122,7 +130,8 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
 
 def _signed(batches, size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("sig", pa.binary())])
-    for b in slices(batches, "text"):
+    turn("near dedup", _forget)
+    for b in slices(batches, "text", SLICE):
         sets = shingle_sets(b.column(1).to_pylist(), size)
         yield arrow_rows(schema, doc_id=b.column(0), n=[len(s) for s in sets], h=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], sig=[signature(s).tobytes() for s in sets])
 
@@ -376,7 +385,8 @@ class _Sets:
             size, schema = self.size, pa.schema([("rep", pa.int64()), ("s", pa.binary())])
 
             def run(batches):
-                for b in slices(batches, "text"):
+                turn("near dedup", _forget)
+                for b in slices(batches, "text", SLICE):
                     yield arrow_rows(schema, rep=b.column(0), s=[x.tobytes() for x in shingle_sets(b.column(1).to_pylist(), size)])
 
             texts = self.base.join(new.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import Memo, arrow_rows, bounded, pick, slices
+from corpuslab.llm.common import Memo, arrow_rows, bounded, pick, slices, turn
 
 #: Words whose counts a worker keeps.
 CACHE_WORDS = 600_000
@@ -177,6 +177,10 @@ class WordBpe:
 _CACHED: dict[str, WordBpe] = {}
 
 
+def _forget() -> None:
+    _CACHED.clear()
+
+
 def counter(path: str) -> WordBpe:
     """One counter for each worker process."""
     if path not in _CACHED:
@@ -196,6 +200,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, with_prefi
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("words_in_limit", pa.int64()), *([("prefix_tokens", pa.list_(pa.int64()))] if with_prefixes else [])])
 
     def count(batches):
+        turn("token counts", _forget)
         bpe = counter(vocabulary)
         for b in slices(batches, "text"):
             texts = b.column(1).to_pylist()
