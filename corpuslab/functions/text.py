@@ -105,6 +105,7 @@ def strip_tags(c: Column) -> Column:
 
 def unit_prompt(n: int) -> str:
     """The instruction for n tagged units, with fields {target_lang} and {source}."""
+    # fixed values: the wording and the form
     shape = "\n".join(f"<s{i}>translation {i}</s{i}>" for i in range(1, n + 1))
     rules = "Translate each sentence into {target_lang} without merging, omitting, adding, or renumbering sentences. Copy the short tags exactly and write nothing outside them. Return exactly this structure:"
     return f"The input contains {n} separately tagged English sentences. {rules}\n{shape}\n\n" + "{source}"

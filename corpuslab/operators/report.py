@@ -76,6 +76,7 @@ def side(key: Column) -> Column:
 def interpretation(key: Column) -> Column:
     """What a difference means, from the key without its side."""
     section, leaf = _section(key), _leaf(key)
+    # fixed values: the wordings
     by_side = F.when(section == "astred_source_prediction", "lower means closer to source structure").when(section == "astred_source_reference", "human reference structural distance from source; comparison baseline").otherwise("lower means closer to reference structure")
     return (
         F.when(section == "adequacy", F.when(leaf.isin("ter", "metricx"), "lower is better").otherwise("higher is better"))
@@ -86,7 +87,7 @@ def interpretation(key: Column) -> Column:
     )
 
 
-def thesis_metric(key: Column) -> Column:
+def compared_metric(key: Column) -> Column:
     out = ~_section(key).isin(*LEFT_OUT_SECTIONS) & ~key.isin(*LEFT_OUT_KEYS)
     base = F.regexp_replace(_section(key), "^(reference|prediction)_", "")
     for section, leaves in LEFT_OUT_LEAVES.items():
@@ -100,7 +101,7 @@ def comparison_matrix(values: DataFrame, columns: list[str], planned: list[str]
     values: model_condition, section, metric, value, seq. The reference score is the first seen (least seq)
     of a key; the conditions are known beforehand, so the pivot needs no pass to find them, and planned ones
     without values stay as empty columns."""
-    keyed = values.withColumn("key", F.concat_ws(".", "section", "metric")).filter(thesis_metric(F.col("key"))).withColumn("side", side(F.col("key"))).withColumn("key", metric_key(F.col("key")))
+    keyed = values.withColumn("key", F.concat_ws(".", "section", "metric")).filter(compared_metric(F.col("key"))).withColumn("side", side(F.col("key"))).withColumn("key", metric_key(F.col("key")))
     reference = keyed.filter("side = 'reference'").groupBy("key").agg(F.min_by("value", "seq").alias("reference_score"))
     names = list(dict.fromkeys([*columns, *planned]))
     wide = keyed.filter("side = 'translation'").groupBy("key").pivot("model_condition", names).agg(F.min_by("value", "seq"))
