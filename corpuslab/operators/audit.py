@@ -42,8 +42,10 @@ def text_reason(c: Column, side: str, r: Rules) -> Column:
     return first_reason(*rules, *([(~X.has_letter(c), f"{side}_no_alphabetic")] if r.require_letter else []))
 
 
-def length_reason(source: Column, target: Column, r: Rules) -> Column:
-    s, t = F.greatest(X.n_space_tokens(source), F.lit(1)), F.greatest(X.n_space_tokens(target), F.lit(1))
+def length_reason(source: Column, target: Column, r: Rules, source_tokens: Column | None = None, target_tokens: Column | None = None) -> Column:
+    """Token counts may be given as columns, so that they are made once for all rules."""
+    s = F.greatest(X.n_space_tokens(source) if source_tokens is None else source_tokens, F.lit(1).cast("long"))
+    t = F.greatest(X.n_space_tokens(target) if target_tokens is None else target_tokens, F.lit(1).cast("long"))
     chars = F.char_length(target) / F.greatest(F.char_length(source), F.lit(1))
     out = lambda x: (x < r.min_ratio) | (x > r.max_ratio)
     return first_reason(
@@ -80,7 +82,9 @@ def audit(df: DataFrame, rules: Rules = Rules(), prefix: str = "row", languages:
         for side, lang, scorer in zip(("source", "target"), languages, ask, strict=True):
             rows = rows.withColumn(f"_{side}", scorer(F.when(F.col("_r").isNull(), F.translate(F.col(side), "\n", " "))))
             rows = rows.withColumn("_r", F.coalesce("_r", language_reason(F.col(f"_{side}.lang"), F.col(f"_{side}.score"), lang, side, rules))).drop(f"_{side}")
-    rows = rows.withColumn("_r", F.coalesce("_r", length_reason(F.col("source"), F.col("target"), rules)))
+    for side in ("source", "target"):
+        rows = rows.withColumn(f"_n_{side}", F.when(F.col("_r").isNull(), X.n_space_tokens(F.col(side))))
+    rows = rows.withColumn("_r", F.when(F.col("_r").isNotNull(), F.col("_r")).otherwise(length_reason(F.col("source"), F.col("target"), rules, F.col("_n_source"), F.col("_n_target")))).drop("_n_source", "_n_target")
     # pairs that stand more than once among passing rows, by hash: partial sums, so a frequent pair is no hot task
     key = F.xxhash64("source", "target")
     first = rows.filter("_r is null").groupBy(key.alias("_k"), F.md5(F.concat_ws("\u0001", "source", "target")).alias("_m")).agg(F.min("original_index").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
