@@ -17,7 +17,7 @@ from corpuslab.llm.common import Memo, arrow_rows, bounded, pick, slices, turn
 
 #: Pieces whose tokens a worker keeps; pieces in one recursive query; bytes from which a piece is contracted with a heap
 #: (a query that contracts one pair a step takes the square of the piece's length).
-CACHE_PIECES, QUERY_PIECES, LONG_PIECE = 400_000, 12_000, 400
+CACHE_PIECES, QUERY_PIECES, LONG_PIECE = 650_000, 40_000, 400
 
 #: White space of the splitting pattern (Unicode White_Space), fixed values.
 SPACE = r"\t-\r \x85\xa0  -     　"
