@@ -426,3 +426,15 @@ def test_lm(docs, none, rows):
 def test_lm_beats_unigrams(spark, sf):
     got = hmm_lm.score_texts(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
+
+
+def test_lm_keeps_its_states_and_double_precision():
+    assert hmm_lm.STATES >= 5
+    rng = np.random.default_rng(4)
+    size = np.array([700, 129, 3])
+    obs = rng.integers(0, hmm_lm.CLASSES, size.sum()).astype(np.int32)
+    hmm = hmm_lm.Hmm.rough(np.full(hmm_lm.CLASSES, 1 / hmm_lm.CLASSES))
+    got, _ = hmm.run(obs, size, False)
+    at = np.cumsum(size) - size
+    want = [brute_forward(hmm, obs[a : a + n]) for a, n in zip(at, size, strict=True)]
+    assert np.allclose(got, want, rtol=1e-12, atol=0)
