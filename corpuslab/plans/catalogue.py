@@ -471,7 +471,7 @@ def quality_threshold(spark, sf_dir):
 
 # Statistics.
 
-ITERATIONS = 100
+ITERATIONS = 10_000
 
 
 def _paired(spark, sf_dir):
@@ -511,7 +511,7 @@ def holm(spark, sf_dir):
 @query()
 def paired_comparison(spark, sf_dir):
     a, b = V.runs(spark, sf_dir)
-    return r6(T.compare_all(a, {"same": a, "reference": b}, ["ttr"], iterations=50))
+    return r6(T.compare_all(a, {"same": a, "reference": b}, ["ttr"], iterations=ITERATIONS))
 
 
 @query()

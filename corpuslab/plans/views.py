@@ -89,11 +89,11 @@ SCORES = "scores as (select doc_id, cast(quality as integer) as label, ((n_chars
 
 def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two prediction runs over the same rows, with row measures as the compared metric."""
-    p = pairs_doc(spark, sf_dir).filter("original_index % 4 = 0")
+    p = pairs_doc(spark, sf_dir)
     base = p.select(F.format_string("s%09d", "original_index").alias("sentence_id"), "source", F.col("target").alias("reference"), "original_index")
     ttr = lambda c: F.try_divide(F.size(F.array_distinct(X.tokens(F.col(c)))).cast("double"), F.size(X.tokens(F.col(c))).cast("double"))
     return base.withColumn("ttr", ttr("source")), base.withColumn("ttr", ttr("reference"))
 
 
-RUNS = rf"""{PAIRS_DOC}, runs as (select original_index, len(list_distinct({sql_tokens("source")})) / nullif(len({sql_tokens("source")}), 0)::double as x, len(list_distinct({sql_tokens("target")})) / nullif(len({sql_tokens("target")}), 0)::double as y from pairs_doc where original_index % 4 = 0),
+RUNS = rf"""{PAIRS_DOC}, runs as (select original_index, len(list_distinct({sql_tokens("source")})) / nullif(len({sql_tokens("source")}), 0)::double as x, len(list_distinct({sql_tokens("target")})) / nullif(len({sql_tokens("target")}), 0)::double as y from pairs_doc),
 paired as (select original_index, x, y, row_number() over (order by original_index) - 1 as slot from runs where x is not null and y is not null)"""

@@ -385,3 +385,28 @@ def test_config(spark, tmp_path):
     assert G.parse("a:\n  b: 1\n") == {"a": {"b": 1}}
     p = spark.createDataFrame([(2, "b"), (1, "a"), (3, "a"), (4, None)], "o long, model_key string")
     assert G.provenance(p, "o")["model_key"] == ["a", "b"] and G.provenance(p, "o")["rows"] == 4
+
+
+def _slot(*parts):
+    import hashlib
+
+    return int(hashlib.md5("|".join(map(str, (42, *parts))).encode()).hexdigest()[:8], 16)
+
+
+def test_paired_queries_take_all_rows_and_iterations(spark, sf):
+    import numpy as np
+
+    from corpuslab.plans import catalogue
+    from corpuslab.plans import views as V
+
+    n = V.pairs_doc(spark, sf).count()
+    assert [x.count() for x in V.runs(spark, sf)] == [n, n]
+    assert catalogue.ITERATIONS == 10_000
+    d = [0.5, -1.0, 2.0, 0.25, 1.5, -0.75]
+    df = spark.createDataFrame([(i, 0.0, x) for i, x in enumerate(d)], "o long, x double, y double")
+    means = [sum(d[_slot(i, k) % 6] for k in range(6)) / 6 for i in range(10_000)]
+    got = T.bootstrap_interval(df, "o").first()
+    assert np.allclose([got.ci_low, got.ci_high], np.percentile(means, [2.5, 97.5]))
+    sums = [sum(x if _slot(i, k) % 2 == 0 else -x for k, x in enumerate(d)) for i in range(10_000)]
+    hits = sum(abs(s / 6) >= abs(sum(d) / 6) - 1e-12 for s in sums)
+    assert math.isclose(T.randomization(df, "o").first().p_value, (hits + 1) / 10_001)
