@@ -516,8 +516,8 @@ def paired_comparison(spark, sf_dir):
 
 @query()
 def corpus_bootstrap_mattr(spark, sf_dir):
-    p = V.pairs_doc(spark, sf_dir).filter("original_index % 10 = 0").select("original_index", X.tokens(F.col("source")).alias("l"), X.tokens(F.col("target")).alias("r"))
-    return r6(T.corpus_bootstrap(p, "original_index", "l", "r", T.mattr, 20))
+    p = V.pairs_doc(spark, sf_dir).select("original_index", X.tokens(F.col("source")).alias("l"), X.tokens(F.col("target")).alias("r"))
+    return r6(T.bootstrap_mattr(p, "original_index", "l", "r"))
 
 
 # Reports.

@@ -410,3 +410,20 @@ def test_paired_queries_take_all_rows_and_iterations(spark, sf):
     sums = [sum(x if _slot(i, k) % 2 == 0 else -x for k, x in enumerate(d)) for i in range(10_000)]
     hits = sum(abs(s / 6) >= abs(sum(d) / 6) - 1e-12 for s in sums)
     assert math.isclose(T.randomization(df, "o").first().p_value, (hits + 1) / 10_001)
+
+
+def test_bootstrap_mattr_is_that_of_the_whole_stream(spark, monkeypatch):
+    rng = random.Random(8)
+    side = lambda: [rng.choice("abcdefghijklmnop") * rng.randint(1, 4) for _ in range(rng.choice([0, 1, 30, 49, 50, 120]))]
+    df = spark.createDataFrame([(i, side(), side()) for i in range(12)], "o long, l array<string>, r array<string>")
+    monkeypatch.setattr(T, "BLOCK_DRAWS", 5)
+    want = T.corpus_bootstrap(df, "o", "l", "r", T.mattr, 6).orderBy("iter").collect()
+    got = T.bootstrap_mattr(df, "o", "l", "r", 6).orderBy("iter").collect()
+    assert len(got) == 6 and [r.iter for r in got] == [r.iter for r in want]
+    assert all(math.isclose(x, y, abs_tol=1e-12) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
+
+
+def test_bootstrap_mattr_query_has_all_iterations(spark, sf):
+    from corpuslab.plans import catalogue
+
+    assert catalogue.queries()["corpus_bootstrap_mattr"](spark, sf).count() == 1000
