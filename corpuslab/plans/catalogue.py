@@ -606,12 +606,12 @@ def prompt_render(spark, sf_dir):
     return r.select("sentence_id", F.md5("prompt").alias("prompt_md5"), F.md5("source").alias("source_md5"), F.md5("reference").alias("reference_md5"))
 
 
-_PARA = "p as (select doc_id, replace(left(text, 400), chr(10), chr(10) || '  ' || chr(10)) as t from documents)"
+_PARA = "p as (select doc_id, replace(text, chr(10), chr(10) || '  ' || chr(10)) as t from documents)"
 _UNITS = rf"list_filter(list_transform(regexp_split_to_array(t, '\n[{V.WS}]*\n'), lambda x: {_strip('x')}), lambda x: x <> '')"
 
 
 def _paragraphs(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.replace(F.left("text", F.lit(400)), F.lit("\n"), F.lit("\n  \n")).alias("t"))
+    return documents(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n  \n")).alias("t"))
 
 
 @query(rf"with {_PARA}, u as (select doc_id, {_UNITS} as u from p) select doc_id, case when len(u) = 2 then md5('<s1>' || u[1] || '</s1>' || chr(10) || '<s2>' || u[2] || '</s2>') end as tagged_md5, len(u) as n_units from u")
@@ -671,10 +671,10 @@ def pack_sequences(spark, sf_dir):
     return C.pack(d, "doc_id", "n", 512, "source")
 
 
-@query(f"with {_TOK}, o as (select doc_id, tok[1:40] as a, tok[1:30] || ['x'] || tok[32:60] as b from t), z as (select doc_id, a, b, list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false) as f from o) select doc_id, cast(case when f > 0 then f - 1 else least(len(a), len(b)) end as bigint) as prefix, len(b) as n from z")
+@query(f"with {_TOK}, o as (select doc_id, tok as a, tok[1:30] || ['x'] || tok[32:] as b from t), z as (select doc_id, a, b, list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false) as f from o) select doc_id, cast(case when f > 0 then f - 1 else least(len(a), len(b)) end as bigint) as prefix, len(b) as n from z")
 def prompt_masks(spark, sf_dir):
     t = documents(spark, sf_dir).select("doc_id", X.tokens(F.col("text")).alias("tok"))
-    o = t.select("doc_id", F.slice("tok", 1, 40).alias("a"), F.concat(F.slice("tok", 1, 30), F.array(F.lit("x")), F.slice("tok", 32, 29)).alias("b"))
+    o = t.select("doc_id", F.col("tok").alias("a"), F.concat(F.slice("tok", 1, 30), F.array(F.lit("x")), F.slice(F.col("tok"), F.lit(32), F.greatest(F.size("tok"), F.lit(1)))).alias("b"))
     return o.select("doc_id", C.common_prefix(F.col("a"), F.col("b")).cast("long").alias("prefix"), F.size("b").cast("long").alias("n"))
 
 

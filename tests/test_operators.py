@@ -427,3 +427,18 @@ def test_bootstrap_mattr_query_has_all_iterations(spark, sf):
     from corpuslab.plans import catalogue
 
     assert catalogue.queries()["corpus_bootstrap_mattr"](spark, sf).count() == 1000
+
+
+def test_boundary_tag_and_prompt_masks_take_whole_texts(spark, sf):
+    from corpuslab.plans import catalogue
+
+    docs = {r.doc_id: r for r in catalogue.documents(spark, sf).select("doc_id", "text", X.tokens(F.col("text")).alias("tok")).collect()}
+    assert any(len(r.text or "") > 400 for r in docs.values()) and any(len(r.tok) > 60 for r in docs.values())
+    for r in catalogue.queries()["boundary_tag"](spark, sf).collect():
+        if docs[r.doc_id].text is not None:
+            assert r.n_units == sum(bool(x.strip()) for x in docs[r.doc_id].text.split("\n"))
+    for r in catalogue.queries()["prompt_masks"](spark, sf).collect():
+        a = docs[r.doc_id].tok
+        b = a[:30] + ["x"] + a[31:]
+        prefix = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert (r.prefix, r.n) == (prefix, len(b))
