@@ -329,15 +329,15 @@ def lemma_wordform_diversity(spark, sf_dir):
     return r6(M.lemma_form_diversity(V.annotations(spark, sf_dir), "lang"))
 
 
-#: A dictionary made of the corpus: lemmas of four letters with those that share two letters as options.
-_DICT = "dict as (select distinct a.lemma, b.lemma as option from (select distinct lemma from ann where row_id < 40 and length(lemma) = 4) a join (select distinct lemma from ann where row_id < 40 and length(lemma) = 4) b on left(a.lemma, 3) = left(b.lemma, 3))"
+#: A dictionary made of the corpus: all lemmas (four letters at most) with those that share their first three as options.
+_DICT = "dict as (select distinct a.lemma, b.lemma as option from (select distinct lemma from ann) a join (select distinct lemma from ann) b on left(a.lemma, 3) = left(b.lemma, 3))"
 _SFA = f"""with {V.ANNOTATIONS}, {_DICT}, src as (select distinct row_id, lemma from ann where upos in {_IN(M.SYNONYM_UPOS)}), tgt as (select row_id - 1 as row_id, lemma as option, count(*) as c from ann group by all),
 counts as (select lemma, option, cast(sum(coalesce(c, 0)) as bigint) as count from src join dict using (lemma) left join tgt using (row_id, option) group by lemma, option)"""
 
 
 def _sfa(spark, sf_dir):
     ann = V.annotations(spark, sf_dir)
-    words = ann.filter("row_id < 40 and char_length(lemma) = 4").select("lemma").distinct()
+    words = ann.select("lemma").distinct()
     by = F.left("lemma", F.lit(3)).alias("b")
     dictionary = words.select("lemma", by).join(words.select(F.col("lemma").alias("option"), by), "b").select("lemma", "option")
     return M.option_counts(ann, ann.withColumn("row_id", F.col("row_id") - 1), dictionary)

@@ -442,3 +442,12 @@ def test_boundary_tag_and_prompt_masks_take_whole_texts(spark, sf):
         b = a[:30] + ["x"] + a[31:]
         prefix = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         assert (r.prefix, r.n) == (prefix, len(b))
+
+
+def test_sfa_dictionary_has_lemmas_of_all_rows(spark, sf):
+    from corpuslab.plans import catalogue
+    from corpuslab.plans import views as V
+
+    ann = V.annotations(spark, sf)
+    want = {r.lemma for r in ann.filter(F.col("upos").isin(*M.SYNONYM_UPOS)).select("lemma").distinct().collect()}
+    assert {r.lemma for r in catalogue.queries()["sfa_option_counts"](spark, sf).select("lemma").distinct().collect()} == want
