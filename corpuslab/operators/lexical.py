@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as X
 from corpuslab.operators.order import with_position
+from corpuslab.schema import CorpusError
 
 CONTENT = "^\\p{L}{4,}$"
+#: Groups whose streams token_stream() puts in order one by one; more are an error.
+MOST_GROUPS = 1000
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -152,7 +155,10 @@ def token_stream(df: DataFrame, text: str, order: str, by: str) -> DataFrame:
     """by, q, token: positions in the stream of all of a group's rows in order, from sums of token counts before a row."""
     parts = None
     sized = df.select(by, order, text).withColumn("_len", F.size(X.tokens(F.col(text))).cast("long"))
-    for g in sorted((r[by] for r in df.select(by).distinct().limit(1001).collect()), key=str):  # languages, systems: a handful
+    groups = [r[by] for r in df.select(by).distinct().limit(MOST_GROUPS + 1).collect()]
+    if len(groups) > MOST_GROUPS:
+        raise CorpusError(f"more than {MOST_GROUPS} groups of {by}")
+    for g in sorted(groups, key=str):  # languages, systems: a handful
         x = with_position(sized.filter(F.col(by).eqNullSafe(F.lit(g))), order, "_start", F.col("_len"))
         parts = x if parts is None else parts.unionByName(x)
     if parts is None:

@@ -451,3 +451,12 @@ def test_sfa_dictionary_has_lemmas_of_all_rows(spark, sf):
     ann = V.annotations(spark, sf)
     want = {r.lemma for r in ann.filter(F.col("upos").isin(*M.SYNONYM_UPOS)).select("lemma").distinct().collect()}
     assert {r.lemma for r in catalogue.queries()["sfa_option_counts"](spark, sf).select("lemma").distinct().collect()} == want
+
+
+def test_too_many_groups_are_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"g{i % 3}", "a b c") for i in range(9)], "o long, g string, t string")
+    monkeypatch.setattr(L, "MOST_GROUPS", 3, raising=False)
+    assert L.mattr_by_group(df, "t", "o", "g", 2).count() == 3
+    monkeypatch.setattr(L, "MOST_GROUPS", 2)
+    with pytest.raises(CorpusError):
+        L.mattr_by_group(df, "t", "o", "g", 2)
