@@ -438,3 +438,10 @@ def test_lm_keeps_its_states_and_double_precision():
     at = np.cumsum(size) - size
     want = [brute_forward(hmm, obs[a : a + n]) for a, n in zip(at, size, strict=True)]
     assert np.allclose(got, want, rtol=1e-12, atol=0)
+
+
+def test_empty_pages_leave_a_template_whole(spark):
+    page = "<html><body><p>Welcome to our site</p><p>Text number {0} of its own</p></body></html>"
+    pages = [(i, "https://a.org/x", page.format(i)) for i in range(6)] + [(6, "https://a.org/x", None), (7, "https://a.org/x", ""), (8, "https://a.org/x", "<html></html>")]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Text number {i} of its own" for i in range(6)}, 6: "", 7: "", 8: ""}
