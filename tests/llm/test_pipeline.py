@@ -9,7 +9,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
-from test_operators import SCHEMA, _texts, brute_components, brute_hits
+from llm_fixtures import SCHEMA, brute_components, brute_hits, texts_with_odd_cases
 
 import corpus_pipeline
 
@@ -17,7 +17,7 @@ import corpus_pipeline
 @pytest.fixture(scope="module")
 def sf_dir(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("pipeline")
-    rows = _texts()
+    rows = texts_with_odd_cases()
     spark.createDataFrame([(i, t, g, "s", None, "clash", 1, 0.5, "clash", "clash", 3) for i, t, g in rows], SCHEMA).write.parquet(f"{d}/documents.parquet")
     words = rows[5][1].split(" ")
     spark.createDataFrame([("p", " ".join(words[20:40])), ("q", None)], "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
@@ -28,7 +28,7 @@ def test_stages(spark, sf_dir):
     path, items = sf_dir
     docs = spark.read.parquet(f"{path}/documents.parquet")
     columns = docs.columns
-    kept = [r for r in _texts() if r[0] is not None]
+    kept = [r for r in texts_with_odd_cases() if r[0] is not None]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         docs = stage(spark, docs, path)
         assert docs.columns == columns, name
@@ -46,7 +46,7 @@ def test_stages(spark, sf_dir):
         else:
             kept = [r for r in kept if not brute_hits(r[1], items, 10)[1]]
         assert got == sorted((i, t) for i, t, _ in kept), name
-    assert len(kept) < len(_texts()) / 2 and 0 in {r[0] for r in kept} and 5 not in {r[0] for r in kept}
+    assert len(kept) < len(texts_with_odd_cases()) / 2 and 0 in {r[0] for r in kept} and 5 not in {r[0] for r in kept}
 
 
 def test_run(spark, sf_dir):
@@ -55,7 +55,7 @@ def test_run(spark, sf_dir):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = {i: t for i, t, _ in _texts()}
+    texts = {i: t for i, t, _ in texts_with_odd_cases()}
     got = corpus_pipeline.run(spark, sf_dir[0]).collect()
     assert got and len({r.doc_id for r in got}) == len(got)
     for r in got:
