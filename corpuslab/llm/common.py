@@ -15,16 +15,20 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one is set only where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir, or the one set by SparkContext.setCheckpointDir.
+
+    Only a local master, whose tasks all run on this machine, gets a folder of its own where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if got.isDefined():
-            return got.get()
-        named = "file://" + tempfile.mkdtemp(prefix="corpuslab-")
-        spark.sparkContext.setCheckpointDir(named)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return named
+    if named:
+        return named
+    context = spark.sparkContext
+    got = context._jsc.sc().getCheckpointDir()
+    if got.isDefined():
+        return got.get()
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpuslab-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -66,6 +70,17 @@ def pick(docs: DataFrame, **cols: str) -> DataFrame:
     return docs.select(*[F.col(f"`{src}`").alias(dst) for dst, src in cols.items()])
 
 
+def text_md5(text: str = "text"):
+    """What tells the texts of rows that share an id apart; null counts as empty."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs but those of `gone` (doc_id, text_md5): a row goes for its own text, never for one that shares its id."""
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_md5").alias("_gone_md5"))
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (text_md5(text_col) == F.col("_gone_md5")), "left_anti")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of Arrow batches with about `most` bytes of text each (one row at least)."""
     for batch in batches:
