@@ -56,9 +56,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows that repeat an id and a text one stays, rows without an id all do."""
-    gone = cut(exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_id")).distinct(), "exact-gone")
-    left = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """The documents that stay, with all their columns; of rows that repeat an id and a text one stays, rows without an id all do.
+
+    A row goes for its own text: rows that share an id and differ in text stand for themselves."""
+    gone = cut(exact_dedup(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "exact-gone")
+    left = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.sha2(normalised(F.col("text")), 256) == F.col("_sha")), "left_anti")
     again = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id")), "exact-repeats")
     if not again.limit(1).count():
         return left

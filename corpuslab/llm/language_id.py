@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import arrow_rows, bounded, cut, pick, slices, turn
+from corpuslab.llm.common import arrow_rows, bounded, cut, pick, slices, text_md5, turn, without
 
 #: Dimensions of the hypervectors, letters of an n-gram, folds of the hold-out, languages that may be learned.
 DIM, GRAM, FOLDS, MOST_LANGUAGES = 1024, 3, 5, 10_000
@@ -140,17 +140,18 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     return {r["lang"]: [p["x"] for p in r["v"]] for r in sorted(found, key=lambda r: r["lang"])}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """One row per row: doc_id, held_out, lang_pred, score: the language whose prototype has the largest cosine, and that
     cosine (0 at least). Vectors are compared less the mean prototype, which holds what all languages share.
 
     `und` and 0 for a null text, a text without letters, and if no language was learned. Ties go to the
-    first language in order. Only the id and the text are read; repeated rows repeat results.
+    first language in order. Only the id and the text are read; repeated rows repeat results. `carry` names
+    a string column that is passed on.
     """
     spark = docs.sparkSession
     bounded(spark)
     sent = spark.sparkContext.broadcast(prototypes)  # MOST_LANGUAGES vectors of DIM numbers at most
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), *([(carry, pa.string())] if carry else [])])
 
     def run(batches):
         turn("language ID", _forget)
@@ -166,10 +167,11 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str = "
                 lang, score = [names[i] if k else "und" for i, k in zip(best, known, strict=True)], np.where(known, np.clip(cos.max(1), 0, 1), 0)
             else:
                 lang, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
-            yield arrow_rows(schema, doc_id=b.column(0), lang_pred=lang, score=score.astype(np.float64).tolist())
+            yield arrow_rows(schema, doc_id=b.column(0), lang_pred=lang, score=score.astype(np.float64).tolist(), **({carry: b.column(2)} if carry else {}))
 
-    out = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    more = {carry: carry} if carry else {}
+    out = pick(docs, doc_id=id_col, text=text_col, **more).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, lang_pred string, score double" + f", `{carry}` string" * bool(carry))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", *more)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -178,6 +180,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """Documents in which a language was found, with all their columns (rows without an id go)."""
-    gone = cut(identify(docs).filter("lang_pred = 'und'").select(F.col("doc_id").alias("_id")).distinct(), "und")
-    return docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """Documents in which a language was found, with all their columns.
+
+    A row goes for its own text: rows that share its id stay if a language is found in theirs, and so do rows without an id."""
+    found = predict(docs.withColumn("_md5", text_md5()), learn(docs), carry="_md5")
+    return without(docs, cut(found.filter("lang_pred = 'und'").select("doc_id", F.col("_md5").alias("text_md5")).distinct(), "und"))
