@@ -320,8 +320,30 @@ def test_byte_bpe(docs, none, rows):
     assert byte_bpe.encode(none, path, public_tokenizers.PATTERN).count() == 0
     bpe = byte_bpe.ByteBpe(path, public_tokenizers.PATTERN)
     assert bpe.decode(lib.encode_ordinary(text)) == text.encode()
-    long = "a" * 700 + " " + "=" * 900 + "the" * 200
-    assert np.frombuffer(bpe.encode_batch([long])[0][0], "<u4").tolist() == lib.encode_ordinary(long)
+
+
+#: A public pattern with groups of flags, possessive parts and classes that hold white space beside other members.
+OTHER_PATTERN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+
+
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, OTHER_PATTERN, r"(\s+|\w+|.)"])
+def test_byte_bpe_patterns_and_long_pieces(pattern):
+    import base64
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = ["a" * 700 + " " + "=" * 900 + "the" * 200, " Hello, world! it's \x1c \x85 x  y\r\n\n z 12345", some("abcdefgh", 6000), some("ethaoins", 3000), some("=-*#_", 2000), "z" * 100_000, "ab" * 3000, "日本語テキスト" * 50 + "é́ 😀😀"]
+    texts += [" ".join(some("etaoinshrdlu", rng.randint(1, 40)) for _ in range(30)) for _ in range(40)]
+    bpe = byte_bpe.ByteBpe(path, pattern)
+    for text, (ids, decoded) in zip(texts, bpe.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode_ordinary(text) and decoded == text.encode()
+    assert not bpe.passing and max(map(len, bpe.memo.new)) <= byte_bpe.KEPT_BYTES
 
 
 def brute_forward(hmm, obs):
