@@ -187,24 +187,111 @@ PLAIN = "<html><body><div class='menu'>Menu</div><div class='main-text'><p>Body
 
 def test_html(spark):
     pages = [(i, f"https://u@Host.example/{i}?q", PAGE.format(i)) for i in range(8)] + [(20 + i, "http://plain.example/x", PLAIN.format(i)) for i in range(8)]
-    pages += [(40, None, None), (41, "", ""), (42, "x", "just text &lt;b&gt;  here"), (None, "http://a.b", "<p>no id</p>"), (43, "http://one.example", PLAIN.format(7)), (44, "http://bad", "<div <p>a < b</div>")]
-    df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, html string, host string, k int")
-    got = {r.page_id: r for r in html_extract.extract_text(df).collect()}
+    pages += [(40, None, None), (41, "", ""), (42, "x", "just text &lt;b&gt;  here"), (None, "http://a.b", "<p>no id</p>"), (43, "http://one.example", PLAIN.format(7)), (44, "http://bad", "<div <p>a < b</div>"), (42, "x", "just text &lt;b&gt;  here")]
+    df = spark.createDataFrame([(*p, "clash", 1, "clash", 2) for p in pages], "page_id long, url string, html string, host string, k int, token string, row int")
+    rows = html_extract.extract_text(df).collect()
+    got = {r.page_id: r for r in rows}
     for i in range(8):
-        # short blocks that stand on every page of a host, such as `four` and `six`, are its template
-        assert got[i].text == f"Head {i} One & two three {i} Unclosed five{i}"
+        # what all pages of a host have inside the article stays: nothing else is dropped
+        assert got[i].text == f"Head {i} One & two three {i} four Unclosed five{i} six"
         assert got[20 + i].text == f"Body text number {i} is long enough to win."
     assert got[40].text == got[41].text == "" and got[40].n_chars == 0
     assert got[42].text == "just text <b> here" and got[None].text == "no id"
-    assert got[43].text == "Body text number 7 is long enough to win. Always the same line."
-    assert len(got) == len(pages) and all(r.n_chars == len(r.text) for r in got.values())
+    assert got[43].text == "Body text number 7 is long enough to win. Always the same line. Small"
+    assert Counter(r.page_id for r in rows) == Counter(p[0] for p in pages) and all(r.n_chars == len(r.text) for r in rows)
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
-def test_html_marks():
-    page = "<body><div class='page has-sidebar'><article><header><h1>T</h1></header><p>Text</p></article><div class='sidebar'>no</div><section id='reader-comments'><article class='comment'>no</article></section></div></body>"
-    assert html_extract.page_text(html_extract.segments(page), set()) == "T Text"
-    assert html_extract.page_text(html_extract.segments("<p>a<br>b <b>c</b>d</p>&#xe9;<nav>no<p>no</nav>"), set()) == "a b cd \u00e9"
+def main_text(page):
+    return " ".join(b.text for b in html_extract.candidates(html_extract.parse(page))[0])
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='page has-sidebar'><article><header><h1>T</h1></header><p>Text</p></article><div class='sidebar'>no</div><section id='reader-comments'><article class='comment'>no</article></section></div>", "T Text"),
+        ("<p>a<br>b <b>c</b>d</p>&#xe9;<nav>no<p>no</nav>", "a b cd \u00e9"),
+        ("<html><head><title>x</title><body><article><p>No end of head</p></article>", "No end of head"),
+        ("<html><head><title>x<body><article><p>No end of title</p></article>", "No end of title"),
+        ("<body><div class=sidebar>no</div><article class='post comments-open'><p>Text</p></article>", "Text"),
+        ("<form id='aspnetForm'><div><article><p>In a form</p></article><button>no</button></div></form>", "In a form"),
+        ("<form id='aspnetForm'><div><p>In a form, without an article</p></div></form>", "In a form, without an article"),
+        ("<article><p>a</p><div class='share-price'><p>b</p></div><div class='ad'>no</div><form>no</form></article>", "a b"),
+        ("<article><p>a</p><svg><path><p>b</p></article><object data=x><textarea>", "a b"),
+        ("<main><div class='content with-sidebar'><article><p>x</p></article></div><section id=reader-comments><article class=comment>no</article></section></main>", "x"),
+        ("<div>The text of a page without an article, longer than what is said</div><section class=comments><article class=comment>no</article></section>", "The text of a page without an article, longer than what is said"),
+        ("<body class='comments-open'><ul><li><a href=x>no</a><li><a>no</a></ul><div hidden>no</div><p>x", "x"),
+    ],
+)
+def test_html_marks(page, want):
+    assert main_text(page) == want
+
+
+def brute_templates(pages, support):
+    """Texts of pages (row, url, html): tokens are grouped by their full occurrence vectors, as sets of rows."""
+    where, is_frame, parts = defaultdict(set), {}, {}
+    for row, url, page in pages:
+        own, outside = html_extract.candidates(html_extract.parse(page))
+        elements = {x.number: x for b in outside for x in (*b.element.around, b.element)}
+        seen, host = Counter(), html_extract.host_of(url)
+        names = {}
+        for number in sorted(elements):
+            seen[elements[number].path] += 1
+            where[host, "frame", elements[number].path, seen[elements[number].path]].add(row)
+        if elements:
+            where[host, "frame", tuple(sorted({x.path for x in elements.values()}))].add(row)
+        for b in outside:
+            seen[b.element.path, b.text] += 1
+            names[id(b)] = (host, "text", b.element.path, b.text, seen[b.element.path, b.text])
+            where[names[id(b)]].add(row)
+        parts[row] = [(b.text, names.get(id(b))) for b in own]
+    classes = defaultdict(list)
+    for token, rows in where.items():
+        classes[frozenset(rows)].append(token)
+    shared = {t: len(rows) for rows, held in classes.items() if len(rows) >= support and any(x[1] == "frame" for x in held) for t in held if t[1] == "text"}
+    out = {}
+    for row, blocks in parts.items():
+        low = min((shared.get(t, 0) for _, t in blocks), default=0)
+        out[row] = " ".join(x for x, t in blocks if shared.get(t, 0) == low)
+    return out
+
+
+def made_pages(rng):
+    """Pages without article elements: layouts, boxes that some pages have, notices twice a page, copies; and their main text."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    out = []
+    for host in range(4):
+        fixed = [line(rng.randint(3, 20)) for _ in range(8)]
+        for k in range(rng.randint(9, 14)):
+            paras = [line(rng.randint(5, 60)) for _ in range(rng.randint(1, 5))]
+            body = f"<h1>{line(4)}</h1>" + "".join(f"<p>{p}</p>" for p in paras)
+            text = " ".join([body[4 : body.index("</h1>")], *paras])
+            if host % 2 and k % 2:  # another layout
+                page = f"<body><table><tr><td><div class=l>{fixed[0]}</div><td><div class=text{k}>{body}</div><div>{fixed[1]}</div></table>"
+            else:
+                box = f"<section><p>{fixed[2]}</p></section>" if k != 3 else ""  # all pages but one
+                page = f"<body><div class=top><p>{fixed[3]}<p>{fixed[4]}</div>{box}<div class=text{k}>{body}</div><p>{fixed[5]}<p>{fixed[5]}</p></body>"  # the last twice
+            out.append((len(out), f"http://h{host}.org/{k}", page, text))
+    return out
+
+
+def test_html_classes(spark):
+    pages = made_pages(random.Random(8))
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == brute_templates([p[:3] for p in pages], html_extract.SUPPORT)
+    shares = []
+    for i, _, _, text in pages:
+        a, b = Counter(got[i].split()), Counter(text.split())
+        shares.append(2 * (a & b).total() / (a.total() + b.total()))
+    assert sum(shares) / len(shares) >= 0.95 and min(shares) > 0.8
+
+
+def test_html_hot_host_and_copies(spark):
+    copy = "<body><div><p>Copied text</p><p>and more of it</p></div>"
+    pages = [(i, "http://a.org", PLAIN.format(i)) for i in range(1500)] + [(i, "http://b.org", copy) for i in range(7)] + [(i, "http://b.org", f"<body><table><tr><td><p>Other {i}</table>") for i in range(7)]
+    got = Counter(r.text for r in html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(6)).collect())
+    assert got == Counter([f"Body text number {i} is long enough to win." for i in range(1500)] + ["Copied text and more of it"] * 7 + [f"Other {i}" for i in range(7)])
 
 
 def test_language(docs, none, rows):
