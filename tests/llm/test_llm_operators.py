@@ -471,7 +471,7 @@ def test_hmm_recursion():
 
 
 def test_lm(docs, none, rows):
-    got = hmm_lm.scoretexts_with_odd_cases(docs).collect()
+    got = hmm_lm.score_texts(docs).collect()
     words = lambda t: [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     counts = Counter(w for i, t, _ in rows if not held(i) for w in [*words(t), None])
@@ -483,11 +483,11 @@ def test_lm(docs, none, rows):
         want[(i, held(i), len(tokens), sum(counts[w] > 0 for w in tokens), total, round(base, 6))] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
-    assert hmm_lm.scoretexts_with_odd_cases(none).count() == 0
+    assert hmm_lm.score_texts(none).count() == 0
 
 
 def test_lm_beats_unigrams(spark, sf):
-    got = hmm_lm.scoretexts_with_odd_cases(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    got = hmm_lm.score_texts(spark.read.parquet(f"{sf}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
 
 
@@ -508,3 +508,74 @@ def test_empty_pages_leave_a_template_whole(spark):
     pages = [(i, "https://a.org/x", page.format(i)) for i in range(6)] + [(6, "https://a.org/x", None), (7, "https://a.org/x", ""), (8, "https://a.org/x", "<html></html>")]
     got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {**{i: f"Text number {i} of its own" for i in range(6)}, 6: "", 7: "", 8: ""}
+
+
+def brute_class(word):
+    """The class of a word, from its last four bytes."""
+    code = 0
+    for k in range(4):
+        code |= (word[-1 - k] if k < len(word) else 94 if k == len(word) else 0) << (8 * k)
+    return (code * 0x9E3779B97F4A7C15 % (1 << 64) >> 40) % (hmm_lm.CLASSES - 1) + 1
+
+
+def brute_expected(hmm, obs):
+    """Expected counts of one sequence by plain forward and backward recursions."""
+    s = hmm_lm.STATES
+    forward, scale = [], []
+    a = hmm.start * hmm.emit[:, obs[0]]
+    for o in [*obs[1:], None]:
+        scale.append(a.sum())
+        forward.append(a / a.sum())
+        if o is not None:
+            a = (forward[-1] @ hmm.move) * hmm.emit[:, o]
+    back = [np.ones(s)]
+    for t in range(len(obs) - 1, 0, -1):
+        back.insert(0, hmm.move @ (hmm.emit[:, obs[t]] * back[0]) / scale[t])
+    emit, move = np.zeros((s, hmm_lm.CLASSES)), np.zeros((s, s))
+    for t, o in enumerate(obs):
+        emit[:, o] += forward[t] * back[t]
+        if t:
+            move += np.outer(forward[t - 1], hmm.emit[:, o] * back[t]) * hmm.move / scale[t]
+    return [forward[0] * back[0], move, emit]
+
+
+def test_lm_score_by_brute_force(docs, rows, monkeypatch):
+    """The whole column `score`: classes, Baum-Welch over partitions, forward recursion and words in their classes."""
+    monkeypatch.setattr(hmm_lm, "SEED_ROUNDS", 2)
+    monkeypatch.setattr(hmm_lm, "SEED_DOCS", 10**9)  # the sample is all training texts: passes over it are like the others
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    texts = [[w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for _, t, _ in rows]
+    counts = Counter(w for (i, _, _), t in zip(rows, texts, strict=True) if not held(i) for w in t)
+    n, v = Counter(), Counter()
+    for w, c in counts.items():
+        n[brute_class(w)] += c
+        v[brute_class(w)] += 1
+    background = np.zeros(hmm_lm.CLASSES)
+    for k, c in n.items():
+        background[k] = c
+    background[0] = sum(not held(i) for i, _, _ in rows)
+    hmm = hmm_lm.Hmm.rough(background / background.sum())
+    obs = [[*map(brute_class, t), 0] for t in texts]
+    for _ in range(2 + hmm_lm.ROUNDS):
+        parts = [brute_expected(hmm, o) for (i, _, _), o in zip(rows, obs, strict=True) if not held(i)]
+        hmm = hmm_lm.Hmm.of([sum(p[k] for p in parts) for k in range(3)])
+    want = Counter()
+    for (i, _, _), t, o in zip(rows, texts, obs, strict=True):
+        inside = sum(math.log10((counts[w] + 0.1) / (n[brute_class(w)] + 0.1 * (v[brute_class(w)] + 1))) for w in t)
+        want[i, f"{brute_forward(hmm, o) / math.log(10) + inside:.6g}"] += 1
+    got = Counter((r.doc_id, f"{r.score:.6g}") for r in hmm_lm.score_texts(docs).collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("tokens", [1e7, 1e13])
+def test_lm_of_unseen_classes_is_a_number(tokens):
+    """Many tokens of a class without training counts, in a model of a large corpus."""
+    emit = np.zeros((hmm_lm.STATES, hmm_lm.CLASSES))
+    emit[:, :50] = tokens / 250
+    hmm = hmm_lm.Hmm.of([np.ones(hmm_lm.STATES), np.eye(hmm_lm.STATES) * tokens, emit])
+    size = np.array([20, 300, 1])
+    obs = np.full(size.sum(), 4000, np.int32)
+    got, counts = hmm.run(obs, size, True)
+    at = np.cumsum(size) - size
+    assert np.allclose(got, [brute_forward(hmm, obs[a : a + k]) for a, k in zip(at, size, strict=True)], rtol=1e-9)
+    assert all(np.isfinite(c).all() for c in counts)
