@@ -31,34 +31,45 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Shuffle files of a query are deleted as it ends: a table written by cut() is all that is read again.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corpuslab-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table of the shared folder and read it back: lineage ends here, lost executors lose nothing."""
+    """Write df as a table of the shared folder and read it back: lineage ends here, lost executors lose nothing.
+
+    The shuffles that made it are gone once it is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
 
 
-def drop(table: DataFrame) -> None:
-    """Delete a table made by cut()."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.table_path)
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished stages, which it does once the driver collects garbage.
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by cut() that no result reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.table_path)
 
-    A first collection frees the plans, a second one what they held."""
-    import gc
-    import time
 
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
+def clean(spark: SparkSession) -> None:
+    """Delete what the operators of this application have left in the shared folder. Call it when their results are written."""
+    _delete(spark, _folder(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

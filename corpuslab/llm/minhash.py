@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import arrow_rows, bounded, cut, drop, free_shuffles, pick, salted_join, slices, turn
+from corpuslab.llm.common import arrow_rows, bounded, cut, drop, pick, salted_join, slices, turn, without
 
 #: A signature has CHUNKS * WIDTH symbols of 16 bits. Signatures that differ in DISTANCE symbols at most have, by the
 #: pigeonhole principle, a chunk with DISTANCE // CHUNKS = 1 differing symbol at most: they share a chunk with that
@@ -17,12 +17,10 @@ from corpuslab.llm.common import arrow_rows, bounded, cut, drop, free_shuffles,
 #: deviations beyond.
 CHUNKS, WIDTH, DISTANCE = 13, 5, 25
 SYMBOLS = CHUNKS * WIDTH
-#: Rows of a bucket that are compared in one tile with as many others; symbols (8 bits) of the longer sketch that decides
-#: which of them are worth an exact look, and the share that must agree, four and a half deviations below 0.8.
-TILE, SKETCH, LEAST_AGREE = 2048, 512, 0.72
-#: Buckets of more rows than SMALL compare their rows by the BOTTOM smallest hashes of their sets (all, of most): in
-#: NEAR_ROUNDS rounds a row offers its NEAREST rows of other components, then all that are left are compared.
-SMALL, BOTTOM, NEAR_ROUNDS, NEAREST = 64, 1024, 2, 3
+#: Rows of a bucket that are compared in one tile with as many others, and about the rows of tiles that a task gets.
+TILE, TASK_ROWS = 1024, 4096
+#: Bytes of shingle sets that one side of a tile holds (one set at least).
+TILE_BYTES = 24 << 20
 
 #: Text bytes whose words are hashed at once.
 SLICE = 1 << 20
@@ -30,8 +28,6 @@ SLICE = 1 << 20
 _rng = np.random.default_rng(11)
 _A = _rng.integers(1, 1 << 63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SYMBOLS, np.uint64)
-_C = _rng.integers(1, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
-_D = _rng.integers(0, 1 << 63, SKETCH, np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -108,11 +104,6 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (_minima(shingles, _A, _B) & np.uint64(0xFFFF)).astype("<u2")
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """SKETCH symbols of 8 bits."""
-    return (_minima(shingles, _C, _D) & np.uint64(0xFF)).astype(np.uint8)
-
-
 def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     """rows x (CHUNKS * WIDTH) keys: each chunk with each one of its symbols masked."""
     parts = signatures.reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
@@ -129,11 +120,18 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches, size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("sig", pa.binary()), ("text_md5", pa.string())])
     turn("near dedup", _forget)
     for b in slices(batches, "text", SLICE):
-        sets = shingle_sets(b.column(1).to_pylist(), size)
-        yield arrow_rows(schema, doc_id=b.column(0), n=[len(s) for s in sets], h=[hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], sig=[signature(s).tobytes() for s in sets])
+        texts = b.column(1).to_pylist()
+        sets = shingle_sets(texts, size)
+        md5 = [hashlib.md5((t or "").encode(), usedforsecurity=False).hexdigest() for t in texts]
+        yield arrow_rows(schema, doc_id=b.column(0), n=[len(s) for s in sets], h=[_name(s) for s in sets], sig=[signature(s).tobytes() for s in sets], text_md5=md5)
+
+
+def _name(shingles: np.ndarray) -> bytes:
+    """What tells a set of shingles from others (128 bits)."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def _keyed(batches):
@@ -221,34 +219,34 @@ def _pairs(ids: np.ndarray, found: list[tuple[int, np.ndarray]]) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _by_sketch(t: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a small bucket whose sketches agree enough."""
-    sig, sketches = _symbols(t), np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-    found = [(i, o[(sketches[o] == sketches[i]).sum(1) >= LEAST_AGREE * SKETCH]) for i, o in _offered(t, sig, percent)]
-    return _pairs(np.asarray(t["rep"]), found)
-
+def _linked(t: pa.Table, percent: int) -> pa.Table:
+    """Links between components of a tile: pairs within the signature distance, decided by their whole sets.
 
-def _bottom_similarity(p: np.ndarray, q: np.ndarray) -> float:
-    """Similarity of two sets from their BOTTOM smallest hashes: exact if both are whole, else an estimate."""
-    shared = np.intersect1d(p, q, assume_unique=True)
-    if max(len(p), len(q)) < BOTTOM:
-        return len(shared) / (len(p) + len(q) - len(shared))
-    low = np.union1d(p, q)[:BOTTOM]
-    return np.searchsorted(shared, low[-1], "right") / len(low)
-
-
-def _by_bottom(t: pa.Table, percent: int, nearest: int | None) -> pa.Table:
-    """Pairs of a large bucket that are similar by their smallest hashes (with a margin where that is an estimate); of each
-    row the nearest few, or all."""
-    sig, sets, found = _symbols(t), [np.frombuffer(x.as_buffer(), np.uint64) for x in t["bottom"]], []
+    Components that a link joins are one from then on, so a tile gives fewer links than it has rows."""
+    sig, rep = _symbols(t), np.asarray(t["rep"])
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["s"]]
+    size = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    border = np.cumsum(size) - size
+    there = np.zeros(int(flat.max()) + 1, bool)
+    _, comp = np.unique(np.asarray(t["comp"]), return_inverse=True)
+    a, b = [], []
     for i, other in _offered(t, sig, percent):
-        like = np.array([_bottom_similarity(sets[i], sets[j]) for j in other])
-        least = np.array([percent / 100 - (1e-9 if max(len(sets[i]), len(sets[j])) < BOTTOM else 0.06) for j in other])
-        other, like = other[like >= least], like[like >= least]
-        if nearest is not None and len(other) > nearest:
-            other = other[np.argsort(-like, kind="stable")[:nearest]]
-        found.append((i, other))
-    return _pairs(np.asarray(t["rep"]), found)
+        other = other[comp[other] != comp[i]]
+        if not len(other):
+            continue
+        own = flat[border[i] : border[i] + size[i]]
+        there[own] = True
+        # the shared shingles of row i and each other row, by one look at the rows' shingles side by side
+        many = np.repeat(border[other] - (np.cumsum(size[other]) - size[other]), size[other]) + np.arange(size[other].sum())
+        shared = np.add.reduceat(there[flat[many]].astype(np.int64), np.cumsum(size[other]) - size[other])
+        there[own] = False
+        for j in other[_similar(size[i], size[other], shared, percent)].tolist():
+            if comp[j] != comp[i]:
+                a.append(min(rep[i], rep[j]))
+                b.append(max(rep[i], rep[j]))
+                comp[comp == comp[j]] = comp[i]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,36 +273,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: doc_id, n_shingles, component_id, kept.
+    """One row per row: doc_id, n_shingles, component_id, kept, text_md5.
 
     Documents are linked if their sets of `size`-word shingles have 100 * intersection >= percent * union;
     component_id is the smallest id that links reach. Documents with the same set are one vertex, so copies
     are never expanded. All pairs of signatures within DISTANCE are candidates (see CHUNKS), and each is
-    confirmed on the whole sets. A bucket of the index first compares its rows with the one that shares most
+    decided on the whole sets. A bucket of the index first compares its rows with the one that shares most
     with others, which joins groups of copies without making their pairs; rows that stay in different
-    components are compared in tiles of bounded size, nearest ones first, in the end all that are left.
+    components are compared in tiles of bounded size. Pairs of one component need no look.
 
     Texts without words (null, empty, white space) are linked with nothing and are kept. Rows without an id
-    are linked with nothing, their component is null and they are kept. Rows that repeat an id share its
-    fate. An empty table gives an empty result.
+    are linked with nothing, their component is null and they are kept. Rows that repeat an id are documents
+    of their own, by their texts. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     bounded(spark)
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = cut(base.mapInArrow(lambda it: _signed(it, size), "doc_id long, n long, h binary, sig binary"), "near-signed")
+    signed = cut(base.mapInArrow(lambda it: _signed(it, size), "doc_id long, n long, h binary, sig binary, text_md5 string"), "near-signed")
     linked = signed.filter("n > 0 and doc_id is not null")
-    reps = cut(linked.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "near-reps")
+    # a vertex is a distinct set; its number is fixed by writing it
+    vertices = linked.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
+    reps = cut(vertices.withColumn("rep", F.monotonically_increasing_id()), "near-reps")
     keyed = reps.select("rep", "n", "sig").mapInArrow(_keyed, "key long, rep long, n long")
     sizes = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "near-keys")
     buckets = cut(salted_join(keyed, sizes, sizes, "key", "rep", "rows").drop("rows"), "near-buckets")
-    free_shuffles(spark)
-
     sigs = reps.select("rep", "sig")
-    sets = _Sets(base, size)
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.of(pairs).withColumnsRenamed({"rep": "a", "s": "x"}), "a").join(sets.table.withColumnsRenamed({"rep": "b", "s": "y"}), "b").select("a", "b", "x", "y")
-        return cut(both.mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "near-edges")
 
     # 1. each bucket's rows against that of them which shares most with others: the centre of a group of copies
     weight = salted_join(buckets.select("key", "rep"), sizes, sizes, "key", "rep", "rows").groupBy("rep").agg(F.sum("rows").alias("weight"))
@@ -312,103 +305,80 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, id_col: s
     star = salted_join(buckets, lead, sizes, "key", "rep", "rows").filter(f"rep != r2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)")
     star = star.select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b")).distinct()
     both = star.join(sigs.withColumnsRenamed({"rep": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"rep": "b", "sig": "sb"}), "b").select("a", "b", "sa", "sb")
-    tried = cut(both.mapInArrow(_near, "a long, b long"), "near-pairs")
-    edges = confirmed(tried)
+    pairs = cut(both.mapInArrow(_near, "a long, b long"), "near-pairs")
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "near-wanted")
+    sets = cut(_sets(base, reps, wanted, size), "near-sets")
+    both = pairs.join(sets.withColumnsRenamed({"rep": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"rep": "b", "s": "y"}), "b").select("a", "b", "x", "y")
+    edges = cut(both.mapInArrow(lambda it: _confirm(it, percent), "a long, b long"), "near-edges")
+    drop(pairs)
     labels = components(edges)
-    free_shuffles(spark)
 
     # 2. buckets that still hold several components: tiles of their rows
-    def tiles(rows: DataFrame, sizes: DataFrame, *cols: str) -> DataFrame:
-        """Rows by (key, i, j): part i of a bucket meets part j of it, so a task holds 2 * TILE rows whatever the bucket."""
-        parts = sizes.select("key", F.ceil(F.col("rows") / TILE).cast("int").alias("parts"))
-        dealt = salted_join(rows, parts, sizes, "key", "rep", "rows").withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int"))
-        met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
-        return met.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), side.alias("side"), "rep", "n", "comp", *cols).groupBy("key", "i", "j")
-
-    def still_open(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def still_open(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows with their component, of buckets with several, and the sizes of these."""
         rows = rows.join(labels.select(F.col("v").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        keys = cut(rows.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count(F.lit(1)).alias("rows")).filter("c != d").select("key", "rows"), "near-open")
-        return salted_join(rows, keys, keys, "key", "rep", "rows").drop("rows"), keys
-
-    rows, keys = still_open(buckets, labels)
-    near = tiles(rows.join(sigs, "rep"), keys, "sig").applyInArrow(lambda t: _active(t, percent), "key long, rep long, n long").distinct()
-    active = cut(near, "near-active")
-    counted = cut(active.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "near-counted")
-    made = cut(sets.of(active.select("rep")).join(active.select("rep").distinct(), "rep", "left_semi").mapInArrow(_sketched, "rep long, sketch binary, bottom binary"), "near-sketches")
-    wide = sigs.join(made, "rep")
-    free_shuffles(spark)
-
-    def take(offers: DataFrame) -> None:
-        nonlocal tried, edges, labels
-        pairs = cut(offers.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        tried, new = tried.unionByName(pairs), confirmed(pairs)
-        if new.limit(1).count():
-            edges = edges.unionByName(new)
-            labels = components(edges)
-        free_shuffles(spark)
-
-    small = active.join(counted.filter(F.col("rows") <= SMALL).select("key"), "key", "left_semi")
-    rows, keys = still_open(small, labels)
-    take(tiles(rows.join(wide.drop("bottom"), "rep"), keys, "sig", "sketch").applyInArrow(lambda t: _by_sketch(t, percent), "a long, b long"))
-    large_keys = counted.filter(F.col("rows") > SMALL)
-    if large_keys.limit(1).count():
-        large = cut(salted_join(active, large_keys, large_keys, "key", "rep", "rows").drop("rows"), "near-large")
-
-        def offering(nearest: int | None):
-            return lambda t: _by_bottom(t, percent, nearest)
-
-        for t in range(NEAR_ROUNDS + 1):
-            rows, keys = still_open(large, labels)
-            take(tiles(rows.join(wide.drop("sketch"), "rep"), keys, "sig", "bottom").applyInArrow(offering(NEAREST if t < NEAR_ROUNDS else None), "a long, b long"))
-
-    vertex = reps.join(labels.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("h", F.coalesce("comp", "rep").alias("comp"))
-    rows = signed.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("h")).alias("h"))
-    found = salted_join(rows.filter("h is not null"), vertex, reps.select("h", F.col("copies").alias("n2")), "h", "doc_id", "n2")
-    alone = rows.filter("h is null").select("doc_id", "n", F.col("doc_id").alias("comp"))
-    return found.select("doc_id", "n", "comp").unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("comp")).alias("kept"))
-
-
-class _Sets:
-    """Shingle sets of documents, made when they are first asked for."""
-
-    def __init__(self, base: DataFrame, size: int):
-        self.base, self.size = base, size
-        self.have = self.table = None
-
-    def of(self, ids: DataFrame) -> DataFrame:
-        """(rep, s) with at least those of the ids in any column of `ids`."""
-        wanted = ids.select(F.explode(F.array(*ids.columns)).alias("rep")).distinct()
-        new = cut(wanted if self.have is None else wanted.join(self.have, "rep", "left_anti"), "near-wanted")
-        if self.table is None or new.limit(1).count():
-            size, schema = self.size, pa.schema([("rep", pa.int64()), ("s", pa.binary())])
-
-            def run(batches):
-                turn("near dedup", _forget)
-                for b in slices(batches, "text", SLICE):
-                    yield arrow_rows(schema, rep=b.column(0), s=[x.tobytes() for x in shingle_sets(b.column(1).to_pylist(), size)])
-
-            texts = self.base.join(new.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-            made = cut(texts.mapInArrow(run, "rep long, s binary").dropDuplicates(["rep"]), "near-sets")
-            self.table = made if self.table is None else self.table.unionByName(made)
-            self.have = new if self.have is None else self.have.unionByName(new)
-        return self.table
-
-
-def _sketched(batches):
-    schema = pa.schema([("rep", pa.int64()), ("sketch", pa.binary()), ("bottom", pa.binary())])
-    for b in batches:
-        for i in range(0, b.num_rows, 500):
-            part = b.slice(i, 500)
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
-            yield arrow_rows(schema, rep=part.column(0), sketch=[sketch(x).tobytes() for x in sets], bottom=[x[:BOTTOM].tobytes() for x in sets])
+        keys = cut(rows.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).filter("c != d").select("key", "rows", "shingles"), "near-open")
+        return salted_join(rows, keys.select("key"), keys, "key", "rep", "rows"), keys
+
+    def tiles(rows: DataFrame, keys: DataFrame, *cols: str):
+        """Rows by (key, i, j): part i of a bucket meets part j of it, so a task holds two parts whatever the bucket.
+
+        The tasks are as many as the rows of all tiles ask for, since tiles cost time rather than bytes."""
+        parts = keys.select("key", "rows", F.greatest(F.ceil(F.col("rows") / TILE), F.ceil(F.col("shingles") * 8 / TILE_BYTES)).cast("int").alias("parts"))
+        held = parts.agg(F.sum(F.col("rows") * F.col("parts"))).first()[0] or 0
+        dealt = salted_join(rows, parts.drop("rows"), keys, "key", "rep", "rows").withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int"))
+        met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
+        met = met.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), side.alias("side"), "rep", "n", "comp", *cols)
+        return met.repartition(max(1, -(-held // TASK_ROWS)), "key", "i", "j").groupBy("key", "i", "j")
+
+    rows, keys = still_open(buckets)
+    active = cut(tiles(rows.join(sigs, "rep"), keys, "sig").applyInArrow(lambda t: _active(t, percent), "key long, rep long, n long").distinct(), "near-active")
+    drop(buckets, keys)
+    wanted2 = cut(active.select("rep").distinct().join(wanted, "rep", "left_anti"), "near-wanted")
+    more = cut(_sets(base, reps, wanted2, size), "near-sets")
+    rows, keys = still_open(active)
+    full = rows.join(sigs.join(sets.unionByName(more), "rep"), "rep")
+    new = cut(tiles(full, keys, "sig", "s").applyInArrow(lambda t: _linked(t, percent), "a long, b long"), "near-edges")
+    drop(active, keys, sets, more, wanted, wanted2)
+    if new.limit(1).count():
+        old, labels = labels, components(edges.unionByName(new))
+        drop(old)
+    drop(edges, new)
+
+    # the smallest id of each component
+    placed = labels.join(reps.select(F.col("rep").alias("v"), "first"), "v")
+    lows = cut(placed.groupBy("comp").agg(F.min("first").alias("low"), F.count(F.lit(1)).alias("members")), "near-lows")
+    low_of = salted_join(labels.select("v", "comp"), lows.select("comp", "low"), lows, "comp", "v", "members").select(F.col("v").alias("rep"), "low")
+    vertex = cut(reps.join(low_of, "rep", "left").select("h", F.coalesce("low", "first").alias("comp"), "copies"), "near-vertices")
+    drop(labels, lows, reps, sizes)
+    rows = signed.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("h")).alias("h"), "text_md5")
+    found = salted_join(rows.filter("h is not null"), vertex.select("h", "comp"), vertex, "h", "doc_id", "copies").select("doc_id", "n", "comp", "text_md5")
+    alone = rows.filter("h is null").select("doc_id", "n", F.col("doc_id").alias("comp"), "text_md5")
+    return found.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("comp")).alias("kept"), "text_md5")
+
+
+def _sets(base: DataFrame, reps: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(rep, s): the whole sets of the wanted vertices, made from the texts of the first document that has them."""
+    schema = pa.schema([("rep", pa.int64()), ("s", pa.binary())])
+
+    def run(batches):
+        turn("near dedup", _forget)
+        for b in slices(batches, "text", SLICE):
+            sets = shingle_sets(b.column(1).to_pylist(), size)
+            keep = [_name(x) == h for x, h in zip(sets, b.column(2).to_pylist(), strict=True)]  # rows that repeat an id may have other texts
+            yield arrow_rows(schema, rep=b.column(0), s=[x.tobytes() for x in sets]).filter(pa.array(keep, pa.bool_()))
+
+    of = reps.join(wanted, "rep", "left_semi").select("rep", F.col("first").alias("doc_id"), "h")
+    return base.join(of, "doc_id").select("rep", "text", "h").mapInArrow(run, "rep long, s binary").dropDuplicates(["rep"])
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id, with all its columns."""
-    gone = cut(near_duplicates(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_id")).distinct(), "near-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """One document of each group of near copies, that with the smallest id, with all its columns.
+
+    A row goes for its own text: rows that share an id and differ in text stand for themselves."""
+    gone = cut(near_duplicates(docs, size, percent).filter("not kept").select("doc_id", "text_md5").distinct(), "near-gone")
+    return without(docs, gone)
 
 
 ORACLE = r"""

@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import arrow_rows, bounded, cut, drop, free_shuffles, pick, salted_join, slices
+from corpuslab.llm.common import arrow_rows, bounded, cut, drop, pick, salted_join, slices
 
 #: A perfect difference set, and its period.
 COVER, PERIOD = (0, 1, 4, 14, 16), 21
@@ -327,7 +327,6 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = known.mapInArrow(lambda it: sampled(it, ranges), Packer.DDL)
     tied = cut(packed.groupBy("range").applyInArrow(lambda t: _tied(t, buckets), _FOUND_DDL), "suffix-tied")
     del packed
-    free_shuffles(spark)
     hit = None
 
     def leaving(turn: int):
@@ -338,7 +337,6 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         part = cut(rest.groupBy("range").applyInArrow(lambda t: _hit(t, buckets), _FOUND_DDL), "suffix-hit")
         hit = part if hit is None else hit.unionByName(part)
         del rest
-        free_shuffles(spark)
     drop(tied)
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]

@@ -322,10 +322,9 @@ def test_language_held_out(spark, sf):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
 
 
-@pytest.mark.parametrize("size, small, tile", [(2, 64, 1024), (5, 2, 4)])
-def test_near_duplicates(docs, none, rows, monkeypatch, size, small, tile):
-    monkeypatch.setattr(minhash, "SMALL", small)  # with few rows, buckets count as large and are cut into tiles
-    monkeypatch.setattr(minhash, "TILE", tile)
+@pytest.mark.parametrize("size, tile", [(2, 1024), (5, 4)])
+def test_near_duplicates(docs, none, rows, monkeypatch, size, tile):
+    monkeypatch.setattr(minhash, "TILE", tile)  # with few rows, buckets are cut into tiles
     got = multiset(minhash.near_duplicates(docs.filter("doc_id is not null"), size), "doc_id", "n_shingles", "component_id", "kept")
     assert got == brute_components([r for r in rows if r[0] is not None], size)
     nulls = minhash.near_duplicates(docs, size).filter("doc_id is null").collect()
@@ -333,6 +332,34 @@ def test_near_duplicates(docs, none, rows, monkeypatch, size, small, tile):
     assert minhash.near_duplicates(none, size).count() == 0
 
 
+def test_near_rows_that_share_an_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, far = " ".join(["x", *base[1:]]), " ".join(f"v{i}" for i in range(40))
+    docs = spark.createDataFrame([(7, " ".join(base)), (7, far), (9, near), (8, far + " end"), (7, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(7, 0, 7, True), (7, 39, 7, True), (7, 59, 7, True), (8, 40, 7, False), (9, 59, 7, False)]
+    assert sorted((r.doc_id, r.text or "") for r in minhash.drop_near_duplicates(docs, 2).collect()) == sorted((7, t) for t in ("", far, " ".join(base)))
+
+
+def test_near_recall_around_the_threshold(spark):
+    """Pairs of texts with a similarity of 0.8 and just above: links that are lost would show here."""
+    rng = random.Random(6)
+    rows, linked, below = [], 0, 0
+    for k in range(400):
+        n = rng.choice([45, 90, 180, 360])
+        # each changed word takes two of the n shingles away: similarity (n - 2c) / (n + 2c)
+        c = max(1, int(n / 18)) + (k % 4 == 3)
+        w = [f"{k}a{i}" for i in range(n + 1)]
+        v = list(w)
+        for i in range(c):
+            v[3 * i + 1] = f"{k}b{i}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        near = 100 * (n - 2 * c) >= 80 * (n + 2 * c)
+        linked, below = linked + near, below + (not near)
+    got = Counter(r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert linked > 200 and below > 50 and sum(x == 2 for x in got.values()) == linked
+
+
 def test_pigeonhole():
     rng = np.random.default_rng(1)
     for _ in range(300):
