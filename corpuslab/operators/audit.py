@@ -59,6 +59,13 @@ def language_reason(lang: Column, score: Column, wanted: str, side: str, r: Rule
     return F.when((lang != wanted) | (score < r.min_confidence) | lang.isNull() | score.isNull(), F.lit(f"{side}_language_mismatch"))
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that the optimizer computes once: it neither copies them into later expressions nor moves filters on
+    them below. A chain of rules on regular expressions would otherwise be copied into each rule, beyond what a generated
+    method may hold, and the whole stage would be interpreted."""
+    return df.withColumns({name: F.when(F.monotonically_increasing_id() >= 0, c) for name, c in columns.items()})
+
+
 def audit(df: DataFrame, rules: Rules = Rules(), prefix: str = "row", languages: tuple[str, str] | None = None, identify=None, stop_after: int | None = None) -> DataFrame:
     """Every row with its status and the first rule it breaks, in the order: domain, source text, target text, language,
     length, duplicate pair.
@@ -69,22 +76,21 @@ def audit(df: DataFrame, rules: Rules = Rules(), prefix: str = "row", languages:
     """
     require_columns(df, "original_index", "source", "target", label="corpus")
     clean = (lambda c: X.normalize_text(c)) if rules.normalise else (lambda c: F.coalesce(c, F.lit("")))
-    rows = df.withColumn("source", clean(F.col("source"))).withColumn("target", clean(F.col("target")))
+    rows = settled(df, source=clean(F.col("source")), target=clean(F.col("target")))
     cheap = [text_reason(F.col("source"), "source", rules), text_reason(F.col("target"), "target", rules)]
     if rules.domains is not None:
         require_columns(df, "domain", label="corpus")
         if not rules.domains:
             raise CorpusError("the list of domains is empty")
         cheap.insert(0, F.when(~F.coalesce(F.col("domain").isin(*rules.domains), F.lit(False)), F.lit("domain_filtered")))
-    rows = rows.withColumn("_r", F.coalesce(*cheap))
+    rows = settled(rows, _r=F.coalesce(*cheap))
     if identify is not None:
         ask = identify if isinstance(identify, tuple) else (identify, identify)
         for side, lang, scorer in zip(("source", "target"), languages, ask, strict=True):
             rows = rows.withColumn(f"_{side}", scorer(F.when(F.col("_r").isNull(), F.translate(F.col(side), "\n", " "))))
-            rows = rows.withColumn("_r", F.coalesce("_r", language_reason(F.col(f"_{side}.lang"), F.col(f"_{side}.score"), lang, side, rules))).drop(f"_{side}")
-    for side in ("source", "target"):
-        rows = rows.withColumn(f"_n_{side}", F.when(F.col("_r").isNull(), X.n_space_tokens(F.col(side))))
-    rows = rows.withColumn("_r", F.when(F.col("_r").isNotNull(), F.col("_r")).otherwise(length_reason(F.col("source"), F.col("target"), rules, F.col("_n_source"), F.col("_n_target")))).drop("_n_source", "_n_target")
+            rows = settled(rows, _r=F.coalesce("_r", language_reason(F.col(f"_{side}.lang"), F.col(f"_{side}.score"), lang, side, rules))).drop(f"_{side}")
+    rows = settled(rows, **{f"_n_{side}": F.when(F.col("_r").isNull(), X.n_space_tokens(F.col(side))) for side in ("source", "target")})
+    rows = settled(rows, _r=F.coalesce("_r", length_reason(F.col("source"), F.col("target"), rules, F.col("_n_source"), F.col("_n_target")))).drop("_n_source", "_n_target")
     # pairs that stand more than once among passing rows, by hash: partial sums, so a frequent pair is no hot task
     key = F.xxhash64("source", "target")
     first = rows.filter("_r is null").groupBy(key.alias("_k"), F.md5(F.concat_ws("\u0001", "source", "target")).alias("_m")).agg(F.min("original_index").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")

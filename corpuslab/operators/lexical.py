@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,11 +12,8 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as X
 from corpuslab.operators.order import with_position
-from corpuslab.schema import CorpusError
 
 CONTENT = "^\\p{L}{4,}$"
-#: Groups whose streams token_stream() puts in order one by one; more are an error.
-MOST_GROUPS = 1000
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -140,7 +139,11 @@ def _mattr(rows: DataFrame, window: int, *by: str) -> DataFrame:
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("N"))
     prev = F.coalesce(F.lag("q").over(Window.partitionBy(*by, "token").orderBy("q")), F.lit(-1).cast("long"))
     seen = rows.withColumn("prev", prev)
-    joined = seen.join(sizes, list(by)) if by else seen.crossJoin(F.broadcast(sizes))
+    if by:  # a null group is a group
+        other = sizes.withColumnsRenamed({c: f"_{c}" for c in by})
+        joined = seen.join(other, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])).drop(*[f"_{c}" for c in by])
+    else:
+        joined = seen.crossJoin(F.broadcast(sizes))  # one row
     w = F.lit(window).cast("long")
     windows = F.greatest(F.lit(0).cast("long"), F.least(F.col("q"), F.col("N") - w) - F.greatest(F.col("q") - w + 1, F.col("prev") + 1, F.lit(0).cast("long")) + 1)
     agg = joined.groupBy(*by).agg(F.sum(F.when(F.col("N") >= window, windows)).alias("d"), F.max("N").alias("N"))
@@ -152,18 +155,12 @@ def mattr_by_row(df: DataFrame, text: str, key: str, window: int = 50) -> DataFr
 
 
 def token_stream(df: DataFrame, text: str, order: str, by: str) -> DataFrame:
-    """by, q, token: positions in the stream of all of a group's rows in order, from sums of token counts before a row."""
-    parts = None
+    """by, q, token: positions in the stream of all of a group's rows in order, from sums of token counts before a row.
+
+    All groups are one plan, however many there are."""
     sized = df.select(by, order, text).withColumn("_len", F.size(X.tokens(F.col(text))).cast("long"))
-    groups = [r[by] for r in df.select(by).distinct().limit(MOST_GROUPS + 1).collect()]
-    if len(groups) > MOST_GROUPS:
-        raise CorpusError(f"more than {MOST_GROUPS} groups of {by}")
-    for g in sorted(groups, key=str):  # languages, systems: a handful
-        x = with_position(sized.filter(F.col(by).eqNullSafe(F.lit(g))), order, "_start", F.col("_len"))
-        parts = x if parts is None else parts.unionByName(x)
-    if parts is None:
-        parts = sized.withColumn("_start", F.lit(0).cast("long"))
-    return parts.select(by, "_start", F.posexplode(X.tokens(F.col(text))).alias("p", "token")).select(by, (F.col("_start") + F.col("p")).alias("q"), "token")
+    placed = with_position(sized, order, "_start", F.col("_len"), by)
+    return placed.select(by, "_start", F.posexplode(X.tokens(F.col(text))).alias("p", "token")).select(by, (F.col("_start") + F.col("p")).alias("q"), "token")
 
 
 def mattr_by_group(df: DataFrame, text: str, order: str, by: str, window: int = 50) -> DataFrame:

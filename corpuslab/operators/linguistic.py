@@ -5,8 +5,12 @@ An annotation table has a row a token: row_id, role, tok_idx, text, lemma, upos,
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from corpuslab.operators.lexical import diversity, ratio, uniform_distance
 
@@ -144,3 +148,52 @@ def crossings(pairs: list[tuple[int, int]]) -> int:
     """Pairs of alignment links that cross."""
     links = sorted(pairs)
     return sum(1 for i, (a, b) in enumerate(links) for c, d in links[i + 1 :] if a < c and b > d)
+
+
+_SCORED = "ted double, word_cross double, aligned_word_pairs double, aligned_source_ratio double, aligned_target_ratio double, sentence_pairs int, status string, error string"
+
+
+def _structure(source: list, target: list, links: list) -> tuple:
+    """Means over the sentence pairs of a row, each with the words of its longer side as weight."""
+    parts = []
+    for a, b, pairs in zip(source, target, links, strict=True):
+        for heads in (a, b):
+            if any(not 0 <= h <= len(heads) for h in heads):
+                raise ValueError(f"a head lies outside the sentence: {list(heads)}")
+        pairs = [(p["i"], p["j"]) for p in pairs]
+        ratios = [len({p[k] for p in pairs}) / len(x) if len(x) else None for k, x in enumerate((a, b))]
+        parts.append((max(len(a), len(b)), tree_distance(list(a), list(b)), crossings(pairs), len(pairs), *ratios))
+
+    def mean(k: int) -> float | None:
+        some = [(p[k], p[0]) for p in parts if p[k] is not None and p[0]]
+        return sum(v * w for v, w in some) / sum(w for _, w in some) if some else None
+
+    return *map(mean, range(1, 6)), len(parts), "scored_multisentence" if len(parts) > 1 else "scored", None
+
+
+def structure_scores(df: DataFrame, source_trees: str, target_trees: str, links: str) -> DataFrame:
+    """df with the structural comparison of each row: tree edit distance, crossing links, linked words and their shares, the
+    number of sentence pairs, status and error.
+
+    Trees are arrays of heads by sentence (0 is the root), links arrays of (i, j) by sentence. Sentences are
+    paired by position; rows with unequal numbers of sentences are excluded, rows whose trees cannot be
+    compared are failed, and neither hides the others. Null trees are no sentences.
+    """
+
+    @pandas_udf(_SCORED)
+    def scores(rows: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in rows:
+            try:
+                out.append(_structure(*(json.loads(row).get(k) or [] for k in "stl")))
+            except Exception as e:  # a row that cannot be compared is reported, whatever its fault
+                out.append((None, None, None, None, None, 0, "failed", str(e)))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _SCORED.split(", ")])
+
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    n, m = F.greatest(size(source_trees), F.lit(0)), F.greatest(size(target_trees), F.lit(0))
+    mismatch = F.concat(F.lit("sentence counts differ: "), n.cast("string"), F.lit(" and "), m.cast("string"))
+    nested = F.to_json(F.struct(F.col(source_trees).alias("s"), F.col(target_trees).alias("t"), F.col(links).alias("l")))  # lists of lists
+    out = df.withColumn("_s", scores(F.when(n == m, nested).otherwise("{}")))
+    picked = [F.when(n == m, F.col(f"_s.{c.split()[0]}")).alias(c.split()[0]) for c in _SCORED.split(", ")[:5]]
+    return out.select("*", *picked, F.col("_s.sentence_pairs").alias("sentence_pairs"), F.when(n != m, F.lit("excluded_sentence_count_mismatch")).otherwise(F.col("_s.status")).alias("status"), F.when(n != m, mismatch).otherwise(F.col("_s.error")).alias("error")).drop("_s")

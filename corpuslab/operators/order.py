@@ -2,29 +2,46 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 #: Rows of a bucket of neighbouring order values, which is ranked in one task.
 BUCKET_ROWS = 200_000
 
 
-def with_position(df: DataFrame, order: str, name: str = "position", weight: Column | None = None) -> DataFrame:
-    """name: the 0-based rank of each row by the integer column `order`, or the sum of `weight` of the rows before it.
+def _bucket(order: str, borders: list[float]) -> Column:
+    """How many of the sorted borders are at most the order value."""
+    if not borders:
+        return F.lit(0).cast("long")
+    at = np.array(borders)
 
-    Rows are cut into buckets of neighbouring order values; the buckets' totals (a few numbers each) are
-    summed up, and each bucket is ranked by itself. Equal order values share a bucket.
+    @pandas_udf("long")
+    def place(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, x.to_numpy(), "right"))
+
+    return place(F.col(order).cast("double"))
+
+
+def with_position(df: DataFrame, order: str, name: str = "position", weight: Column | None = None, by: str | None = None) -> DataFrame:
+    """name: the 0-based rank of each row by the integer column `order`, or the sum of `weight` of the rows before it; within
+    the rows of equal `by` (null is a value) if that is given.
+
+    Rows are cut at quantiles of the order values, wherever these lie; the buckets' totals (a few numbers
+    each) are summed up, and each bucket is ranked by itself. Equal order values share a bucket.
     """
-    low, high, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    count = max(1, min(-(-(n or 0) // BUCKET_ROWS), 1_000_000))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // count))
+    n = df.count()
+    count = min(-(-n // BUCKET_ROWS), 100_000)
+    cuts = sorted(set(df.approxQuantile(order, [i / count for i in range(1, count)], 0.2 / count))) if count > 1 else []
     weight = F.lit(1).cast("long") if weight is None else weight
-    rows = df.withColumn("_b", F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)).cast("long")).withColumn("_w", weight)
-    totals = rows.groupBy("_b").agg(F.sum("_w").alias("_t"))
-    # `count` rows at most, however large the table
-    before = totals.select("_b", (F.sum("_t").over(Window.orderBy("_b")) - F.col("_t")).alias("_before"))
-    inside = F.sum("_w").over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_w")
-    return rows.withColumn("_i", inside).join(F.broadcast(before), "_b").withColumn(name, F.col("_before") + F.col("_i")).drop("_b", "_w", "_i", "_before")
+    rows = df.withColumn("_b", _bucket(order, cuts)).withColumn("_w", weight).withColumn("_g", F.lit(None).cast("string") if by is None else F.col(by).cast("string"))
+    totals = rows.groupBy("_g", "_b").agg(F.sum("_w").alias("_t"))
+    before = totals.select(F.col("_g").alias("_h"), F.col("_b").alias("_c"), (F.sum("_t").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_t")).alias("_before"))
+    inside = F.sum("_w").over(Window.partitionBy("_g", "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_w")
+    joined = rows.withColumn("_i", inside).join(before, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_b") == F.col("_c")))
+    return joined.withColumn(name, F.col("_before") + F.col("_i")).drop("_b", "_w", "_i", "_before", "_g", "_h", "_c")
 
 
 def take_until(df: DataFrame, valid: Column, order: str, n: int) -> DataFrame:

@@ -184,13 +184,14 @@ def overlap_reason(df: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def greedy_disjoint(df: DataFrame, order: str = "original_index", existing: DataFrame | None = None) -> DataFrame:
-    """The rows that an ordered scan takes if it skips rows whose source or target it has taken.
+    """The rows that an ordered scan takes if it skips rows whose source or target it has taken. Rows without a source or a
+    target are never taken.
 
     Rounds over the rows still open: a row that is first both for its source and for its target is taken, and
     rows that share a key with a taken one go. The least open row is always taken, so this ends; each round
     is two partial aggregations and two joins, and the few numbers the driver sees are counts.
     """
-    rows = df
+    rows = df.filter("source is not null and target is not null")
     if existing is not None:
         rows = overlap_reason(rows, existing).filter("overlap is null").drop("overlap")
     open_rows = checkpoint(rows.select(F.col(order).alias("_o"), F.xxhash64("source", F.lit(1)).alias("_s"), F.xxhash64("target", F.lit(2)).alias("_t")))

@@ -453,10 +453,61 @@ def test_sfa_dictionary_has_lemmas_of_all_rows(spark, sf):
     assert {r.lemma for r in catalogue.queries()["sfa_option_counts"](spark, sf).select("lemma").distinct().collect()} == want
 
 
-def test_too_many_groups_are_an_error(spark, monkeypatch):
-    df = spark.createDataFrame([(i, f"g{i % 3}", "a b c") for i in range(9)], "o long, g string, t string")
-    monkeypatch.setattr(L, "MOST_GROUPS", 3, raising=False)
-    assert L.mattr_by_group(df, "t", "o", "g", 2).count() == 3
-    monkeypatch.setattr(L, "MOST_GROUPS", 2)
-    with pytest.raises(CorpusError):
-        L.mattr_by_group(df, "t", "o", "g", 2)
+def test_many_groups_are_one_plan(spark, monkeypatch):
+    from corpuslab.operators import order
+
+    monkeypatch.setattr(order, "BUCKET_ROWS", 300)
+    rows = [(i, f"g{i % 1200}" if i % 7 else None, "a b " + "c" * (i % 3)) for i in range(2600)]
+    got = {r.g: r.mattr for r in L.mattr_by_group(spark.createDataFrame(rows, "o long, g string, t string"), "t", "o", "g", 2).collect()}
+    streams: dict = {}
+    for _, g, t in rows:
+        streams.setdefault(g, []).extend(t.split())
+    want = {g: sum(len(set(w[k : k + 2])) for k in range(len(w) - 1)) / 2 / (len(w) - 1) for g, w in streams.items()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+
+
+def test_positions_of_skewed_values(spark, monkeypatch):
+    """Values far from the others do not push these into one bucket."""
+    from corpuslab.operators import order
+
+    monkeypatch.setattr(order, "BUCKET_ROWS", 100)
+    values = [*range(2000), *range(10_000_000_000, 10_000_000_050), *[77] * 5]
+    df = spark.createDataFrame([(v,) for v in values], "o long")
+    cuts = sorted(set(df.approxQuantile("o", [i / 21 for i in range(1, 21)], 0.2 / 21)))
+    sizes = df.groupBy(order._bucket("o", cuts).alias("b")).count().collect()
+    assert len(sizes) > 10 and max(r["count"] for r in sizes) < 300
+    assert [(r.o, r.position) for r in with_position(df, "o").orderBy("position").collect()] == [(v, k) for k, v in enumerate(sorted(values))]
+
+
+def test_greedy_rows_without_a_side(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (3, "x", None), (4, "x", "a"), (5, "y", "a"), (6, "y", "c")], "original_index long, source string, target string")
+    assert sorted(r.original_index for r in S.greedy_disjoint(df).collect()) == [4, 6]
+
+
+def test_ter_words():
+    assert Q.ter_counts("a b.", "A b!") == [1, 2] and Q.ter_counts("The cat sat.", "the cat sat.") == [0, 3]
+
+
+def test_audit_is_compiled(spark, sf):
+    """No stage of the flagship query grows beyond what a generated method may hold."""
+    from corpuslab.plans import catalogue
+
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # a stage that cannot be compiled is an error
+    try:
+        assert catalogue.queries()["preprocess_audit"](spark, sf).collect()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
+
+
+def test_structure_scores(spark):
+    one = ([0, 1, 2, 3], [0, 1, 1, 1], [(0, 0), (1, 2), (2, 1)])
+    two = ([0, 1], [0, 1], [(0, 0)])
+    rows = [(1, [one[0]], [one[1]], [one[2]]), (2, [one[0], two[0]], [one[1], two[1]], [one[2], two[2]]), (3, [one[0]], [one[1], two[1]], [one[2]]), (4, [[9]], [[0]], [[(0, 0)]]), (5, None, None, None), (6, [], [], [])]
+    df = spark.createDataFrame(rows, "k int, st array<array<int>>, tt array<array<int>>, al array<array<struct<i:int,j:int>>>")
+    got = {r.k: r for r in M.structure_scores(df, "st", "tt", "al").collect()}
+    assert (got[1].status, got[1].ted, got[1].word_cross, got[1].sentence_pairs, got[1].aligned_word_pairs) == ("scored", 4.0, 1.0, 1, 3.0)
+    assert got[2].status == "scored_multisentence" and got[2].ted == pytest.approx((4 * 4 + 0 * 2) / 6) and got[2].aligned_source_ratio == pytest.approx((0.75 * 4 + 0.5 * 2) / 6)
+    assert got[3].status == "excluded_sentence_count_mismatch" and got[3].ted is None and "1" in got[3].error and "2" in got[3].error
+    assert got[4].status == "failed" and got[4].error and got[5].status == got[6].status == "scored" and got[5].sentence_pairs == 0 and got[5].ted is None
+    assert M.structure_scores(df.limit(0), "st", "tt", "al").count() == 0
