@@ -38,6 +38,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if not folder:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise CorpusError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpuslab-"))
