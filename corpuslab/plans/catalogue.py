@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as X
@@ -178,7 +178,11 @@ def split_length_stats(spark, sf_dir):
     return r6(L.length_summary(documents(spark, sf_dir), X.n_space_tokens(F.col("text")), "lang"))
 
 
-@query()
+#: No key of the reserve stands in a split, so the walk hands five rows to each split by priority.
+_RESERVE = "(" + " union all ".join(f"select {i} as at, '{name}' as split" for i, name in enumerate(S.PRIORITY)) + ")"
+
+
+@query(f"select 'x' || r.i as id, p.split, r.i + {V.SHIFT} as original_index from range(60) r(i) join {_RESERVE} p on p.at = r.i // 5")
 def reserve_refill(spark, sf_dir):
     """The cascade's gaps filled from a reserve of 60 rows, as far as each split lost rows."""
     kept = S.cascade_dedup(V.splits(spark, sf_dir)).filter("kept").select("id", "source", "target", "split", "original_index")
@@ -188,23 +192,29 @@ def reserve_refill(spark, sf_dir):
 
 
 def _keyed_pairs(spark, sf_dir):
-    """Pairs with short keys, so that sources and targets repeat."""
-    return documents(spark, sf_dir).select(F.col("doc_id").alias("original_index"), F.col("doc_id").cast("string").alias("id"), F.left("text", F.lit(6)).alias("source"), F.right("text", F.lit(5)).alias("target"), "n_chars")
+    """Each text with the next one of its source: sources and targets repeat where documents are copies."""
+    p = V.pairs_doc(spark, sf_dir)
+    return p.select("original_index", F.col("original_index").cast("string").alias("id"), "source", "target", F.char_length("source").alias("n_chars"))
 
 
-@query()
+_KEYED = f"{V.PAIRS_DOC}, p as (select original_index, source, target, length(source) as n_chars, row_number() over (partition by source is null order by original_index) as i from pairs_doc)"
+#: A scan in order, a step for each row, with lists of the numbered sources and targets that are taken.
+_SCAN = f"""with recursive {_KEYED}, k as (select original_index, i, n_chars, dense_rank() over (order by source) as s, dense_rank() over (order by target) as t from p where source is not null),
+scan as (select cast(0 as bigint) as i, cast([] as bigint[]) as ss, cast([] as bigint[]) as ts, cast(null as bigint) as original_index, cast(null as bigint) as n_chars
+  union all select k.i, case when free then list_append(ss, s) else ss end, case when free then list_append(ts, t) else ts end, case when free then k.original_index end, k.n_chars
+  from (select scan.ss, scan.ts, k.*, not list_contains(scan.ss, k.s) and not list_contains(scan.ts, k.t) as free from scan join k on k.i = scan.i + 1) k)"""
+
+
+@query(f"{_SCAN} select original_index, md5(source) as source_md5, md5(target) as target_md5 from scan join pairs_doc using (original_index)")
 def greedy_disjoint_pairs(spark, sf_dir):
-    return S.greedy_disjoint(_keyed_pairs(spark, sf_dir)).select("original_index", "source", "target")
+    return S.greedy_disjoint(_keyed_pairs(spark, sf_dir)).select("original_index", F.md5("source").alias("source_md5"), F.md5("target").alias("target_md5"))
 
 
-@query()
+@query(f"{_SCAN} select original_index, round((n_chars % 100) / 100.0::double, 6) as quality from scan where original_index is not null and n_chars % 100 >= 70")
 def quality_greedy_pairs(spark, sf_dir):
     return r6(S.quality_pairs(_keyed_pairs(spark, sf_dir), (F.col("n_chars") % 100) / 100.0, 0.7).select("original_index", F.col("quality").cast("double").alias("quality")))
 
 
-_KEYED = "p as (select doc_id as original_index, left(text, 6) as source, right(text, 5) as target from documents)"
-
-
 @query(f"with {_KEYED}, e as (select * from p where original_index % 10 = 0) select original_index, case when source in (select source from e) then 'source_overlap' when target in (select target from e) then 'target_overlap' end as overlap from p where original_index % 10 <> 0")
 def overlap_reasons(spark, sf_dir):
     p = _keyed_pairs(spark, sf_dir)
@@ -296,11 +306,16 @@ def mtld_by_lang(spark, sf_dir):
     return r6(L.mtld_by_group(documents(spark, sf_dir), "text", "doc_id", "lang"))
 
 
-@query(f"""with {V.PAIRS_DOC}, p as (select left(source, 3) as k, right(target, 2) as x, left(target, 2) as y from pairs_doc), r as (select * from p where k in (select k from p group by k having count(*) > 1)),
+#: Whole sources repeat where documents are copies; the reference of a pair is the text after its target.
+_CHOICES = f"{V.PAIRS_DOC}, q as (select source as k, target as x, lead(target) over (partition by domain order by original_index) as y from pairs_doc)"
+
+
+@query(f"""with {_CHOICES}, r as (select * from q where k in (select k from q group by k having count(*) > 1)),
 c as (select k, x, sum(c) as c from (select k, x, 1 as c from r union all select k, y, 0 from r) group by k, x), g as (select k, max(c) as top, sum(c) as total, sum(c * c) as sq, count(*) as n from c group by k)
 select count(*) as groups_analyzed, round(avg(top / total::double), 6) as ptf, round(avg(case when n <= 1 then 0.0 else 1 - total / sqrt(n::double * sq) end), 6) as cdu from g""")
 def repeated_source_concentration(spark, sf_dir):
-    p = V.pairs_doc(spark, sf_dir).select(F.left("source", F.lit(3)).alias("k"), F.right("target", F.lit(2)).alias("x"), F.left("target", F.lit(2)).alias("y"))
+    w = Window.partitionBy("domain").orderBy("original_index")
+    p = V.pairs_doc(spark, sf_dir).select(F.col("source").alias("k"), F.col("target").alias("x"), F.lead("target").over(w).alias("y"))
     return r6(L.choice_concentration(p, "k", "x", "y"))
 
 
@@ -414,12 +429,6 @@ def reward_ablation_matrix(spark, sf_dir):
     return r6(out.groupBy("ablation").agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("mean_reward")))
 
 
-@query()
-def self_bleu_groups(spark, sf_dir):
-    c = V.table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", F.format_string("%d-%d", "conv_id", "turn").alias("key"), "text")
-    return r6(W.self_bleu_diversity(c, "conv_id", "text", "key"))
-
-
 # Contrastive scores and classifiers.
 
 
@@ -508,7 +517,23 @@ def holm(spark, sf_dir):
     return r6(T.holm(tests, "p_value", "test"))
 
 
-@query()
+_BY_KEY = "k as (select x, y, row_number() over (order by ('0x' || substr(md5(printf('s%09d', original_index)), 1, 15))::bigint) - 1 as slot from paired)"
+
+
+def _compare_sql(candidate: str, y: str) -> str:
+    """The paired test of x and a candidate, its draws and its signs."""
+    return f"""select '{candidate}' as candidate, (select count(*) from k) as n, (select avg(x) from k) as reference_mean, (select avg({y}) from k) as candidate_mean,
+(select quantile_cont(md, 0.025) from (select sum({y} - x) / count(*) as md from draws join k using (slot) group by iter)) as ci_low, (select quantile_cont(md, 0.975) from (select sum({y} - x) / count(*) as md from draws join k using (slot) group by iter)) as ci_high,
+(select (count(*) filter (abs(s / n) >= abs(o) - 1e-12) + 1) / {ITERATIONS + 1}.0::double from (select sum(sign * ({y} - x)) as s, count(*) as n from signs join k using (slot) group by iter), (select avg({y} - x) as o from k)) as p_value"""
+
+
+_COMPARED = f"""with {V.RUNS}, {_BY_KEY}, n as (select count(*) as n from k),
+draws as (select i.i as iter, {_RAND.format('i.i || ' + repr('|') + ' || k.k')} % n as slot from range({ITERATIONS}) i(i), n, lateral (select unnest(range(n)) as k) k),
+signs as (select i.i as iter, slot, case when {_RAND.format('i.i || ' + repr('|') + ' || slot')} % 2 = 0 then 1 else -1 end as sign from range({ITERATIONS}) i(i), k),
+t as ({_compare_sql('same', 'x')} union all {_compare_sql('reference', 'y')}), r as (select *, row_number() over (order by p_value, candidate) as i, count(*) over () as m from t)"""
+
+
+@query(f"{_COMPARED} select candidate, 'ttr' as metric, 'higher' as direction, 'ok' as status, n, round(reference_mean, 6) as reference_mean, round(candidate_mean, 6) as candidate_mean, round(candidate_mean - reference_mean, 6) as difference, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, round(p_value, 6) as p_value, round(least(1.0, max((m - i + 1) * p_value) over (order by p_value, candidate rows unbounded preceding)), 6) as p_holm from r")
 def paired_comparison(spark, sf_dir):
     a, b = V.runs(spark, sf_dir)
     return r6(T.compare_all(a, {"same": a, "reference": b}, ["ttr"], iterations=ITERATIONS))
@@ -619,36 +644,42 @@ def boundary_tag(spark, sf_dir):
     return _paragraphs(spark, sf_dir).select("doc_id", F.md5(X.tag_units(F.col("t"), 2)).alias("tagged_md5"), F.size(X.units(F.col("t"))).cast("long").alias("n_units"))
 
 
-_TAGGED = "'<s1>' || left(text, 50) || ' </Sentence_1 >' || right(text, 20) || '</s1>'"
+_TAGGED = "'<s1>' || text || ' </Sentence_1 >' || text || '</s1>'"
 
 
 @query("select doc_id, md5(" + _strip(f"regexp_replace({_TAGGED}, '(?i){X.TAG}', '', 'g')") + ") as stripped_md5 from documents")
 def boundary_strip(spark, sf_dir):
-    raw = F.concat(F.lit("<s1>"), F.left("text", F.lit(50)), F.lit(" </Sentence_1 >"), F.right("text", F.lit(20)), F.lit("</s1>"))
+    raw = F.concat(F.lit("<s1>"), "text", F.lit(" </Sentence_1 >"), "text", F.lit("</s1>"))
     return documents(spark, sf_dir).select("doc_id", F.md5(X.strip_tags(raw)).alias("stripped_md5"))
 
 
-@query()
+_FOUND = "'expected tagged sentence indexes [1, 2], found [' || case when text is null then '' when doc_id % 5 = 0 then '1, 2, 4' else '1, 2' end || ']'"
+
+
+@query(f"with x as (select case when text is null or doc_id % 5 = 0 then {_FOUND} when not regexp_matches(text, '[^{V.WS}]') then 'one or more tagged translations are empty' end as error from documents) select error is null as valid, error, count(*) as n from x group by all")
 def tag_extract_audit(spark, sf_dir):
-    t = F.left("text", F.lit(40))
-    raw = F.concat(F.lit("<s1>"), t, F.lit("</s1> <sentence_2"), F.when(F.col("doc_id") % 2 == 0, F.lit(">")).otherwise(F.lit("")), F.lit(" more </s2>"), F.when(F.col("doc_id") % 5 == 0, F.lit("<s4>x</s4>")).otherwise(F.lit("")))
+    """Answers whose first unit is the whole text; every second lacks a bracket, and every fifth has a unit too many."""
+    raw = F.concat(F.lit("<s1>"), "text", F.lit("</s1> <sentence_2"), F.when(F.col("doc_id") % 2 == 0, F.lit(">")).otherwise(F.lit("")), F.lit(" more </s2>"), F.when(F.col("doc_id") % 5 == 0, F.lit("<s4>x</s4>")).otherwise(F.lit("")))
     got = documents(spark, sf_dir).select("doc_id", X.extract_units(2)(raw).alias("u"))
     return got.groupBy(F.col("u.valid").alias("valid"), F.col("u.error").alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_ANS = "a as (select doc_id, case doc_id % 7 when 0 then text when 1 then '<translation> </translation>' when 2 then '<translation>a <translation>b</translation>' when 3 then ' <Translation>Here is a ' || left(text, 30) || '</translation>' when 4 then '<translation>' || left(text, 30) || chr(10) || 'Alternatively, x</translation>' when 5 then '<translation>' || text || ' ' || text || ' ' || text || '</translation>' else '<translation> ' || left(text, 30) || ' </translation> tail' end as ans, left(text, 30) as fb, text from documents)"
+_ANS = "a as (select doc_id, case doc_id % 7 when 0 then text when 1 then '<translation> </translation>' when 2 then '<translation>a <translation>b</translation>' when 3 then ' <Translation>Here is a ' || text || '</translation>' when 4 then '<translation>' || text || chr(10) || 'Alternatively, x</translation>' when 5 then '<translation>' || text || ' ' || text || ' ' || text || '</translation>' else '<translation> ' || text || ' </translation> tail' end as ans, text as fb, text from documents)"
 _BODY = rf"{_strip('regexp_extract(ans, ' + chr(39) + '(?is)^[' + V.WS + ']*<translation>(.*?)</translation>' + chr(39) + ', 1)')}"
 
 
-@query(rf"with {_ANS}, b as (select *, {_BODY} as body, regexp_matches(ans, '(?is)^[{V.WS}]*<translation>(.*?)</translation>') as there from a) select doc_id, case when not there then 'missing_translation_tags' when body = '' then 'empty_translation' when regexp_matches(body, '(?i)</?translation>') then 'nested_translation_tags' when contains(lower(body), 'here is a') then 'commentary_marker' when contains(lower(body), chr(10) || 'alternatively') then 'alternatives' when {V.sql_ws('body')} > greatest(24, 2 * {V.sql_ws('fb')} + 12) then 'too_long' end as reason from b")
+_REASONS = rf"with {_ANS}, b as (select *, {_BODY} as body, regexp_matches(ans, '(?is)^[{V.WS}]*<translation>(.*?)</translation>') as there from a) select doc_id, case when not there then 'missing_translation_tags' when body = '' then 'empty_translation' when regexp_matches(body, '(?i)</?translation>') then 'nested_translation_tags' when contains(lower(body), 'here is a') then 'commentary_marker' when contains(lower(body), chr(10) || 'alternatively') then 'alternatives' when {V.sql_ws('body')} > greatest(24, 2 * {V.sql_ws('fb')} + 12) then 'too_long' end as reason from b"
+
+
+@query(_REASONS)
 def validated_translation(spark, sf_dir):
-    m, head = F.col("doc_id") % 7, F.left("text", F.lit(30))
+    m, head = F.col("doc_id") % 7, F.col("text")
     tag = lambda *c: F.concat(F.lit("<translation>"), *c, F.lit("</translation>"))
     ans = F.when(m == 0, F.col("text")).when(m == 1, tag(F.lit(" "))).when(m == 2, F.lit("<translation>a <translation>b</translation>")).when(m == 3, F.concat(F.lit(" <Translation>Here is a "), head, F.lit("</translation>"))).when(m == 4, tag(head, F.lit("\nAlternatively, x"))).when(m == 5, tag(F.col("text"), F.lit(" "), F.col("text"), F.lit(" "), F.col("text"))).otherwise(F.concat(F.lit("<translation> "), head, F.lit(" </translation> tail")))
     return documents(spark, sf_dir).select("doc_id", A.validated_answer(ans, head).reason.alias("reason"))
 
 
-@query()
+@query(f"select coalesce(reason, 'accepted') as outcome, count(*) as n from ({_REASONS}) group by 1")
 def answer_outcomes(spark, sf_dir):
     return A.answer_summary(validated_translation(spark, sf_dir).withColumn("accepted", F.col("reason").isNull()))
 
@@ -665,7 +696,14 @@ def resume_pending(spark, sf_dir):
     return pending(documents(spark, sf_dir).select("doc_id"), V.table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query()
+_PACK = f"""with recursive k as (select source, doc_id, {V.sql_ws('text')} as n, row_number() over (partition by source order by doc_id) as i from documents),
+fold as (select source, doc_id, n, i, cast(0 as bigint) as pack, cast(0 as bigint) as pack_offset from k where i = 1
+  union all select k.source, k.doc_id, k.n, k.i, f.pack + f.spill, case when f.spill = 1 then 0 else f.pack_offset + f.n end
+  from (select *, case when pack_offset + n > 0 and pack_offset + n + next > 512 then 1 else 0 end as spill from (select fold.*, k.n as next from fold join k on k.source is not distinct from fold.source and k.i = fold.i + 1)) f
+  join k on k.source is not distinct from f.source and k.i = f.i + 1)"""
+
+
+@query(f"{_PACK} select source, doc_id, pack, pack_offset, n from fold")
 def pack_sequences(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id", "source", X.n_space_tokens(F.col("text")).alias("n"))
     return C.pack(d, "doc_id", "n", 512, "source")
@@ -678,21 +716,68 @@ def prompt_masks(spark, sf_dir):
     return o.select("doc_id", C.common_prefix(F.col("a"), F.col("b")).cast("long").alias("prefix"), F.size("b").cast("long").alias("n"))
 
 
-# Translation quality.
+# Translation quality. The SQL counts n-grams of every (k, h, r) of a table `q` as rows, and takes the scores of sums by key.
 
 
-@query()
+def _13a(c: str) -> str:
+    t = f"replace(replace(replace(coalesce({c}, ''), '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for a, b in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        t = f"replace({t}, '{a}', '{b}')"
+    t = f"' ' || {t} || ' '"
+    for a, b in ((r"([{-~\[-` -&(-+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        t = f"regexp_replace({t}, '{a}', '{b}', 'g')"
+    return f"regexp_extract_all({t}, '[^{V.WS}]+')"
+
+
+_MARKS = "'" + "".join(sorted(Q.PUNCTUATION)).replace("'", "''") + "'"
+_split = lambda c: rf"regexp_extract_all(coalesce({c}, ''), '[^{V.WS}]+')"
+_edge = lambda c: f"flatten(list_transform({_split(c)}, lambda w: case when length(w) = 1 then [w] when contains({_MARKS}, right(w, 1)) then [left(w, length(w) - 1), right(w, 1)] when contains({_MARKS}, left(w, 1)) then [left(w, 1), substr(w, 2)] else [w] end))"
+_chars = lambda c: rf"regexp_extract_all(regexp_replace(coalesce({c}, ''), '[{V.WS}]+', '', 'g'), '(?s).')"
+
+
+def _matches(name: str, most: int, tokens: Callable[[str], str]) -> str:
+    """CTE `name`: (k, n, h, r, m), the n-grams of both sides and those in common."""
+    sides = " union all ".join(f"select k, '{side}' as side, {tokens(side)} as tok from q" for side in "hr")
+    rows = f"select k, side, unnest(tok) as t, unnest(range(len(tok))) as i from ({sides})"
+    following = ", ".join(f"lead(t, {i}) over w as t{i}" for i in range(most))
+    ngram = lambda n: " || chr(1) || ".join(f"t{i}" for i in range(n))
+    grams = f"select k, side, unnest({list(range(1, most + 1))}) as n, unnest([{', '.join(ngram(n) for n in range(1, most + 1))}]) as g from (select k, side, {following} from ({rows}) window w as (partition by k, side order by i))"
+    return f"{name} as (select k, n, coalesce(sum(h), 0) as h, coalesce(sum(r), 0) as r, coalesce(sum(least(h, r)) filter (h is not null and r is not null), 0) as m from (select k, n, g, count(*) filter (side = 'h') as h, count(*) filter (side = 'r') as r from ({grams}) where g is not null group by all) group by k, n)"
+
+
+_BLEU = _matches("bm", 4, _13a)
+_CHRF = f"{_matches('cm', Q.CHAR_ORDER, _chars)}, {_matches('wm', Q.WORD_ORDER, _edge)}, xm as (select 'c' as layer, * from cm union all select 'w', * from wm)"
+
+
+def _bleu(name: str, key: str) -> str:
+    """CTE `name`: (key, bleu), for the rows of q by a column of it."""
+    sums = f"select {key}, n, sum(bm.h) as h, sum(bm.r) as r, sum(bm.m) as m from q join bm using (k) group by all"
+    logs = f"select *, case when m = 0 then ln(100 / (pow(2, sum((m = 0)::integer) over (partition by {key} order by n)) * h)) else ln(100.0::double * m / h) end as l from ({sums}) where h > 0"
+    size = f"select {key}, sum(h) filter (n = 1) as hyp, sum(r) filter (n = 1) as ref from ({sums}) group by all"
+    return f"{name} as (select {key}, case when sum(m) = 0 then 0.0 else exp(avg(l)) * case when any_value(hyp) >= any_value(ref) then 1.0 else exp(1 - any_value(ref) / any_value(hyp)::double) end end as bleu from ({logs}) join ({size}) using ({key}) group by {key})"
+
+
+def _chrf(name: str, key: str) -> str:
+    sums = f"select {key}, layer, n, sum(xm.h) as h, sum(xm.r) as r, sum(xm.m) as m from q join xm using (k) group by all"
+    mean = f"select {key}, avg(m / h::double) as p, avg(m / r::double) as c from ({sums}) where h > 0 and r > 0 group by {key}"
+    return f"{name} as (select {key}, case when p + c > 0 then 100 * {1 + Q.BETA**2} * p * c / ({Q.BETA**2} * p + c) else 0.0 end as chrf from ({mean}))"
+
+
+_QUALITY = f"{V.PAIRS_DOC}, q as (select original_index as k, domain, source as h, target as r from pairs_doc)"
+
+
+@query(f"with {_QUALITY}, {_BLEU}, {_CHRF}, {_bleu('b', 'k')}, {_chrf('c', 'k')} select k as original_index, round(coalesce(bleu, 0.0), 6) as sentence_bleu, round(coalesce(chrf, 0.0), 6) as sentence_chrf from q left join b using (k) left join c using (k)")
 def sentence_scores(spark, sf_dir):
     p = V.pairs_doc(spark, sf_dir).select("original_index", "source", "target")
     return r6(Q.row_scores(p, "source", "target", "bleu", "chrf").select("original_index", "sentence_bleu", "sentence_chrf"))
 
 
-@query()
+@query(f"with {_QUALITY}, {_BLEU}, {_bleu('b', 'domain')} select domain, rows, round(coalesce(bleu, 0.0), 6) as bleu from (select domain, count(*) as rows from q group by domain) left join b using (domain)")
 def corpus_bleu(spark, sf_dir):
     return r6(Q.corpus_scores(V.pairs_doc(spark, sf_dir), "source", "target", "bleu", "domain"))
 
 
-@query()
+@query(f"with {_QUALITY}, {_CHRF}, {_chrf('c', 'domain')} select domain, rows, round(coalesce(chrf, 0.0), 6) as chrf from (select domain, count(*) as rows from q group by domain) left join c using (domain)")
 def corpus_chrf(spark, sf_dir):
     return r6(Q.corpus_scores(V.pairs_doc(spark, sf_dir), "source", "target", "chrf", "domain"))
 
@@ -703,17 +788,36 @@ def corpus_ter(spark, sf_dir):
     return r6(Q.corpus_scores(V.pairs_conv(spark, sf_dir), "source", "target", "ter"))
 
 
+_GROUPS = f"t as (select conv_id, printf('%d-%d', conv_id, turn) as key, {_strip('text')} as text from conversations where text is not null), q as (select a.conv_id, a.key, a.key || ' ' || b.key as k, a.text as h, b.text as r from t a join t b on a.conv_id = b.conv_id and a.key <> b.key)"
+
+
+@query(f"with {_GROUPS}, {_BLEU}, {_bleu('b', 'k')}, o as (select key, avg(case when h = r then 1.0 else least(1.0, coalesce(bleu, 0.0) / 100) end) as other from q left join b using (k) group by key) select conv_id, key, round(coalesce(1 - other, 0.0), 6) as diversity from t left join o using (key)")
+def self_bleu_groups(spark, sf_dir):
+    c = V.table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", F.format_string("%d-%d", "conv_id", "turn").alias("key"), "text")
+    return r6(W.self_bleu_diversity(c, "conv_id", "text", "key"))
+
+
 # Plug points with their stand-ins.
 
 
-@query()
+_LAST = _strip(r"replace(source, chr(10), ' ')")
+
+
+@query(f"with {V.PAIRS_CONV}, l as (select original_index, {_LAST} as line from pairs_conv) select original_index, line as prediction, line <> '' as accepted, case when line = '' then 'empty_translation' end as reason from l")
 def prompt_chain(spark, sf_dir):
     stages = [("research", "Study this: {source}"), ("draft", "Notes: {research}\n{source}"), ("refinement", "Better: {draft}\n{source}"), ("proofreading", "Final into {target_language}: {refinement}\n{source}")]
     p = V.pairs_conv(spark, sf_dir).select("original_index", F.regexp_replace("source", "\\n", " ").alias("source"))
     return P.prompt_chain(p, stages, P.echo_generator).select("original_index", "prediction", "accepted", "reason")
 
 
-@query()
+_BIGRAMS = f"""s as (select doc_id, cast(quality as integer) as label, text from labels join documents using (doc_id)),
+w as (select doc_id, label, {V.sql_tokens('text')} as tok from s), g as (select doc_id, label, unnest(tok[:-2]) as l, unnest(tok[2:]) as r from w where len(tok) > 1),
+c as (select label, l, r, count(*) as c from g group by all), n as (select label, l, sum(c) as n, count(*) as v from c group by all),
+m as (select label, l, r, ln((c + 1) / (n + v + 1)::double) as logp from c join n using (label, l)),
+x as (select g.doc_id, avg(coalesce(h.logp, -12.0)) as ht, avg(coalesce(m.logp, -12.0)) as mt from g left join m h on h.label = 1 and h.l = g.l and h.r = g.r left join m on m.label = 0 and m.l = g.l and m.r = g.r group by g.doc_id)"""
+
+
+@query(f"with {_BIGRAMS} select doc_id, round(ht, 6) as ht, round(mt, 6) as mt, round(ht - mt, 6) as htmt_score, case when ht - mt >= 0 then 'ht_like' when ht is not null then 'mt_like' end as htmt_label from (select distinct doc_id from s) left join x using (doc_id)")
 def contrastive_scores(spark, sf_dir):
     """Bigram models of texts labelled 1 and 0, and their difference on every labelled text."""
     s = V.scores(spark, sf_dir).select("doc_id", "label").join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
@@ -721,13 +825,16 @@ def contrastive_scores(spark, sf_dir):
     return r6(B.annotate(ht.join(mt, "doc_id"), "ht", "mt"))
 
 
-@query()
+_HITS = ", ".join(f"len(list_filter(w, lambda x: x in {_IN(words.split())})) as {lang}" for lang, words in P.STOP_WORDS.items())
+
+
+@query(f"with w as (select lang, regexp_extract_all(lower(text), '[^{V.WS}]+') as w from documents), h as (select lang, {_HITS}, w is null as none from (select lang as lang, w from w)), p as (select lang, case when none then null when de >= greatest(en, es, fr) then 'de' when en >= greatest(es, fr) then 'en' when es >= fr then 'es' else 'fr' end as predicted from h) select lang, predicted, count(*) as n from p group by all")
 def language_standin(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id", "lang", P.language_plugin(P.stop_word_language)(F.col("text")).alias("l"))
     return d.groupBy("lang", F.col("l.lang").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"with {V.PAIRS_DOC} select original_index, round(('0x' || substr(md5(coalesce(source, '') || chr(1) || coalesce(target, '')), 1, 8))::bigint / 4294967295.0::double, 6) as quality from pairs_doc")
 def quality_scorer_standin(spark, sf_dir):
     p = V.pairs_doc(spark, sf_dir)
     return r6(p.select("original_index", P.scorer_plugin(P.hash_scorer, 2)(F.col("source"), F.col("target")).alias("quality")))

@@ -56,13 +56,13 @@ def sql_tokens(c: str) -> str:
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five splits with shared texts: documents dealt by id, so that copies fall into several."""
-    d = table(spark, sf_dir, "documents")
+    """Five splits with shared texts: pairs dealt by id, so that copies of whole texts fall into several."""
     names = F.array(*map(F.lit, ("test", "sft_train", "sft_dev", "grpo_train", "grpo_dev")))
-    return d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.left(F.lower("text"), F.lit(12)).alias("source"), F.right("text", F.lit(9)).alias("target"), F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int")).alias("split"), F.col("doc_id").alias("original_index"))
+    i = F.col("original_index")
+    return pairs_doc(spark, sf_dir).select(F.concat(F.lit("d"), i.cast("string")).alias("id"), F.lower("source").alias("source"), "target", F.element_at(names, (i % 5 + 1).cast("int")).alias("split"), "original_index")
 
 
-SPLITS = "splits as (select 'd' || doc_id as id, left(lower(text), 12) as source, right(text, 9) as target, (['test', 'sft_train', 'sft_dev', 'grpo_train', 'grpo_dev'])[doc_id % 5 + 1] as split, doc_id as original_index from documents)"
+SPLITS = PAIRS_DOC + ", splits as (select 'd' || original_index as id, lower(source) as source, target, (['test', 'sft_train', 'sft_dev', 'grpo_train', 'grpo_dev'])[original_index % 5 + 1] as split, original_index from pairs_doc)"
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
