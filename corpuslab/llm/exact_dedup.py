@@ -30,28 +30,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its fate; an empty table gives an empty result. Only the id and text columns are read.
     """
     base = pick(docs, doc_id=id_col, text=text_col).select("doc_id", normalise(F.col("text")).alias("t")).select("doc_id", "t", F.unhex(F.md5("t")).alias("h"))
-    groups = cut(base.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "exact-groups")
+    # the only pass that hashes every text twice: what follows reads this table, and texts only to compare them in groups
+    hashed = cut(base.select("doc_id", "h", F.unhex(F.sha2("t", 256)).alias("sha")), "exact-hashes")
+    groups = cut(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "exact-groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
     most = max(GROUP_ROWS, total // HOT_GROUPS)
     hot = groups.filter(F.col("n") > most).select("h", F.ceil(F.col("n") / most).cast("int").alias("k"))
-    salt = F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    salt = F.when(F.col("k").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")).alias("salt")
     spread = F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("salt")
 
+    def dealt(df: DataFrame, *cols: str) -> DataFrame:
+        """Each row of df with one salt of its group."""
+        return df.join(F.broadcast(hot), "h", "left").select("doc_id", "h", *cols, salt)
+
     def salted(df: DataFrame, *cols: str) -> DataFrame:
         """Each row of df once for each salt of its group."""
         return df.join(F.broadcast(hot), "h", "left").select("h", *cols, spread)
 
-    rows = base.join(F.broadcast(hot), "h", "left").select("doc_id", "t", "h", salt.alias("salt"), F.sha2("t", 256).alias("text_sha256"))
-    counted = rows.join(salted(groups, "n"), ["h", "salt"], "left")
-    single = counted.filter("n is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    sha = F.lower(F.hex("sha")).alias("text_sha256")
+    alone = dealt(hashed, "sha").join(salted(groups), ["h", "salt"], "left_anti")
+    single = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
 
-    several = counted.filter("n is not null").drop("n")
+    several = dealt(base, "t").join(salted(groups), ["h", "salt"], "left_semi")
     first = several.groupBy("h").agg(F.min("t").alias("first_t"))
-    compared = several.join(salted(first, "first_t"), ["h", "salt"]).select("doc_id", "h", "salt", "text_sha256", F.when(F.col("t") != F.col("first_t"), F.col("t")).alias("own"))
+    compared = several.join(salted(first, "first_t"), ["h", "salt"])
+    compared = cut(compared.select("doc_id", "h", "salt", F.unhex(F.sha2("t", 256)).alias("sha"), F.when(F.col("t") != F.col("first_t"), F.col("t")).alias("own")), "exact-compared")
     sizes = compared.groupBy("h", "own").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     sizes = salted(sizes, "own", "keep_id", "group_size").withColumnsRenamed({"own": "own2", "h": "h2", "salt": "salt2"})
     both = compared.join(sizes, (F.col("h") == F.col("h2")) & (F.col("salt") == F.col("salt2")) & F.col("own").eqNullSafe(F.col("own2")))
-    both = both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    both = both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), sha)
     return single.unionByName(both)
 
 
