@@ -107,6 +107,14 @@ def reason_histogram(audited: DataFrame) -> DataFrame:
     return audited.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def selection_summary(candidates: DataFrame, reason: Column, score: Column) -> DataFrame:
+    """One row: rows scanned and selected (those without a reason), and the least, mean and greatest score of these; null
+    if there are none. What the others failed first is reason_histogram()."""
+    taken = F.when(reason.isNull(), score.cast("double"))
+    stats = [f(taken).alias(f"accepted_score_{name}") for name, f in (("min", F.min), ("mean", F.avg), ("max", F.max))]
+    return candidates.agg(F.count(F.lit(1)).alias("rows_scanned"), F.count(F.when(reason.isNull(), 1)).alias("selected"), *stats)
+
+
 def summary(audited: DataFrame, wanted: int | None = None) -> DataFrame:
     """One row: rows scanned, valid, invalid, and whether as many are valid as wanted."""
     valid = F.count(F.when(F.col("status") == "valid", 1))

@@ -230,6 +230,18 @@ def mtld_by_group(df: DataFrame, text: str, order: str, by: str) -> DataFrame:
     return scored.groupBy(F.col("g").alias(by)).agg(F.max("n").alias("n"), F.when(F.max("n") >= MTLD_LEAST, F.avg("score")).alias("mtld"))
 
 
+def target_bundle(df: DataFrame, text: str, order: str, by: str, ranks: DataFrame) -> DataFrame:
+    """The corpus measures of each group in one row: tokens, types, TTR, Yule's K and I, MATTR, MTLD and whether there were
+    tokens enough for it, and the shares of the frequency bands. A group without tokens has no row."""
+    base = corpus_metrics(df, text, by).select(by, F.col("n").alias("token_count"), F.col("v").alias("type_count"), "ttr", "yules_k", "yules_i")
+    status = F.when(F.col("mtld").isNull(), "insufficient_tokens").otherwise("ok").alias("mtld_status")
+    out = base
+    for part in (mattr_by_group(df, text, order, by).withColumnRenamed("mattr", "mattr_50"), mtld_by_group(df, text, order, by).select(by, "mtld", status), frequency_profile(df, text, ranks, by)):
+        key = F.col(by).cast("string").eqNullSafe(F.col("_by"))
+        out = out.join(part.withColumn("_by", F.col(by).cast("string")).drop(by), key, "left").drop("_by")
+    return out
+
+
 # Concentration of translation choices.
 
 

@@ -98,6 +98,11 @@ def structure_summary(rows: DataFrame, *metrics: str) -> DataFrame:
     return agg.crossJoin(F.broadcast(top))  # one row each
 
 
+def with_prefix(df: DataFrame, old: str, new: str) -> DataFrame:
+    """Columns that start with a prefix under another one: the measures of a second comparison beside those of the first."""
+    return df.withColumnsRenamed({c: new + c.removeprefix(old) for c in df.columns if c.startswith(old)})
+
+
 def sentence_pairs(parsed: DataFrame) -> DataFrame:
     """Rows of (source_trees, target_trees) arrays to one row a pair of sentences, or a status if their numbers differ."""
     status = F.when(F.size("source_trees") != F.size("target_trees"), "excluded_sentence_count_mismatch").otherwise("ok")

@@ -124,6 +124,23 @@ def mask_labels(prompt_ids: Column, full_ids: Column, mask: int = -100) -> Colum
     return F.transform(full_ids, lambda x, i: F.when(i < n, F.lit(mask)).otherwise(x))
 
 
+def token_examples(df: DataFrame, prompt_ids: str, full_ids: str, length: int, eos: int | None = None, mask: int = -100) -> DataFrame:
+    """df with input_ids, attention_mask and labels: the whole example with an end token unless it has one, cut to `length`;
+    labels of the prompt are masked. A row whose labels are all masked is an error. Null arrays count as empty."""
+    if length <= 0:
+        raise CorpusError("the length must be positive")
+    empty = F.array().cast(dict(df.dtypes)[full_ids])
+    ids, prompt = F.coalesce(F.col(full_ids), empty), F.coalesce(F.col(prompt_ids), empty)
+    if eos is not None:
+        ended = F.coalesce(F.try_element_at(ids, F.lit(-1)) == eos, F.lit(False))
+        ids = F.when(ended, ids).otherwise(F.concat(ids, F.array(F.lit(eos)).cast(dict(df.dtypes)[full_ids])))
+    out = df.withColumn("input_ids", F.slice(ids, 1, length)).withColumn("_prompt", prompt)
+    out = out.withColumn("labels", mask_labels(F.col("_prompt"), F.col("input_ids"), mask)).drop("_prompt")
+    out = out.withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
+    unlearnable = F.forall("labels", lambda x: x == mask)
+    return out.withColumn("labels", F.when(unlearnable, F.raise_error(F.lit(f"an example has no label within {length} tokens")).cast(dict(out.dtypes)["labels"])).otherwise(F.col("labels")))
+
+
 def pad(ids: Column, size: Column, value: int = 0) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(size - F.size(ids), F.lit(0)).cast("int")))
 

@@ -197,6 +197,16 @@ def _keyed_pairs(spark, sf_dir):
     return p.select("original_index", F.col("original_index").cast("string").alias("id"), "source", "target", F.char_length("source").alias("n_chars"))
 
 
+_CHOSEN = "case when length(target) < length(source) then 'shorter' when length(source) % 100 < 70 then 'quality' end"
+
+
+@query(f"with {V.PAIRS_DOC}, r as (select (length(source) % 100) / 100.0::double as score, {_CHOSEN} as reason from pairs_doc) select count(*) as rows_scanned, count(*) filter (reason is null) as selected, round(min(score) filter (reason is null), 6) as accepted_score_min, round(avg(score) filter (reason is null), 6) as accepted_score_mean, round(max(score) filter (reason is null), 6) as accepted_score_max from r")
+def selection_audit(spark, sf_dir):
+    p, n = V.pairs_doc(spark, sf_dir), F.char_length("source")
+    reason = A.first_reason((F.char_length("target") < n, "shorter"), (n % 100 < 70, "quality"))
+    return r6(A.selection_summary(p, reason, (n % 100) / 100.0))
+
+
 _KEYED = f"{V.PAIRS_DOC}, p as (select original_index, source, target, length(source) as n_chars, row_number() over (partition by source is null order by original_index) as i from pairs_doc)"
 #: A scan in order, a step for each row, with lists of the numbered sources and targets that are taken.
 _SCAN = f"""with recursive {_KEYED}, k as (select original_index, i, n_chars, dense_rank() over (order by source) as s, dense_rank() over (order by target) as t from p where source is not null),
@@ -319,6 +329,18 @@ def repeated_source_concentration(spark, sf_dir):
     return r6(L.choice_concentration(p, "k", "x", "y"))
 
 
+_MTLD_BUNDLE = _mattr_sql("lang", "x as (select doc_id, lang, unnest(tok) as w, unnest(range(0, len(tok))) as p from t), e as (select lang, w, row_number() over (partition by lang order by doc_id, p) - 1 as q from x)")
+_LANG_COUNTS = f"with {_TOK}, e as (select lang, unnest(tok) as w from t), c as (select lang, w, count(*) as c from e group by all), a as (select lang, cast(sum(c) as bigint) as n, count(*) as v, cast(sum(c * c) as bigint) as sq from c group by lang) select * from a"
+_LANG_BANDS = f"with {_BG}, {_TOK}, e as (select lang, unnest(tok) as token from t) select lang, {_SHARES} from e left join ranks using (token) group by lang"
+
+
+@query(f"select lang, n as token_count, v as type_count, round(v / n::double, 6) as ttr, round(10000.0 * (sq - n) / (n::double * n), 6) as yules_k, round(10000.0 / nullif(10000.0 * (sq - n) / (n::double * n), 0), 6) as yules_i, mattr as mattr_50, case when n < {L.MTLD_LEAST} then 'insufficient_tokens' else 'ok' end as mtld_status, lfp_b1, lfp_b2, lfp_b3 from ({_LANG_COUNTS}) join ({_MTLD_BUNDLE}) using (lang) join ({_LANG_BANDS}) using (lang)")
+def target_lexical_bundle(spark, sf_dir):
+    """All corpus measures by language; the number of MTLD itself is that of mtld_by_lang."""
+    ranks = L.frequency_ranks(V.table(spark, sf_dir, "benchmark"), "text")
+    return r6(L.target_bundle(documents(spark, sf_dir).select("doc_id", "lang", "text"), "text", "doc_id", "lang", ranks).drop("mtld"))
+
+
 # Annotations.
 
 _IN = lambda tags: "(" + ", ".join(f"'{t}'" for t in tags) + ")"
@@ -716,6 +738,18 @@ def prompt_masks(spark, sf_dir):
     return o.select("doc_id", C.common_prefix(F.col("a"), F.col("b")).cast("long").alias("prefix"), F.size("b").cast("long").alias("n"))
 
 
+#: Token ids stand in by the lengths of tokens; the prompt is the first ten of them.
+_IDS = f"with {_TOK}, o as (select doc_id, list_transform(tok, lambda x: length(x)) as ids from t), f as (select doc_id, ids, (case when ids[-1] = 1 then ids else list_append(ids, 1) end)[1:1024] as f from o where len(ids) > 10)"
+
+
+@query(f"{_IDS} select doc_id, cast(len(f) as bigint) as n_ids, cast(list_sum(f) as bigint) as sum_ids, cast(10 as bigint) as n_masked, cast(list_sum(f[11:]) as bigint) as sum_labels from f")
+def token_examples(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", F.transform(X.tokens(F.col("text")), lambda x: F.char_length(x)).alias("ids")).filter("size(ids) > 10")
+    e = C.token_examples(d.withColumn("prompt", F.slice("ids", 1, 10)), "prompt", "ids", 1024, 1)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return e.select("doc_id", F.size("input_ids").cast("long").alias("n_ids"), total("input_ids").alias("sum_ids"), F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("n_masked"), total(F.filter("labels", lambda x: x != -100)).alias("sum_labels"))
+
+
 # Translation quality. The SQL counts n-grams of every (k, h, r) of a table `q` as rows, and takes the scores of sums by key.
 
 

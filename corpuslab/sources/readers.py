@@ -137,11 +137,16 @@ def bilingual_dictionary(spark: SparkSession, path: str, invert: bool = False) -
     return entries.select(F.explode(forms(left)).alias("lemma"), forms(right).alias("o")).select("lemma", F.explode("o").alias("option")).distinct()
 
 
-def summaries(spark: SparkSession, root: str, file: str = "analysis_summary.json") -> DataFrame:
-    """model, condition, summary (JSON text) for every root/model/condition/.../file; unreadable ones are absent."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file).text(root, wholetext=True).withColumn("path", F.input_file_name())
+def summaries(spark: SparkSession, root: str, *files: str) -> DataFrame:
+    """model, condition, summary (JSON text) for every root/model/condition/.../file; of several files in a folder the one
+    named first counts (the older name comes last), and one that is no JSON has the summary {}."""
+    files = files or ("analysis_summary.json", "automatic_metrics.json")
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(files) + "}").text(root, wholetext=True).withColumn("path", F.input_file_name())
+    rank = F.array_position(F.array(*map(F.lit, files)), F.regexp_extract("path", "([^/]+)$", 1))
     tail = re.escape(root.rstrip("/").split("://")[-1].split("/")[-1])
-    return rows.select(F.regexp_extract("path", f"/{tail}/([^/]+)/", 1).alias("model"), F.regexp_extract("path", f"/{tail}/[^/]+/(.*)/[^/]+$", 1).alias("condition"), F.col("value").alias("summary"))
+    model, condition = F.regexp_extract("path", f"/{tail}/([^/]+)/", 1).alias("model"), F.regexp_extract("path", f"/{tail}/[^/]+/(.*)/[^/]+$", 1).alias("condition")
+    read = F.when(F.get_json_object("value", "$").isNotNull(), F.col("value")).otherwise("{}")
+    return rows.groupBy(model, condition).agg(F.min_by(read, rank).alias("summary"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -511,3 +511,54 @@ def test_structure_scores(spark):
     assert got[3].status == "excluded_sentence_count_mismatch" and got[3].ted is None and "1" in got[3].error and "2" in got[3].error
     assert got[4].status == "failed" and got[4].error and got[5].status == got[6].status == "scored" and got[5].sentence_pairs == 0 and got[5].ted is None
     assert M.structure_scores(df.limit(0), "st", "tt", "al").count() == 0
+
+
+def test_target_bundle(spark):
+    texts = {"en": ["a b c d e f g h i j " * 12, "x y"], "de": ["u v w"], None: ["n " * 60]}
+    rows = [(i, k, t) for i, (k, t) in enumerate((k, t) for k, v in texts.items() for t in v)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r.lang: r for r in L.target_bundle(df, "text", "doc_id", "lang", L.frequency_ranks(df, "text")).collect()}
+    assert {k: (r.token_count, r.type_count, r.mtld_status) for k, r in got.items()} == {"en": (122, 12, "ok"), "de": (3, 3, "insufficient_tokens"), None: (60, 1, "insufficient_tokens")}
+    assert got["en"].mtld == pytest.approx(L.mtld(" ".join(texts["en"]).split()))
+    assert got["de"].mattr_50 is None and got[None].mattr_50 == pytest.approx(0.02) and got["en"].lfp_b1 == 1.0
+
+
+def test_selection_summary(spark):
+    df = spark.createDataFrame([("a", 0.5), (None, 0.25), (None, 0.75), ("b", None)], "why string, score double")
+    got = A.selection_summary(df, F.col("why"), F.col("score")).first()
+    assert tuple(got) == (4, 2, 0.25, 0.5, 0.75)
+    assert tuple(A.selection_summary(df.filter("score is null"), F.col("why"), F.col("score")).first()) == (1, 0, None, None, None)
+
+
+def test_token_examples(spark):
+    df = spark.createDataFrame([(1, [5, 6], [5, 6, 7, 8]), (2, [5, 6], [5, 9, 2]), (3, None, [4])], "id long, p array<int>, f array<int>")
+    got = {r.id: (r.input_ids, r.labels, r.attention_mask) for r in C.token_examples(df, "p", "f", 4, 2).collect()}
+    assert got == {1: ([5, 6, 7, 8], [-100, -100, 7, 8], [1] * 4), 2: ([5, 9, 2], [-100, 9, 2], [1] * 3), 3: ([4, 2], [4, 2], [1] * 2)}
+    with pytest.raises(Exception, match="no label within 2 tokens"):
+        C.token_examples(df, "p", "f", 2).select("labels").collect()
+    with pytest.raises(CorpusError):
+        C.token_examples(df, "p", "f", 0)
+
+
+def test_align_tokens(spark):
+    a = spark.createDataFrame([("1", "s", "r", "Ein Satz"), ("2", "s", None, None)], "sentence_id string, source string, reference string, prediction string")
+    b = a.withColumn("prediction", F.lit("x y"))
+    assert {(r.sentence_id, tuple(r.l), tuple(r.r)) for r in T.align_tokens(a, b).collect()} == {("1", ("ein", "satz"), ("x", "y")), ("2", (), ("x", "y"))}
+    for bad in (b.filter("sentence_id = '1'"), b.withColumn("source", F.lit("t")), b.unionByName(b)):
+        with pytest.raises(CorpusError):
+            T.align_tokens(a, bad)
+
+
+def test_summaries_fall_back(spark, tmp_path):
+    for folder, files in {"m/p0": {"analysis_summary.json": '{"a": 1}', "automatic_metrics.json": '{"a": 2}'}, "m/p1": {"automatic_metrics.json": '{"a": 3}'}, "n/p0": {"analysis_summary.json": "{no"}}.items():
+        (tmp_path / folder).mkdir(parents=True)
+        for name, text in files.items():
+            (tmp_path / folder / name).write_text(text)
+    got = {(r.model, r.condition): json.loads(r.summary) for r in readers.summaries(spark, str(tmp_path)).collect()}
+    assert got == {("m", "p0"): {"a": 1}, ("m", "p1"): {"a": 3}, ("n", "p0"): {}}
+
+
+def test_prefix_and_empty_synonyms(spark):
+    assert M.with_prefix(spark.range(1).selectExpr("id", "1 as astred_ted"), "astred_", "other_").columns == ["id", "other_ted"]
+    none = spark.createDataFrame([], "lemma string, option string, count long")
+    assert tuple(M.synonym_summary(none).first()) == (0, None, None, None)
