@@ -138,18 +138,19 @@ def _any_in(c: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def validated_answer(answer: Column, fallback: Column, wrong: Column | None = None, fold=X.marker_form) -> Column:
+def validated_answer(answer: Column, fallback: Column, wrong: Column | None = None, fold=X.marker_form, commentary: tuple[str, ...] = COMMENTARY, alternatives: tuple[str, ...] = ALTERNATIVES) -> Column:
     """struct(text, accepted, reason): the leading <translation> block, or the fallback and why it was refused.
 
-    In order: no tags, empty, nested tags, commentary, alternatives, too long (over max(24, 2 n + 12) tokens
-    for a fallback of n), and, where a scorer says so for five tokens or more, confidently another language.
+    In order: no tags, empty, nested tags, commentary (phrases in the folded block), alternatives (phrases in the lower-case
+    one), too long (over max(24, 2 n + 12) tokens for a fallback of n), and, where a scorer says so for five tokens or
+    more, confidently another language.
     """
     answer, fallback = F.coalesce(answer, F.lit("")), X.strip(F.coalesce(fallback, F.lit("")))
     body = X.strip(F.regexp_extract(answer, ANSWER, 1))
     limit = F.greatest(F.lit(24).cast("long"), 2 * X.n_space_tokens(fallback) + 12)
     checks = [
         (~answer.rlike(ANSWER), "missing_translation_tags"), (body == "", "empty_translation"), (body.rlike("(?i)</?translation>"), "nested_translation_tags"),
-        (_any_in(fold(body), COMMENTARY), "commentary_marker"), (_any_in(F.lower(body), ALTERNATIVES), "alternatives"), (X.n_space_tokens(body) > limit, "too_long"),
+        (_any_in(fold(body), commentary), "commentary_marker"), (_any_in(F.lower(body), alternatives), "alternatives"), (X.n_space_tokens(body) > limit, "too_long"),
     ]
     if wrong is not None:
         checks.append((wrong & (X.n_space_tokens(body) >= 5), "wrong_language"))

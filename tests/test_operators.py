@@ -562,3 +562,12 @@ def test_prefix_and_empty_synonyms(spark):
     assert M.with_prefix(spark.range(1).selectExpr("id", "1 as astred_ted"), "astred_", "other_").columns == ["id", "other_ted"]
     none = spark.createDataFrame([], "lemma string, option string, count long")
     assert tuple(M.synonym_summary(none).first()) == (0, None, None, None)
+
+
+def test_validated_answer_knows_all_phrases_unless_told_others(spark):
+    said = [(1, "Well, here is. A thing"), (2, "one\nOr, two"), (3, "La traducció és correcta"), (4, "plain words")]
+    df = spark.createDataFrame(said, "k int, t string")
+    ans = F.concat(F.lit("<translation>"), "t", F.lit("</translation>"))
+    reasons = lambda **kw: {r.k: r.reason for r in df.select("k", A.validated_answer(ans, F.col("t"), **kw).reason.alias("reason")).collect()}
+    assert reasons() == {1: "commentary_marker", 2: "alternatives", 3: "commentary_marker", 4: None}
+    assert reasons(fold=F.lower, commentary=("one",), alternatives=("\nplain",)) == {1: None, 2: "commentary_marker", 3: None, 4: None}
