@@ -107,8 +107,8 @@ Generator = Callable[[list[str]], list[str]]
 
 
 def echo_generator() -> Generator:
-    """The stand-in: the prompt's last line in a translation block."""
-    return lambda prompts: [f"<translation>{p.strip().splitlines()[-1] if p.strip() else ''}</translation>" for p in prompts]
+    """The stand-in: what follows the prompt's last line feed, in a translation block."""
+    return lambda prompts: [f"<translation>{p.rsplit(chr(10), 1)[-1].strip()}</translation>" for p in prompts]
 
 
 def generate(df: DataFrame, prompt: str, output: str, load: Callable[[], Generator]) -> DataFrame:
@@ -126,11 +126,12 @@ def generate(df: DataFrame, prompt: str, output: str, load: Callable[[], Generat
     return df.withColumn(output, run(F.col(prompt)))
 
 
-def prompt_chain(df: DataFrame, stages: list[tuple[str, str]], load: Callable[[], Generator], source: str = "source", target_lang: str = "eu") -> DataFrame:
+def prompt_chain(df: DataFrame, stages: list[tuple[str, str]], load: Callable[[], Generator], source: str = "source", target_lang: str = "eu", **rules) -> DataFrame:
     """Stages in order, each (name, template); templates may use {source}, {target_language} and earlier stages by name.
 
     The last stage's answer is validated; refused ones fall back to the stage before (to the raw answer if there is one
-    stage). Each stage is materialised once, since answers feed several later templates."""
+    stage); rules are further parameters of validated_answer(). Each stage is materialised once, since answers feed several
+    later templates."""
     from corpuslab.operators.audit import validated_answer
 
     out, names = df, []
@@ -141,7 +142,7 @@ def prompt_chain(df: DataFrame, stages: list[tuple[str, str]], load: Callable[[]
     if len(names) == 1:
         return out.withColumn("prediction", F.col(names[0]))
     plain = X.strip(F.regexp_replace(F.col(names[-2]), "(?i)</?translation>", ""))
-    v = validated_answer(F.col(names[-1]), plain)
+    v = validated_answer(F.col(names[-1]), plain, **rules)
     return out.withColumn("_v", v).withColumns({"prediction": F.col("_v.text"), "accepted": F.col("_v.accepted"), "reason": F.col("_v.reason")}).drop("_v")
 
 
