@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from corpuslab.llm.common import arrow_rows, bounded, cut, drop, pick, slices
 from corpuslab.llm.language_id import held_out
 
-#: Latent states; word classes (0 is the end of a text); folds of the hold-out; passes of Baum-Welch over all training texts.
-STATES, CLASSES, FOLDS, ROUNDS = 5, 8192, 10, 2
-#: Documents (expected) of the sample that only gives the first pass its starting point, its passes and its tasks.
-SEED_DOCS, SEED_ROUNDS, SEED_TASKS = 2000, 12, 8
+#: Latent states; word classes (0 is the end of a text); folds of the hold-out.
+STATES, CLASSES, FOLDS = 5, 8192, 10
+#: Passes of Baum-Welch, all of them over all training texts: those from the rough start, and those after them.
+SEED_ROUNDS, ROUNDS = 12, 2
+#: Not read: no pass takes a sample. The name stays for callers that set it.
+SEED_DOCS = None
 ALPHA = 0.1
 #: Text bytes of a block whose words are looked up together, and the least number of blocks.
 BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 64
+#: Bytes of stored classes (two a token) that a task of a pass handles at once.
+SEQUENCE_BYTES = 1 << 20
 #: Tokens of a segment; segments are run side by side.
 SEGMENT = 128
 
@@ -192,38 +196,53 @@ def _unpacked(rows) -> list[np.ndarray] | None:
     return [out[0][0], out[1], out[2]] if rows else None
 
 
-def expected_counts(texts: DataFrame, hmm: Hmm) -> list[np.ndarray] | None:
-    """The expected counts of all rows of `texts` (text) under hmm, summed over partitions; None without rows.
+def sequences(texts: DataFrame) -> DataFrame:
+    """One row a row of `texts` (text): obs, the classes of its tokens, two bytes each. Each pass reads them again."""
+    schema = pa.schema([("obs", pa.binary())])
+
+    def encode(batches):
+        for b in slices(batches, "text"):
+            obs, size = class_sequences(b.column(0).to_pylist())
+            raw, last = obs.astype("<u2").tobytes(), np.cumsum(2 * size).tolist()
+            yield arrow_rows(schema, obs=[raw[i:j] for i, j in zip([0, *last], last, strict=False)])
+
+    return texts.select("text").mapInArrow(encode, "obs binary")
+
+
+def expected_counts(rows: DataFrame, hmm: Hmm) -> list[np.ndarray] | None:
+    """The expected counts of all rows of sequences() under hmm, summed over partitions; None without rows.
 
     The driver gets sums of fixed size (STATES x CLASSES), whatever the corpus."""
-    sent = texts.sparkSession.sparkContext.broadcast((hmm.start, hmm.move, hmm.emit))
+    sent = rows.sparkSession.sparkContext.broadcast((hmm.start, hmm.move, hmm.emit))
     schema = pa.schema([("kind", pa.int32()), ("row", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def expect(batches):
         now, total = Hmm(*sent.value), None
-        for b in slices(batches, "text"):
-            obs, size = class_sequences(b.column(0).to_pylist())
+        for b in slices(batches, "obs", SEQUENCE_BYTES):
+            raw = b.column(0).to_pylist()
+            obs, size = np.frombuffer(b"".join(raw), "<u2").astype(np.int32), np.fromiter(map(len, raw), np.int64, len(raw)) // 2
             counts = now.run(obs, size, True)[1]
             total = counts if total is None else [x + y for x, y in zip(total, counts, strict=True)]
         if total is not None:
             yield _packed(schema, total)
 
-    parts = texts.select("text").mapInArrow(expect, "kind int, row int, x array<double>").select("kind", "row", F.posexplode("x").alias("i", "v"))
+    parts = rows.mapInArrow(expect, "kind int, row int, x array<double>").select("kind", "row", F.posexplode("x").alias("i", "v"))
     sums = parts.groupBy("kind", "row", "i").agg(F.sum("v").alias("v")).groupBy("kind", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda z: z.v).alias("x"))
     return _unpacked(sums.collect())
 
 
-def train(texts: DataFrame, seed_texts: DataFrame, background: np.ndarray) -> Hmm:
-    """Baum-Welch: SEED_ROUNDS passes over a sample for a starting point, then ROUNDS over all rows of `texts` (text).
+def train(texts: DataFrame, background: np.ndarray) -> Hmm:
+    """Baum-Welch: SEED_ROUNDS + ROUNDS passes over all rows of `texts` (text), none over a sample.
 
-    background: the counts of the classes in all training texts, from which the sample's first pass starts."""
+    background: the counts of the classes in all training texts, from which the first pass starts."""
     hmm = Hmm.rough(background / max(1, background.sum()))
-    sample = cut(seed_texts.select("text").repartition(SEED_TASKS), "lm-seed")
-    for rows in [sample] * SEED_ROUNDS + [texts] * ROUNDS:
+    rows = cut(sequences(texts), "lm-sequences")
+    for _ in range(SEED_ROUNDS + ROUNDS):
         counts = expected_counts(rows, hmm)
-        if counts is not None:
-            hmm = Hmm.of(counts)
-    drop(sample)
+        if counts is None:  # no training texts
+            break
+        hmm = Hmm.of(counts)
+    drop(rows)
     return hmm
 
 
@@ -257,10 +276,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     vocabulary = int(v_class.sum()) + (ends > 0)
 
     training = base.filter("not held_out")
-    seeds = training.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * min(1, SEED_DOCS / max(1, rows))) + 1)
     background = n_class.copy()
     background[0] = ends
-    hmm = train(training, seeds, background)
+    hmm = train(training, background)
     sent = spark.sparkContext.broadcast((hmm.start, hmm.move, hmm.emit, n_class, v_class))
     answered = asked.select("block", "word", "class").join(counts.select("word", "c"), "word").select("block", "word", "class", "c")
 

@@ -594,6 +594,17 @@ def test_lm_score_by_brute_force(docs, rows, monkeypatch):
     assert got == want
 
 
+def test_lm_learns_from_all_training_texts_in_every_pass(spark, monkeypatch):
+    """No pass of Baum-Welch reads a sample: each one's expected counts are of all training tokens."""
+    monkeypatch.setattr(hmm_lm, "SEED_ROUNDS", 2)
+    learned, of = [], hmm_lm.Hmm.of
+    monkeypatch.setattr(hmm_lm.Hmm, "of", staticmethod(lambda counts: (learned.append((counts[0].sum(), counts[2].sum())), of(counts))[1]))
+    docs = spark.range(6000).selectExpr("id as doc_id", "if(id % 7 = 0, null, concat_ws(' ', sequence(1, 1 + id % 5))) as text").repartition(3)
+    total = hmm_lm.score_texts(docs).first().train_tokens
+    rows = sum(zlib.crc32(str(i).encode()) % 10 != 0 for i in range(6000))
+    assert len(learned) == 2 + hmm_lm.ROUNDS and np.allclose(learned, [(rows, total)] * len(learned))
+
+
 @pytest.mark.parametrize("tokens", [1e7, 1e13])
 def test_lm_of_unseen_classes_is_a_number(tokens):
     """Many tokens of a class without training counts, in a model of a large corpus."""
