@@ -101,76 +101,79 @@ class Hmm:
         at = (first[seg_doc] + seg_no * SEGMENT)[order]
         steps = int(length[0]) if len(length) else 0
         active = np.searchsorted(-length, -np.arange(steps + 1), "left").tolist()  # segments longer than t
-        # emissions by step and segment, longest segments first
+        # emissions by step and segment, longest segments first; states come first in all arrays, segments last
         move = self.move
-        emit = np.ascontiguousarray(self.emit.T)
-        seen = [emit[obs[at[: active[t]] + t]] for t in range(steps)]
-        # products of the steps of each segment
-        product = np.broadcast_to(move, (len(at), s, s)).copy()
-        product[heads] = np.eye(s)
+        seen = [np.take(self.emit, obs[at[: active[t]] + t], axis=1) for t in range(steps)]
+        # products of the steps of each segment: state at its end, state before it
+        product = np.repeat(move.T[:, :, None], len(at), 2)
+        product[:, :, heads] = np.eye(s)[:, :, None]
         scale = np.zeros(len(at))
+        some = product
         for t in range(steps):
             n = active[t]
-            some = product[:n] if not t else (product[:n].reshape(-1, s) @ move).reshape(n, s, s)
+            if n < some.shape[2]:  # shorter segments are done
+                product[:, :, n : some.shape[2]] = some[:, :, n:]
+                some = np.ascontiguousarray(some[:, :, :n])
+            if t:
+                some = (move.T @ some.reshape(s, s * n)).reshape(s, s, n)
             some *= seen[t][:, None, :]
             if t % 4 == 3:
-                total = some.sum((1, 2))
-                some /= total[:, None, None]
+                total = some.sum((0, 1))
+                some /= total
                 scale[:n] += np.log(total)
-            product[:n] = some
-        total = product.sum((1, 2))
-        product, scale = product / total[:, None, None], scale + np.log(total)
+        product[:, :, : some.shape[2]] = some
+        total = product.sum((0, 1))
+        product, scale = product / total, scale + np.log(total)
         # along each sequence, all sequences at once
-        before = np.empty((len(at), s))
-        vector, likelihood = np.tile(self.start, (docs, 1)), np.zeros(docs)
+        before = np.empty((s, len(at)))
+        vector, likelihood = np.repeat(self.start[:, None], docs, 1), np.zeros(docs)
         for k in range(int(parts.max()) if docs else 0):
             live = np.flatnonzero(parts > k)
             seg = place[base[live] + k]
-            before[seg] = vector[live]
-            new = np.einsum("ni,nij->nj", vector[live], product[seg])
-            total = new.sum(1)
-            vector[live] = new / total[:, None]
+            before[:, seg] = vector[:, live]
+            new = np.einsum("in,jin->jn", vector[:, live], product[:, :, seg])
+            total = new.sum(0)
+            vector[:, live] = new / total
             likelihood[live] += np.log(total) + scale[seg]
         if not learn:
             return likelihood, None
-        after, back = np.ones((len(at), s)), np.ones((docs, s))
+        after, back = np.ones((s, len(at))), np.ones((s, docs))
         for k in range(int(parts.max()) - 1 if docs else -1, -1, -1):
             live = np.flatnonzero(parts > k)
             seg = place[base[live] + k]
-            after[seg] = back[live]
-            new = np.einsum("nij,nj->ni", product[seg], back[live])
-            back[live] = new / new.sum(1, keepdims=True)
+            after[:, seg] = back[:, live]
+            new = np.einsum("jin,jn->in", product[:, :, seg], back[:, live])
+            back[:, live] = new / new.sum(0)
         # inside the segments
         now, forward = before, []
         for t in range(steps):
             n = active[t]
-            moved = now[:n] @ move
+            moved = move.T @ now[:, :n]
             if not t:
-                moved[heads] = now[heads]
+                moved[:, heads] = now[:, heads]
             moved *= seen[t]
-            moved /= moved.sum(1, keepdims=True)
+            moved /= moved.sum(0)
             forward.append(moved)
             now = moved
         moves, starts, emits = np.zeros((s, s)), np.zeros(s), np.zeros((s, CLASSES))
         now, inner = after, ~heads
         for t in range(steps - 1, -1, -1):
             n = active[t]
-            ahead = now[:n] * seen[t]
-            state = forward[t] * now[:n]
-            state /= state.sum(1, keepdims=True)
+            ahead = now[:, :n] * seen[t]
+            state = forward[t]  # becomes the probability of each state given the whole sequence
+            state *= now[:, :n]
+            state /= state.sum(0)
             if t:
-                prev, last = forward[t - 1][:n], ahead
+                prev, last = forward[t - 1][:, :n], ahead
             else:
-                starts = state[heads].sum(0, np.float64)
-                prev, last = before[inner], ahead[inner]
-            moves += (prev / ((prev @ move) * last).sum(1, keepdims=True)).T @ last
-            o = obs[at[:n] + t]
-            for i in range(s):
-                emits[i] += np.bincount(o, state[:, i], CLASSES) if n > CLASSES // 16 else 0
-            if n <= CLASSES // 16:
-                np.add.at(emits.T, o, state)
-            new = ahead @ move.T
-            now[:n] = new / new.sum(1, keepdims=True)
+                starts = state[:, heads].sum(1)
+                prev, last = before[:, inner], ahead[:, inner]
+            moves += (prev / ((move.T @ prev) * last).sum(0)) @ last.T
+            new = move @ ahead
+            now[:, :n] = new / new.sum(0)
+        if steps:
+            o, states = np.concatenate([obs[at[: active[t]] + t] for t in range(steps)]), np.concatenate(forward, 1)
+            emits = np.stack([np.bincount(o, x, CLASSES) for x in states])
         return likelihood, [starts, self.move * moves, emits]
 
     @staticmethod
