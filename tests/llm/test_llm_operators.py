@@ -298,6 +298,15 @@ def test_html_slots_are_judged_by_the_host(spark):
     assert got == {**{i: text(i) for i in range(6)}, 6: "Text 6 short", 7: "Only linked text More", 8: f"Text 8 short Promo 8 {long.strip()}"}
 
 
+def test_html_blocks_that_nothing_can_make_main_ask_for_nothing(spark, monkeypatch):
+    """Where the pages of a host agree, text beside the article is neither joined nor in the result."""
+    asked, join = [], html_extract.salted_join
+    monkeypatch.setattr(html_extract, "salted_join", lambda rows, *a, **k: (asked.append(rows.count()), join(rows, *a, **k))[1])
+    pages = [(i, "http://a.org", f"<body><article><p>Article {i}</p></article><div><p>Beside it {i}</p><p>The same line</p></div>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Article {i}" for i in range(8)} and asked == [0]
+
+
 def test_html_hot_host_and_copies(spark):
     copy = "<body><div><p>Copied text</p><p>and more of it</p></div>"
     pages = [(i, "http://a.org", PLAIN.format(i)) for i in range(1500)] + [(i, "http://b.org", copy) for i in range(7)] + [(i, "http://b.org", f"<body><table><tr><td><p>Other {i}</table>") for i in range(7)]
