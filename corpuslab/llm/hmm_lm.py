@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
-from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +28,14 @@ SEQUENCE_BYTES = 1 << 20
 SEGMENT = 128
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Runs of characters other than space and U+0009 to U+000D, A-Z in lower case, as UTF-8."""
-    return text.encode().lower().split() if text else []
-
-
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def word_classes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of raw start, and their classes: a rule, not a table, so no pass needs the vocabulary.
+def word_classes(raw: bytes) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray]:
+    """Where the words of raw start, their classes, and the words: runs of bytes other than space and U+0009 to U+000D.
 
-    The class is a hash of a word's last four bytes, or of all of a shorter word and a mark of its start."""
+    A class is a rule, not a table, so no pass needs the vocabulary: a hash of a word's last four bytes, or of
+    all of a shorter word and a mark of its start."""
     b = np.frombuffer(raw + b" ", np.uint8)
     space = _SPACE[b]
     last = np.flatnonzero(~space[:-1] & space[1:])
@@ -50,7 +45,9 @@ def word_classes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, 4):
         code |= np.where(size >= k, b[np.maximum(last - k, 0)], np.where(size == k - 1, 94, 0)).astype(np.uint32) << np.uint32(8 * k)
     mixed = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-    return start, (mixed % np.uint64(CLASSES - 1)).astype(np.int32) + 1
+    ends = np.concatenate([[0], np.cumsum(size + 1)]).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(b[~space])])
+    return start, (mixed % np.uint64(CLASSES - 1)).astype(np.int32) + 1, words
 
 
 def with_ends(values: np.ndarray, size: np.ndarray, end) -> np.ndarray:
@@ -58,13 +55,19 @@ def with_ends(values: np.ndarray, size: np.ndarray, end) -> np.ndarray:
     return np.insert(values, np.cumsum(size - 1), end)
 
 
-def class_sequences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The classes of all tokens, each text's words and then its end (0), and the tokens of each text."""
+def class_sequences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray]:
+    """The classes of all tokens, each text's words (A-Z in lower case) and then its end (0), the tokens of each text, and the words."""
     raw = [t.encode().lower() if t else b"" for t in texts]
-    start, classes = word_classes(b" ".join(raw))
+    start, classes, words = word_classes(b" ".join(raw))
     border = np.cumsum([0, *(len(x) + 1 for x in raw)])
     size = np.diff(np.searchsorted(start, border)) + 1
-    return with_ends(classes, size, 0), size
+    return with_ends(classes, size, 0), size, words
+
+
+def _active(length: np.ndarray) -> tuple[int, list[int]]:
+    """The steps of segments, longest first, and how many of them are longer than t, for each t to the last step."""
+    steps = int(length[0]) if len(length) else 0
+    return steps, np.searchsorted(-length, -np.arange(steps + 1), "left").tolist()
 
 
 @dataclass
@@ -84,8 +87,10 @@ class Hmm:
         """Natural log likelihood of each sequence, and if asked for the expected counts [start, move, emit].
 
         Scaled forward (and backward) recursion, exact for sequences of any length: sequences are cut into
-        segments, the product of the step matrices of every segment is taken for all segments at once, the
-        products are chained along each sequence, and the segments are then run from their known ends.
+        segments, which are run side by side. Where a sequence has several, the product of the step matrices
+        of each is taken first and the products are chained along the sequence, so that all segments are run
+        from their known ends. Forward and backward share their scales, so that a state's probability given
+        the whole sequence is the product of the two.
         """
         s, docs = STATES, len(size)
         first = np.cumsum(size) - size
@@ -97,14 +102,67 @@ class Hmm:
         order = np.argsort(-seg_len, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        length, heads = seg_len[order], seg_no[order] == 0
+        length, heads, several = seg_len[order], seg_no[order] == 0, parts[seg_doc[order]] > 1
         at = (first[seg_doc] + seg_no * SEGMENT)[order]
-        steps = int(length[0]) if len(length) else 0
-        active = np.searchsorted(-length, -np.arange(steps + 1), "left").tolist()  # segments longer than t
-        # emissions by step and segment, longest segments first; states come first in all arrays, segments last
-        move = self.move
-        seen = [np.take(self.emit, obs[at[: active[t]] + t], axis=1) for t in range(steps)]
-        # products of the steps of each segment: state at its end, state before it
+        before, after, likelihood = np.repeat(self.start[:, None], len(at), 1), np.ones((s, len(at))), np.zeros(docs)
+        chained = np.flatnonzero(several)
+        if len(chained):
+            self._chain(obs, at[chained], length[chained], heads[chained], parts, base, np.searchsorted(chained, place), chained, before, after, likelihood, learn)
+        # what is left is run inside the segments: if only the likelihood is asked for, those that are a sequence
+        inside = np.arange(len(at)) if learn else np.flatnonzero(~several)
+        at, length, heads, alone, before, after = at[inside], length[inside], heads[inside], ~several[inside], before[:, inside], after[:, inside]
+        steps, active = _active(length)
+        move, scale, held = self.move, np.zeros(len(at)), np.ones(len(at))
+        ends = np.cumsum([0, *active[:steps]]).tolist()
+        o = np.concatenate([obs[at[: active[t]] + t] for t in range(steps)], dtype=np.intp) if steps else np.zeros(0, np.intp)
+        forward, seen = np.empty((s, len(o) if learn else 0)), []
+        now = before
+        for t in range(steps):
+            n = active[t]
+            x = np.take(self.emit, o[ends[t] : ends[t + 1]], axis=1)
+            moved = np.matmul(move.T, now[:, :n], out=forward[:, ends[t] : ends[t + 1]] if learn else None)
+            if not t:
+                moved[:, heads] = now[:, heads]
+            moved *= x
+            total = moved.sum(0)
+            held[:n] *= total
+            if t % 8 == 7:
+                scale += np.log(held)
+                held.fill(1.0)
+            np.reciprocal(total, out=total)
+            moved *= total
+            if learn:
+                x *= total
+                seen.append(x)
+            now = moved
+        likelihood[seg_doc[order][inside[alone]]] = (scale + np.log(held))[alone]
+        if not learn:
+            return likelihood, None
+        moves, starts, emits = np.zeros((s, s)), np.zeros(s), np.zeros((s, CLASSES))
+        now, inner = after, ~heads
+        for t in range(steps - 1, -1, -1):
+            n, ended = active[t], active[t + 1]
+            state = forward[:, ends[t] : ends[t + 1]]  # becomes the probability of each state given the whole sequence
+            if ended < n:  # segments that end here: what follows them gets the scale of their own recursion
+                now[:, ended:n] /= (state[:, ended:] * now[:, ended:n]).sum(0)
+            ahead = seen.pop()
+            ahead *= now[:, :n]
+            state *= now[:, :n]
+            if t:
+                moves += forward[:, ends[t - 1] : ends[t - 1] + n] @ ahead.T
+                np.matmul(move, ahead, out=now[:, :n])
+            else:
+                starts = state[:, heads].sum(1)
+                moves += before[:, inner] @ ahead[:, inner].T
+        if steps:
+            emits = np.stack([np.bincount(o, x, CLASSES) for x in forward])
+        return likelihood, [starts, self.move * moves, emits]
+
+    def _chain(self, obs, at, length, heads, parts, base, place, chained, before, after, likelihood, learn: bool) -> None:
+        """Fills in what is before and after each segment (columns `chained`) of the sequences that have several, and their likelihood."""
+        s, move = STATES, self.move
+        steps, active = _active(length)
+        # products of the steps of each segment: state at its end, state before it; states come first in all arrays, segments last
         product = np.repeat(move.T[:, :, None], len(at), 2)
         product[:, :, heads] = np.eye(s)[:, :, None]
         scale = np.zeros(len(at))
@@ -116,7 +174,7 @@ class Hmm:
                 some = np.ascontiguousarray(some[:, :, :n])
             if t:
                 some = (move.T @ some.reshape(s, s * n)).reshape(s, s, n)
-            some *= seen[t][:, None, :]
+            some *= np.take(self.emit, obs[at[:n] + t], axis=1)[:, None, :]
             if t % 4 == 3:
                 total = some.sum((0, 1))
                 some /= total
@@ -125,56 +183,24 @@ class Hmm:
         total = product.sum((0, 1))
         product, scale = product / total, scale + np.log(total)
         # along each sequence, all sequences at once
-        before = np.empty((s, len(at)))
-        vector, likelihood = np.repeat(self.start[:, None], docs, 1), np.zeros(docs)
-        for k in range(int(parts.max()) if docs else 0):
-            live = np.flatnonzero(parts > k)
+        vector = np.repeat(self.start[:, None], len(parts), 1)
+        for k in range(int(parts.max())):
+            live = np.flatnonzero((parts > k) & (parts > 1))
             seg = place[base[live] + k]
-            before[:, seg] = vector[:, live]
+            before[:, chained[seg]] = vector[:, live]
             new = np.einsum("in,jin->jn", vector[:, live], product[:, :, seg])
             total = new.sum(0)
             vector[:, live] = new / total
             likelihood[live] += np.log(total) + scale[seg]
         if not learn:
-            return likelihood, None
-        after, back = np.ones((s, len(at))), np.ones((s, docs))
-        for k in range(int(parts.max()) - 1 if docs else -1, -1, -1):
-            live = np.flatnonzero(parts > k)
+            return
+        back = np.ones((s, len(parts)))
+        for k in range(int(parts.max()) - 1, -1, -1):
+            live = np.flatnonzero((parts > k) & (parts > 1))
             seg = place[base[live] + k]
-            after[:, seg] = back[:, live]
+            after[:, chained[seg]] = back[:, live]
             new = np.einsum("jin,jn->in", product[:, :, seg], back[:, live])
             back[:, live] = new / new.sum(0)
-        # inside the segments
-        now, forward = before, []
-        for t in range(steps):
-            n = active[t]
-            moved = move.T @ now[:, :n]
-            if not t:
-                moved[:, heads] = now[:, heads]
-            moved *= seen[t]
-            moved /= moved.sum(0)
-            forward.append(moved)
-            now = moved
-        moves, starts, emits = np.zeros((s, s)), np.zeros(s), np.zeros((s, CLASSES))
-        now, inner = after, ~heads
-        for t in range(steps - 1, -1, -1):
-            n = active[t]
-            ahead = now[:, :n] * seen[t]
-            state = forward[t]  # becomes the probability of each state given the whole sequence
-            state *= now[:, :n]
-            state /= state.sum(0)
-            if t:
-                prev, last = forward[t - 1][:, :n], ahead
-            else:
-                starts = state[:, heads].sum(1)
-                prev, last = before[:, inner], ahead[:, inner]
-            moves += (prev / ((move.T @ prev) * last).sum(0)) @ last.T
-            new = move @ ahead
-            now[:, :n] = new / new.sum(0)
-        if steps:
-            o, states = np.concatenate([obs[at[: active[t]] + t] for t in range(steps)]), np.concatenate(forward, 1)
-            emits = np.stack([np.bincount(o, x, CLASSES) for x in states])
-        return likelihood, [starts, self.move * moves, emits]
 
     @staticmethod
     def of(counts: list[np.ndarray]) -> Hmm:
@@ -205,7 +231,7 @@ def sequences(texts: DataFrame) -> DataFrame:
 
     def encode(batches):
         for b in slices(batches, "text"):
-            obs, size = class_sequences(b.column(0).to_pylist())
+            obs, size, _ = class_sequences(b.column(0).to_pylist())
             raw, last = obs.astype("<u2").tobytes(), np.cumsum(2 * size).tolist()
             yield arrow_rows(schema, obs=[raw[i:j] for i, j in zip([0, *last], last, strict=False)])
 
@@ -283,7 +309,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     background[0] = ends
     hmm = train(training, background)
     sent = spark.sparkContext.broadcast((hmm.start, hmm.move, hmm.emit, n_class, v_class))
-    answered = asked.select("block", "word", "class").join(counts.select("word", "c"), "word").select("block", "word", "class", "c")
+    answered = asked.select("block", "word").join(counts.select("word", "c"), "word").select("block", "word", "c")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         return _scored(left, right, sent.value, total, vocabulary, ends)
@@ -294,16 +320,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _asked(block: pa.Table) -> pa.Table:
     """The distinct words of a block's documents and how often each is in training texts."""
-    ids: defaultdict[bytes, int] = defaultdict(count().__next__)
-    uses: list[np.ndarray] = []
+    words, classes, training = [], [], []
     for b in slices(iter(block.combine_chunks().to_batches()), "text"):
-        for text, out in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            w = list(map(ids.__getitem__, words_of(text)))
-            if not out:
-                uses.append(np.array(w, np.int32))
-    n = np.bincount(np.concatenate(uses), minlength=len(ids)) if uses else np.zeros(len(ids), np.int64)
+        obs, size, some = class_sequences(b.column(1).to_pylist())
+        words.append(some)
+        classes.append(np.delete(obs, np.cumsum(size) - 1))
+        training.append(np.repeat(~np.asarray(b.column(2).to_numpy(zero_copy_only=False), bool), size - 1))
+    coded = pa.chunked_array(words, pa.binary()).dictionary_encode().chunks  # one dictionary for all
+    dictionary = coded[0].dictionary if coded else pa.array([], pa.binary())
+    kinds = len(dictionary)
+    class_of, n = np.zeros(kinds, np.int32), np.zeros(kinds, np.int64)
+    if kinds:
+        at = np.concatenate([np.asarray(x.indices) for x in coded])
+        class_of[at] = np.concatenate(classes)
+        n = np.bincount(at[np.concatenate(training)], minlength=kinds)
     number = block["block"][0].as_py() if block.num_rows else 0
-    return pa.table({"block": pa.array(np.full(len(ids), number, np.int32)), "word": pa.array(list(ids), pa.binary()), "class": pa.array(word_classes(b" ".join(ids))[1], pa.int32()), "n": pa.array(n.astype(np.int64))})
+    return pa.table({"block": pa.array(np.full(kinds, number, np.int32)), "word": dictionary, "class": pa.array(class_of), "n": pa.array(n.astype(np.int64))})
 
 
 def _scored(docs: pa.Table, known: pa.Table, model, total: int, vocabulary: int, ends: int) -> pa.Table:
@@ -312,17 +344,20 @@ def _scored(docs: pa.Table, known: pa.Table, model, total: int, vocabulary: int,
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     if not docs.num_rows:  # the empty side of a cogroup has no columns
         return schema.empty_table()
-    ids: dict[bytes, int] = {}
-    count_of, class_of = np.zeros(0), np.zeros(0, np.int32)
+    cuts = list(slices(iter(docs.combine_chunks().to_batches()), "text"))
+    read = [class_sequences(b.column(1).to_pylist()) for b in cuts]
+    words = pa.chunked_array([x for _, _, x in read], pa.binary())
+    count_of, places = np.zeros(0), np.zeros(0, np.int64)
     if known.num_rows:
-        ids = dict(zip(known["word"].to_pylist(), range(known.num_rows), strict=True))
-        count_of, class_of = np.asarray(known["c"]).astype(np.float64), np.asarray(known["class"])
+        count_of = np.asarray(known["c"]).astype(np.float64)
+        found = pc.index_in(words, value_set=known["word"].combine_chunks())
+        if found.null_count:
+            raise KeyError("a word of the block has no count")
+        places = np.asarray(found)
+    borders = np.cumsum([0, *(len(x) for _, _, x in read)]).tolist()
     out = []
-    for b in slices(iter(docs.combine_chunks().to_batches()), "text"):
-        words = [words_of(t) for t in b.column(1).to_pylist()]
-        at = np.array(list(map(ids.__getitem__, chain.from_iterable(words))), np.int64)
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        obs, c = with_ends(class_of[at], size, 0), with_ends(count_of[at], size, ends)
+    for b, (obs, size, _), i, j in zip(cuts, read, borders, borders[1:], strict=False):
+        c = with_ends(count_of[places[i:j]], size, ends)
         last = np.cumsum(size) - 1
         first = last + 1 - size
         unigram = np.log10((c + ALPHA) / (total + ALPHA * (vocabulary + 1)))

@@ -614,6 +614,15 @@ def test_lm_score_by_brute_force(docs, rows, monkeypatch):
     assert got == want
 
 
+def test_lm_words_are_taken_without_a_list_of_them():
+    """class_sequences gives the words themselves, as Arrow has them: runs between white space, A-Z in lower case."""
+    texts = ["  A \t b\x0b\x0c A  ", None, "", " \u017b\u00c0 \u00c9\u00a0x", "\n", "one"]
+    obs, size, words = hmm_lm.class_sequences(texts)
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert words.to_pylist() == [w for x in want for w in x] and size.tolist() == [len(x) + 1 for x in want]
+    assert obs.tolist() == [c for x in want for c in [*map(brute_class, x), 0]]
+
+
 def test_lm_learns_from_all_training_texts_in_every_pass(spark, monkeypatch):
     """No pass of Baum-Welch reads a sample: each one's expected counts are of all training tokens."""
     monkeypatch.setattr(hmm_lm, "SEED_ROUNDS", 2)
