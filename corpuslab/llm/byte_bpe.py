@@ -154,8 +154,8 @@ class ByteBpe:
         find = self.memo.new.__getitem__
         out = []
         for x in cut:
-            ids, decoded = zip(*map(find, x), strict=True) if x else ((), ())
-            out.append((b"".join(ids), b"".join(decoded)))
+            got = list(map(find, x))
+            out.append((b"".join([i for i, _ in got]), b"".join([d for _, d in got])))
         for p in self.passing:  # long pieces are not kept
             del self.memo.new[p]
         self.passing.clear()
